@@ -7,12 +7,11 @@ from pyspark.sql import Column, functions as F
 MICROS_PER_HOUR = 3_600_000_000
 MICROS_PER_DAY = 24 * MICROS_PER_HOUR
 
-_EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-
 
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 by the wall clock, whatever the session zone is."""
-    return F.timestamp_diff("MICROSECOND", _EPOCH, ts)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, ts)
 
 
 def whole_days(first: Column, last: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def comment_file_name(day: Column, composite_id: Column) -> Column:
@@ -16,10 +16,9 @@ def api_path(composite_id: Column) -> Column:
     return F.replace(composite_id, F.lit("_"), F.lit("/"))
 
 
-def crawl_calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
-    """Every day between two dates, both included."""
-    return spark.range(1).select(
-        F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
+def crawl_calendar(bounds: DataFrame) -> DataFrame:
+    """Every day from ``first_day`` to ``last_day``, both included, of each row."""
+    return bounds.select(F.explode(F.sequence("first_day", "last_day")).alias("day"))
 
 
 def crawl_gaps(posts: DataFrame, files: DataFrame) -> DataFrame:

@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from palaver.functions.text import fingerprint
 from palaver.functions.time import MICROS_PER_HOUR, micros
 
-_BY_HOUR = Window.partitionBy("author_id", "slice")
-_IN_HOUR = _BY_HOUR.orderBy("at")
-_BY_AUTHOR = Window.partitionBy("author_id")
-_IN_AUTHOR = _BY_AUTHOR.orderBy("slice")
+
+def _before_in_hour() -> Column:
+    return F.lag("at").over(Window.partitionBy("author_id", "slice").orderBy("at"))
+
+
+def _before_hour() -> Column:
+    return F.lag("last").over(Window.partitionBy("author_id").orderBy("slice"))
 
 
 def _hours(micro_gap: Column) -> Column:
@@ -42,11 +45,11 @@ def comment_gaps(comments: DataFrame) -> DataFrame:
     at the same moment have gap 0. They meet again on ``comment_id``, which is unique.
     """
     moments = _moments(comments, F.min("comment_id").alias("lead_id"))
-    inner = moments.withColumn("before", F.lag("at").over(_IN_HOUR))
+    inner = moments.withColumn("before", _before_in_hour())
     edges = (
         inner.groupBy("author_id", "slice")
         .agg(F.min("at").alias("first"), F.max("at").alias("last"))
-        .withColumn("before_hour", F.lag("last").over(_IN_AUTHOR))
+        .withColumn("before_hour", _before_hour())
         .select("author_id", "slice", F.col("first").alias("at"), "before_hour")
     )
     leads = inner.join(edges, ["author_id", "slice", "at"], "left").select(
@@ -72,7 +75,7 @@ def burstiness(comments: DataFrame) -> DataFrame:
     zero gaps of simultaneous comments are three groups around one mean, which is
     (last - first) / gaps; their squared deviations add up.
     """
-    gap = _hours(F.col("at") - F.lag("at").over(_IN_HOUR))
+    gap = _hours(F.col("at") - _before_in_hour())
     hours = (
         _moments(comments)
         .withColumn("gap", gap)
@@ -86,10 +89,11 @@ def burstiness(comments: DataFrame) -> DataFrame:
             F.max("at").alias("last"),
         )
     )
-    span = _hours(F.max("last").over(_BY_AUTHOR) - F.min("first").over(_BY_AUTHOR))
-    count = F.sum(F.col("gaps") + F.col("zeros") + F.lit(1)).over(_BY_AUTHOR) - 1
+    author = Window.partitionBy("author_id")
+    span = _hours(F.max("last").over(author) - F.min("first").over(author))
+    count = F.sum(F.col("gaps") + F.col("zeros") + F.lit(1)).over(author) - 1
     placed = (
-        hours.withColumn("edge", _hours(F.col("first") - F.lag("last").over(_IN_AUTHOR)))
+        hours.withColumn("edge", _hours(F.col("first") - _before_hour()))
         .withColumn("total", count)
         .withColumn("mean", F.try_divide(span, F.col("total")))
     )

@@ -13,16 +13,19 @@ FILE_PATTERN = "api_date_*.json"
 
 def read_post_days(spark: SparkSession, root: str) -> DataFrame:
     """One row per day file: ``file``, ``items`` and ``_corrupt_record``."""
-    return (
+    return with_file_name(
         spark.read.schema(RAW_POST_DAY)
         .option("multiLine", True)
         .option("mode", "PERMISSIVE")
         .option("pathGlobFilter", FILE_PATTERN)
         .json(root)
-        .select(F.col("_metadata.file_name").alias("file"), "items", "_corrupt_record")
     )
 
 
+def with_file_name(days: DataFrame) -> DataFrame:
+    return days.select(F.col("_metadata.file_name").alias("file"), "items", "_corrupt_record")
+
+
 def flatten_posts(days: DataFrame) -> DataFrame:
     """One row per post with a non-empty id, plus the ``file`` it came from."""
     item = days.select("file", F.explode("items").alias("p")).where("p.id <> ''")

@@ -8,13 +8,14 @@ from pyspark.sql.types import StructType
 from palaver.operators.keys import duplicate_keys, insert_ignore
 
 
-def append_new(batch: DataFrame, path: str, key: str, order_by: list[str]) -> DataFrame:
+def append_new(
+    batch: DataFrame, path: str, schema: StructType, key: str, order_by: list[str]
+) -> DataFrame:
     """Append rows whose key ``path`` does not hold yet; repeating a batch adds nothing."""
-    spark = batch.sparkSession
-    insert_ignore(
-        spark.read.schema(batch.schema).parquet(path), batch, [key], order_by
-    ).write.mode("append").parquet(path)
-    return spark.read.schema(batch.schema).parquet(path)
+    stored = batch.sparkSession.read.schema(schema)
+    fresh = insert_ignore(stored.parquet(path), batch, [key], order_by)
+    fresh.select(*schema.names).write.mode("append").parquet(path)
+    return stored.parquet(path)
 
 
 def create_table(schema: StructType, spark: SparkSession, path: str, *partition_by: str) -> None:
