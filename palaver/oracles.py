@@ -35,7 +35,7 @@ _VIEWS: dict[str, str] = {
         WHERE author_id IS NOT NULL AND creation_datetime IS NOT NULL GROUP BY ALL""",
     "basics": """
         SELECT author_id, count(*) AS n,
-          1 - count(DISTINCT coalesce(content, '')) / count(*) AS repeated_ratio,
+          (count(*) - count(DISTINCT coalesce(content, ''))) / count(*) AS repeated_ratio,
           avg(CASE WHEN contains(lower(coalesce(content, '')), 'http') THEN 1e0 ELSE 0e0 END)
             AS link_ratio,
           count(creation_datetime) / greatest(floor(
