@@ -105,7 +105,7 @@ def choose_segments(
     restarts: int = 10,
     seed: int = 42,
     metric: str = "squared",
-    parallelism: int = 8,
+    parallelism: int = 16,
 ) -> tuple[DataFrame, DataFrame]:
     """Labelled authors, and a table (k, silhouette, cost) with the chosen k first.
 
@@ -126,8 +126,10 @@ def choose_segments(
 
     def fit(task: tuple[int, int]) -> KMeansModel:
         k, restart = task
+        # Columns have unit variance: stop once the squared moves of all centres sum to 1e-4.
         return KMeans(
-            k=k, seed=seed + restart, maxIter=100, featuresCol="_point", predictionCol="_cluster"
+            k=k, seed=seed + restart, maxIter=300, tol=0.01 / k**0.5,
+            featuresCol="_point", predictionCol="_cluster",
         ).fit(points)
 
     def score(model: KMeansModel) -> float:

@@ -44,18 +44,20 @@ def comment_gaps(comments: DataFrame) -> DataFrame:
     The first comment of a moment carries the gap to the previous moment; its companions
     at the same moment have gap 0. They meet again on ``comment_id``, which is unique.
     """
-    moments = _moments(comments, F.min("comment_id").alias("lead_id"))
-    inner = moments.withColumn("before", _before_in_hour())
-    edges = (
-        inner.groupBy("author_id", "slice")
-        .agg(F.min("at").alias("first"), F.max("at").alias("last"))
-        .withColumn("before_hour", _before_hour())
-        .select("author_id", "slice", F.col("first").alias("at"), "before_hour")
-    )
-    leads = inner.join(edges, ["author_id", "slice", "at"], "left").select(
-        "lead_id",
-        F.lit(True).alias("leads"),
-        _hours(F.col("at") - F.coalesce("before", "before_hour")).alias("lead_gap"),
+    hour = Window.partitionBy("author_id", "slice")
+    # The first moment of every hour of an author forms one group; it looks back to the
+    # last moment of the hour before.
+    heads = Window.partitionBy("author_id", F.when(F.col("before").isNotNull(), F.col("slice")))
+    leads = (
+        _moments(comments, F.min("comment_id").alias("lead_id"))
+        .withColumn("before", _before_in_hour())
+        .withColumn("last", F.max("at").over(hour))
+        .withColumn("before_hour", F.lag("last").over(heads.orderBy("slice")))
+        .select(
+            "lead_id",
+            F.lit(True).alias("leads"),
+            _hours(F.col("at") - F.coalesce("before", "before_hour")).alias("lead_gap"),
+        )
     )
     gap = (
         F.when(F.col("creation_datetime").isNull(), F.lit(None))

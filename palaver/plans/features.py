@@ -105,7 +105,6 @@ def _activity(comments: DataFrame) -> DataFrame:
     return _named(comments).groupBy("author_id").agg(
         F.count("*").alias("n"),
         F.count(ts).alias("n_dated"),
-        F.sum(F.size(words(F.col("content")))).alias("n_words"),
         F.count_if(has_link(F.col("content"))).alias("n_links"),
         F.min(ts).alias("first_at"),
         F.max(ts).alias("last_at"),
@@ -114,19 +113,20 @@ def _activity(comments: DataFrame) -> DataFrame:
 
 
 def _variety(comments: DataFrame) -> DataFrame:
-    """Distinct words and distinct texts per author from one pass and one shuffle.
+    """Words, distinct words and distinct texts per author from one pass and one shuffle.
 
     Texts travel as fingerprints behind a space, which no word can start with.
     """
     content = F.col("content")
-    facts = F.concat(
-        F.array_distinct(words(content)),
-        F.array(F.concat(F.lit(" "), fingerprint(content))),
-    )
-    distinct = _named(comments).select("author_id", F.explode(facts).alias("fact")).distinct()
+    facts = F.concat(words(content), F.array(F.concat(F.lit(" "), fingerprint(content))))
+    counted = _named(comments).select("author_id", F.explode(facts).alias("fact")).groupBy(
+        "author_id", "fact").agg(F.count("*").alias("uses"))
     is_text = F.startswith("fact", F.lit(" "))
-    return distinct.groupBy("author_id").agg(
-        F.count_if(is_text).alias("n_texts"), F.count_if(~is_text).alias("distinct_words"))
+    return counted.groupBy("author_id").agg(
+        F.count_if(is_text).alias("n_texts"),
+        F.count_if(~is_text).alias("distinct_words"),
+        F.sum(F.when(is_text, 0).otherwise(F.col("uses"))).alias("n_words"),
+    )
 
 
 def author_features(comments: DataFrame, lexicon: DataFrame) -> DataFrame:
