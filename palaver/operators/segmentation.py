@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
+from functools import partial
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -145,12 +146,18 @@ def choose_segments(
     candidates = range(2, min(max_clusters, authors) + 1)
     tasks = [(k, r) for k in candidates for r in range(restarts)]
     with ThreadPool(parallelism) as pool:
-        models = dict(zip(tasks, pool.map(inheritable_thread_target(spark)(fit), tasks)))
+
+        def side_by_side(function: Callable, arguments: Iterable) -> list:
+            # Every job needs its own copy of the session's local properties.
+            jobs = [inheritable_thread_target(spark)(partial(function, a)) for a in arguments]
+            return pool.map(lambda job: job(), jobs, chunksize=1)
+
+        models = dict(zip(tasks, side_by_side(fit, tasks)))
         best = {
             k: min((models[k, r] for r in range(restarts)), key=lambda m: m.summary.trainingCost)
             for k in candidates
         }
-        scores = dict(zip(best, pool.map(inheritable_thread_target(spark)(score), best.values())))
+        scores = dict(zip(best, side_by_side(score, best.values())))
     if max(scores.values()) <= -1:
         raise ValueError("no number of clusters gave a silhouette")
     table = spark.createDataFrame(
