@@ -180,7 +180,7 @@ def _nest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 parent = node.pop("parent_comment_id")
                 (nodes[parent]["child_comments"] if parent in nodes else roots).append(node)
             document = {"summary": {"id": post_id}, "comments": roots, "authors": list(people)}
-            bodies.append(json.dumps(document, ensure_ascii=False, default=_plain))
+            bodies.append(json.dumps(document, ensure_ascii=False, indent=2, default=_plain))
         yield pd.DataFrame({"path": pdf["path"], "body": bodies})
 
 

@@ -26,10 +26,13 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
 def insert_ignore(
     stored: DataFrame, batch: DataFrame, keys: Sequence[str], order_by: Sequence[str]
 ) -> DataFrame:
-    """Rows of ``batch`` to add: non-null keys that ``stored`` lacks, first copy of each."""
+    """Rows of ``batch`` to add: non-null keys that ``stored`` lacks, first copy of each.
+
+    Copies go first, so the anti join meets each key once and reuses the partitioning.
+    """
     present = batch.where(" and ".join(f"{k} is not null" for k in keys))
-    fresh = present.join(stored.select(*keys), list(keys), "left_anti").select(*batch.columns)
-    return first_per_key(fresh, keys, order_by)
+    single = first_per_key(present, keys, order_by)
+    return single.join(stored.select(*keys), list(keys), "left_anti").select(*batch.columns)
 
 
 # How a stored and an incoming value of one column combine. Each is used only where both

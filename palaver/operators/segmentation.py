@@ -14,15 +14,17 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palaver.session import stage
+
 ROWS_PER_PARTITION = 200_000
 BLOCK_ROWS = 2048
 
 
 def silhouette_squared(labelled: DataFrame, columns: Sequence[str], label: str = "segment") -> float:
     """Mean silhouette on squared Euclidean distance; linear in the number of rows."""
-    points = VectorAssembler(inputCols=list(columns), outputCol="_point").transform(labelled)
+    points = VectorAssembler(inputCols=list(columns), outputCol="_vector").transform(labelled)
     return ClusteringEvaluator(
-        featuresCol="_point", predictionCol=label, distanceMeasure="squaredEuclidean"
+        featuresCol="_vector", predictionCol=label, distanceMeasure="squaredEuclidean"
     ).evaluate(points.withColumn(label, F.col(label).cast("double")))
 
 
@@ -135,13 +137,11 @@ def choose_segments(
 
     def score(model: KMeansModel) -> float:
         labelled = _label(model, points)
-        try:
-            if metric == "euclidean":
-                return silhouette_exact(labelled, columns).first()["score"]
-            return ClusteringEvaluator(featuresCol="_point", predictionCol="segment").evaluate(
-                labelled.withColumn("segment", F.col("segment").cast("double")))
-        except Exception:  # a single cluster has no silhouette
-            return -1.0
+        if labelled.select("segment").distinct().count() < 2:
+            return -1.0  # a single cluster has no silhouette
+        if metric == "euclidean":
+            return silhouette_exact(labelled, columns).first()["score"]
+        return silhouette_squared(labelled, columns)
 
     candidates = range(2, min(max_clusters, authors) + 1)
     tasks = [(k, r) for k in candidates for r in range(restarts)]
@@ -165,4 +165,6 @@ def choose_segments(
         "k int, silhouette double, cost double",
     ).orderBy(F.desc("silhouette"), "k")
     chosen = max(candidates, key=lambda k: (scores[k], -k))
-    return _label(best[chosen], points).drop("_point"), table
+    labelled = stage(_label(best[chosen], points).drop("_point"), "labelled")
+    points.unpersist()
+    return labelled, table

@@ -12,6 +12,9 @@ from palaver.session import stage
 # Tree levels taken from one staged frontier before the next one is written.
 LEVELS_PER_STAGE = 4
 
+# Rounds of pointer doubling; 2**40 levels are more than any thread has, short of a cycle.
+_MAX_ROUNDS = 40
+
 _FIELDS = {
     "comment_id": ("id", "bigint"),
     "author_id": ("author", "bigint"),
@@ -44,8 +47,10 @@ def flatten_comments(documents: DataFrame) -> DataFrame:
         "post_id", "year", F.lit(None).cast("bigint").alias("parent_comment_id"),
         _children("doc", "$.comments"))
     pieces: list[DataFrame] = []
-    while not pieces or not level.isEmpty():
-        level = frontier = stage(level, "frontier")
+    while True:
+        level = stage(level, "frontier")
+        if pieces and level.isEmpty():
+            break
         for _ in range(LEVELS_PER_STAGE):
             depth = F.lit(len(pieces)).alias("depth")
             pieces.append(level.select(
@@ -58,47 +63,46 @@ def flatten_comments(documents: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, pieces).select(*COMMENTS.names)
 
 
+def _settled(rounds: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [r.where("settled") for r in rounds])
+
+
 def thread_depth(comments: DataFrame) -> DataFrame:
     """Depth, root and number of direct replies of every stored comment.
 
     Pointer doubling: each round replaces a comment's pointer by its pointer's pointer, so
-    a thread of depth d takes log2(d) joins. A comment whose parent is not stored starts
-    its own thread.
+    a thread of depth d takes log2(d) joins, and only comments that have not reached
+    their root are joined and written again. The join side that may repeat a hot parent
+    feeds a write, so adaptive execution may split it. A comment whose parent is not
+    stored starts its own thread.
     """
     links = comments.select("comment_id", "parent_comment_id")
     ids = links.select(F.col("comment_id").alias("known_id"))
     held = links.join(ids, F.col("parent_comment_id") == F.col("known_id"), "left")
-    pointers = stage(held.select(
+    rounds = [stage(held.select(
         "comment_id",
         F.coalesce("known_id", "comment_id").alias("up"),
         F.col("known_id").isNotNull().cast("bigint").alias("steps"),
         F.col("known_id").isNull().alias("settled"),
-    ), "pointers")
-    rounds = 0
-    while not pointers.where("not settled").isEmpty():
-        rounds += 1
-        if rounds > 40:  # 2**40 levels: only a cycle gets here
+    ), "pointers")]
+    while not (moving := rounds[-1].where("not settled")).isEmpty():
+        if len(rounds) > _MAX_ROUNDS:
             raise ValueError("the parent links contain a cycle")
-        above = pointers.select(
+        above = _settled(rounds).unionByName(moving).select(
             F.col("comment_id").alias("at"), F.col("up").alias("next_up"),
             F.col("steps").alias("next_steps"), F.col("settled").alias("next_settled"))
-        moved = (
-            pointers.where("not settled")
-            .join(above, F.col("up") == F.col("at"))
-            .select(
-                "comment_id",
-                F.col("next_up").alias("up"),
-                (F.col("steps") + F.col("next_steps")).alias("steps"),
-                F.col("next_settled").alias("settled"),
-            )
-        )
-        pointers = stage(pointers.where("settled").unionByName(moved), "pointers")
+        rounds.append(stage(moving.join(above, F.col("up") == F.col("at")).select(
+            "comment_id",
+            F.col("next_up").alias("up"),
+            (F.col("steps") + F.col("next_steps")).alias("steps"),
+            F.col("next_settled").alias("settled"),
+        ), "pointers"))
     replies = (
         links.where("parent_comment_id is not null")
         .groupBy(F.col("parent_comment_id").alias("comment_id"))
         .agg(F.count("*").alias("replies"))
     )
-    return pointers.join(replies, "comment_id", "left").select(
+    return _settled(rounds).join(replies, "comment_id", "left").select(
         "comment_id",
         F.col("up").alias("root_id"),
         F.col("steps").alias("depth"),

@@ -19,8 +19,7 @@ def read_comment_files(
     """
     chosen = "*" if years is None else "{" + ",".join(str(y) for y in years) + "}"
     return (
-        spark.read.option("wholetext", True)
-        .text(f"{root}/{chosen}/*.json")
+        spark.read.text(f"{root}/{chosen}/*.json", wholetext=True)
         .select(
             F.col("_metadata.file_name").alias("file"),
             F.regexp_extract("_metadata.file_path", _YEAR_IN_PATH, 1).alias("year"),

@@ -47,5 +47,6 @@ def flatten_posts(days: DataFrame) -> DataFrame:
 
 
 def post_errors(days: DataFrame) -> DataFrame:
-    return days.where(F.col("_corrupt_record").isNotNull()).select(
+    """Files that are not JSON. The reader fills no field of such a file."""
+    return days.where("_corrupt_record is not null and items is null").select(
         "file", F.lit("unreadable").alias("reason"))
