@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-MICROS_PER_HOUR = 3_600_000_000
+MICROS_PER_MINUTE = 60_000_000
+MICROS_PER_HOUR = 60 * MICROS_PER_MINUTE
 MICROS_PER_DAY = 24 * MICROS_PER_HOUR
 
 

@@ -12,9 +12,6 @@ from palaver.session import stage
 # Tree levels taken from one staged frontier before the next one is written.
 LEVELS_PER_STAGE = 4
 
-# Rounds of pointer doubling; 2**40 levels are more than any thread has, short of a cycle.
-_MAX_ROUNDS = 40
-
 _FIELDS = {
     "comment_id": ("id", "bigint"),
     "author_id": ("author", "bigint"),
@@ -86,7 +83,8 @@ def thread_depth(comments: DataFrame) -> DataFrame:
         F.col("known_id").isNull().alias("settled"),
     ), "pointers")]
     while not (moving := rounds[-1].where("not settled")).isEmpty():
-        if len(rounds) > _MAX_ROUNDS:
+        if rounds[-1].where("settled").isEmpty():
+            # Below a root, every doubling settles the comments just out of reach before.
             raise ValueError("the parent links contain a cycle")
         above = _settled(rounds).unionByName(moving).select(
             F.col("comment_id").alias("at"), F.col("up").alias("next_up"),

@@ -2,9 +2,9 @@
 
 A window over an author puts all of that author's comments into one task. Here comments
 first collapse to distinct moments (author, microsecond), moments are ordered inside
-(author, hour) groups, and only one row per hour is ordered per author. An hour holds at
-most 3,600 distinct seconds, and an author at most 8,766 hours per calendar year, however
-many comments there are.
+(author, minute) groups, and only one row per minute is ordered per author. A minute holds
+60 distinct seconds or 60 million microseconds at most, and an author has at most 527,040
+minutes per calendar year, however many comments there are.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palaver.functions.text import fingerprint
-from palaver.functions.time import MICROS_PER_HOUR, micros
+from palaver.functions.time import MICROS_PER_HOUR, MICROS_PER_MINUTE, micros
 
 
-def _before_in_hour() -> Column:
+def _before_in_slice() -> Column:
     return F.lag("at").over(Window.partitionBy("author_id", "slice").orderBy("at"))
 
 
-def _before_hour() -> Column:
+def _before_slice() -> Column:
     return F.lag("last").over(Window.partitionBy("author_id").orderBy("slice"))
 
 
@@ -28,13 +28,13 @@ def _hours(micro_gap: Column) -> Column:
 
 
 def _moments(comments: DataFrame, *extra: Column) -> DataFrame:
-    """Distinct moments: ``author_id``, ``at`` (microseconds), ``slice`` (hour), ``copies``."""
+    """Distinct moments: ``author_id``, ``at`` (microseconds), ``slice`` (minute), ``copies``."""
     dated = comments.where("author_id is not null and creation_datetime is not null")
     return (
         dated.withColumn("at", micros(F.col("creation_datetime")))
         .groupBy("author_id", "at")
         .agg(F.count("*").alias("copies"), *extra)
-        .withColumn("slice", F.floor(F.col("at") / F.lit(MICROS_PER_HOUR)))
+        .withColumn("slice", F.floor(F.col("at") / F.lit(MICROS_PER_MINUTE)))
     )
 
 
@@ -44,19 +44,19 @@ def comment_gaps(comments: DataFrame) -> DataFrame:
     The first comment of a moment carries the gap to the previous moment; its companions
     at the same moment have gap 0. They meet again on ``comment_id``, which is unique.
     """
-    hour = Window.partitionBy("author_id", "slice")
-    # The first moment of every hour of an author forms one group; it looks back to the
-    # last moment of the hour before.
+    in_slice = Window.partitionBy("author_id", "slice")
+    # The first moments of all minutes of an author form one group; each looks back to the
+    # last moment of the minute before.
     heads = Window.partitionBy("author_id", F.when(F.col("before").isNotNull(), F.col("slice")))
     leads = (
         _moments(comments, F.min("comment_id").alias("lead_id"))
-        .withColumn("before", _before_in_hour())
-        .withColumn("last", F.max("at").over(hour))
-        .withColumn("before_hour", F.lag("last").over(heads.orderBy("slice")))
+        .withColumn("before", _before_in_slice())
+        .withColumn("last", F.max("at").over(in_slice))
+        .withColumn("before_slice", F.lag("last").over(heads.orderBy("slice")))
         .select(
             "lead_id",
             F.lit(True).alias("leads"),
-            _hours(F.col("at") - F.coalesce("before", "before_hour")).alias("lead_gap"),
+            _hours(F.col("at") - F.coalesce("before", "before_slice")).alias("lead_gap"),
         )
     )
     gap = (
@@ -73,12 +73,12 @@ def comment_gaps(comments: DataFrame) -> DataFrame:
 def burstiness(comments: DataFrame) -> DataFrame:
     """Sample standard deviation of the gaps in hours, per author with any timestamp.
 
-    0 for a single comment, null for two. Gaps inside an hour, gaps between hours and the
+    0 for a single comment, null for two. Gaps inside a minute, gaps between minutes and the
     zero gaps of simultaneous comments are three groups around one mean, which is
     (last - first) / gaps; their squared deviations add up.
     """
-    gap = _hours(F.col("at") - _before_in_hour())
-    hours = (
+    gap = _hours(F.col("at") - _before_in_slice())
+    slices = (
         _moments(comments)
         .withColumn("gap", gap)
         .groupBy("author_id", "slice")
@@ -95,7 +95,7 @@ def burstiness(comments: DataFrame) -> DataFrame:
     span = _hours(F.max("last").over(author) - F.min("first").over(author))
     count = F.sum(F.col("gaps") + F.col("zeros") + F.lit(1)).over(author) - 1
     placed = (
-        hours.withColumn("edge", _hours(F.col("first") - _before_hour()))
+        slices.withColumn("edge", _hours(F.col("first") - _before_slice()))
         .withColumn("total", count)
         .withColumn("mean", F.try_divide(span, F.col("total")))
     )

@@ -178,3 +178,9 @@ def test_first_file_wins_within_a_batch(spark, tmp_path):
     stored = tables.append_new(batch, table, POSTS, "id", ["file"])
     assert [(r["id"], r["title"]) for r in stored.collect()] == [("p1", "01")]
     assert tables.append_new(batch, table, POSTS, "id", ["file"]).count() == 1
+
+
+def test_a_cycle_beside_a_long_thread_is_found(spark):
+    links = [(i, i - 1 if i else None) for i in range(9)] + [(20, 21), (21, 22), (22, 20)]
+    with pytest.raises(ValueError):
+        threads.thread_depth(spark.createDataFrame(links, "comment_id bigint, parent_comment_id bigint"))
