@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -57,5 +60,16 @@ def write_rows(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_reports(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
+    """Reports that exist and can be read, by path. Types are inferred: reports are small."""
+    found = {}
+    for path in paths:
+        try:
+            found[path] = spark.read.option("header", True).option("inferSchema", True).csv(path)
+        except AnalysisException:
+            logging.getLogger(__name__).warning("skipping %s", path)
+    return found
+
+
 def read_report(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)

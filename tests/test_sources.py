@@ -53,7 +53,7 @@ def test_posts(spark, tmp_path):
 
 
 def node(i, children=None, **more):
-    return {"id": i, "author": i * 10, "child_comments": children, **more}
+    return {"id": i, "author": (i or 0) * 10, "child_comments": children, **more}
 
 
 def flat(spark, root, years=None):
