@@ -93,7 +93,7 @@ def _sql(spark: SparkSession, sf_dir: str, text: str, **views: DataFrame) -> Dat
     return spark.sql(text, **used, **views)
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, make):
+def once(spark: SparkSession, sf_dir: str, name: str, make):
     """Derive a table once per application and scale; later queries read what was stored."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
@@ -103,7 +103,7 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make):
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The comment table, stored as Parquet with a directory per year."""
-    return _once(spark, sf_dir, "comments", lambda: stage(
+    return once(spark, sf_dir, "comments", lambda: stage(
         _sql(spark, sf_dir, COMMENTS_SQL).repartition("year", F.pmod("comment_id", F.lit(8))),
         "comments", ("year",)))
 
@@ -121,7 +121,7 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     spread = table(spark, sf_dir, "documents").select(
         F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
     counts = spread.groupBy("word").agg(F.count("*").alias("uses"))
-    return _once(spark, sf_dir, "lexicon", lambda: stage(
+    return once(spark, sf_dir, "lexicon", lambda: stage(
         spark.sql(LEXICON_SQL, word_counts=counts), "lexicon"))
 
 
@@ -247,5 +247,5 @@ def documents_on_disk(spark: SparkSession, sf_dir: str, name: str) -> str:
     """Root of the raw documents made by the function ``name`` of this module."""
     root = f"{work_dir(spark)}/{name}-{os.path.basename(sf_dir.rstrip('/'))}"
     make = globals()[name]
-    return _once(spark, sf_dir, f"{name} files", lambda: write_documents(
+    return once(spark, sf_dir, f"{name} files", lambda: write_documents(
         make(spark, sf_dir), root.removeprefix("file:")))

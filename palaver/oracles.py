@@ -31,7 +31,7 @@ _VIEWS: dict[str, str] = {
           OVER (PARTITION BY author_id ORDER BY creation_datetime, comment_id)) / 3.6e9 AS gap
         FROM comments WHERE author_id IS NOT NULL AND creation_datetime IS NOT NULL""",
     "histogram": """
-        SELECT author_id, hour(creation_datetime) AS hour, count(*) AS comments FROM comments
+        SELECT author_id, CAST(hour(creation_datetime) AS INT) AS hour, count(*) AS comments FROM comments
         WHERE author_id IS NOT NULL AND creation_datetime IS NOT NULL GROUP BY ALL""",
     "basics": """
         SELECT author_id, count(*) AS n,
@@ -115,7 +115,8 @@ def _with(select: str, *views: str, recursive: bool = False, **extra: str) -> st
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {select}" if parts else select
 
 
-_FEATURES_6 = _columns("round({c}, 6) AS {c}")
+# Adding zero turns a negative zero into a plain one.
+_FEATURES_6 = _columns("round({c}, 6) + 0e0 AS {c}")
 
 
 def _canonical(where: str = "true") -> str:
@@ -195,7 +196,7 @@ ORACLES: dict[str, str] = {
         "SELECT author_id, round(repeated_ratio, 6) AS repeated_ratio FROM basics", "basics"),
     "link_ratio": _with("SELECT author_id, round(link_ratio, 6) AS link_ratio FROM basics", "basics"),
     "sentiment_polarity": _with(
-        "SELECT b.author_id, round(coalesce(polarity_sum, 0) / n, 6) AS sentiment_polarity "
+        "SELECT b.author_id, round(coalesce(polarity_sum, 0) / n, 6) + 0e0 AS sentiment_polarity "
         "FROM basics b LEFT JOIN sentiment USING (author_id)", "basics", "sentiment"),
     "comments_per_day": _with(
         "SELECT author_id, round(comments_per_day, 6) AS comments_per_day FROM basics", "basics"),
@@ -203,7 +204,7 @@ ORACLES: dict[str, str] = {
         "SELECT author_id, round(burstiness_hours, 6) AS burstiness_hours FROM bursts", "bursts"),
     "hour_histogram": _with("SELECT * FROM histogram", "histogram"),
     "hour_entropy": _with(
-        "SELECT author_id, round(hour_entropy, 6) AS hour_entropy FROM entropies", "entropies"),
+        "SELECT author_id, round(hour_entropy, 6) + 0e0 AS hour_entropy FROM entropies", "entropies"),
     "author_features": _with(f"SELECT author_id, {_FEATURES_6} FROM features", "features"),
     "features_filtered": _with(
         f"SELECT author_id, {_FEATURES_6} FROM features", "features"
@@ -285,19 +286,19 @@ ORACLES: dict[str, str] = {
     "scaled_features": _with(f"SELECT author_id, {_FEATURES_6} FROM scaled", "scaled"),
     "anomaly_flags": _with("SELECT author_id, anomaly_score FROM labelled", "labelled"),
     "segment_report": _with(
-        _SEGMENT_REPORT.format(columns=_columns("round(avg({c}), 6) AS {c}")), "labelled"),
+        _SEGMENT_REPORT.format(columns=_columns("round(avg({c}), 6) + 0e0 AS {c}")), "labelled"),
     "anomaly_report": _with(
         " UNION ALL ".join(
             f"SELECT '{c}' AS metric, CAST(count({c}) AS DOUBLE) AS count, "
-            f"round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
-            f"round(min({c}), 6) AS min, round(quantile_cont({c}, 0.25), 6) AS \"25%\", "
-            f"round(quantile_cont({c}, 0.5), 6) AS \"50%\", "
-            f"round(quantile_cont({c}, 0.75), 6) AS \"75%\", round(max({c}), 6) AS max "
+            f"round(avg({c}), 6) + 0e0 AS mean, round(stddev_samp({c}), 6) + 0e0 AS std, "
+            f"round(min({c}), 6) + 0e0 AS min, round(quantile_cont({c}, 0.25), 6) + 0e0 AS \"25%\", "
+            f"round(quantile_cont({c}, 0.5), 6) + 0e0 AS \"50%\", "
+            f"round(quantile_cont({c}, 0.75), 6) + 0e0 AS \"75%\", round(max({c}), 6) + 0e0 AS max "
             "FROM labelled WHERE anomaly_score = -1" for c in _METRICS), "labelled"),
     "composite_score": _with(
-        "SELECT author_id, round(composite_score, 6) AS composite_score FROM composite", "composite"),
+        "SELECT author_id, round(composite_score, 6) + 0e0 AS composite_score FROM composite", "composite"),
     "top_segment": _with(
-        "SELECT segment, round(avg(composite_score), 6) AS composite_score FROM composite "
+        "SELECT segment, round(avg(composite_score), 6) + 0e0 AS composite_score FROM composite "
         "GROUP BY segment ORDER BY avg(composite_score) DESC, segment LIMIT 1", "composite"),
     "suspect_comments": _with(
         "SELECT author_id AS user_id, content AS comment FROM comments WHERE author_id IN "
@@ -305,8 +306,8 @@ ORACLES: dict[str, str] = {
         "GROUP BY segment ORDER BY avg(composite_score) DESC, segment LIMIT 1)) "
         "ORDER BY md5(concat('42:', comment_id)), comment_id LIMIT 100", "composite"),
     "scored_users_rounded": _with(
-        "SELECT author_id, " + _columns("round_even({c}, 3) AS {c}") + ", segment, anomaly_score, "
-        "round_even(anomaly_score_val, 3) AS anomaly_score_val FROM labelled", "labelled"),
+        "SELECT author_id, " + _columns("round_even({c}, 3) + 0e0 AS {c}") + ", segment, anomaly_score, "
+        "round_even(anomaly_score_val, 3) + 0e0 AS anomaly_score_val FROM labelled", "labelled"),
     "report_display": _with(
         f"SELECT {_columns(_FIXED3, _REPORT_COLUMNS)} FROM report", "labelled",
         report=_SEGMENT_REPORT.format(columns=_columns("avg({c}) AS {c}"))),
@@ -317,7 +318,7 @@ ORACLES: dict[str, str] = {
         report=_SEGMENT_REPORT.format(columns=_columns("avg({c}) AS {c}")),
         shown=f"SELECT {_columns(_FIXED3, _REPORT_COLUMNS)} FROM report"),
     "report_roundtrip": _with(
-        _SEGMENT_REPORT.format(columns=_columns("round_even(avg({c}), 3) AS {c}")), "labelled"),
+        _SEGMENT_REPORT.format(columns=_columns("round_even(avg({c}), 3) + 0e0 AS {c}")), "labelled"),
     "silhouette_squared": _with(_SILHOUETTE.format(distance=_SQUARE), "scaled_labelled"),
     "silhouette_exact": _with(_SILHOUETTE.format(distance=f"sqrt({_SQUARE})"), "scaled_labelled"),
 }

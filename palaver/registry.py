@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -216,7 +217,8 @@ def posts_flat(spark, sf_dir):
 @query
 def stream_ingest(spark, sf_dir):
     root = fx.documents_on_disk(spark, sf_dir, "post_days")
-    base = stage(spark.createDataFrame([], POSTS), "stream_posts").inputFiles()[0].rsplit("/", 1)[0]
+    base = f"{work_dir(spark)}/stream-posts-{uuid.uuid4().hex}"
+    tables.create_table(POSTS, spark, base)
     for _ in range(2):  # the second run finds no new files
         ingest_posts(spark, root, base, f"{base}-checkpoint", files_per_batch=20)
     return _plain_posts(spark.read.schema(POSTS).parquet(base))
@@ -268,12 +270,12 @@ def crawl_calendar(spark, sf_dir):
 
 
 def stored_features(spark, sf_dir):
-    return fx._once(spark, sf_dir, "features", lambda: stage(
+    return fx.once(spark, sf_dir, "features", lambda: stage(
         ft.author_features(fx.comments(spark, sf_dir), fx.lexicon(spark, sf_dir)), "features"))
 
 
 def stored_scaled(spark, sf_dir):
-    return fx._once(spark, sf_dir, "scaled", lambda: stage(
+    return fx.once(spark, sf_dir, "scaled", lambda: stage(
         scale(stored_features(spark, sf_dir), FEATURES), "scaled"))
 
 
@@ -344,7 +346,7 @@ def report_widths(spark, sf_dir):
 
 @query
 def report_roundtrip(spark, sf_dir):
-    path = f"{work_dir(spark)}/segment-report-{abs(hash(sf_dir))}"
+    path = f"{work_dir(spark)}/segment-report-{uuid.uuid4().hex}"
     report = reports.segment_report(_labelled(spark, sf_dir)).orderBy("segment")
     tables.write_report(round_numbers(report), path)
     return tables.read_report(spark, path, reports.SEGMENT_REPORT)
@@ -366,7 +368,7 @@ def silhouette_exact(spark, sf_dir):
 
 
 def _segmented(spark, sf_dir):
-    return fx._once(spark, sf_dir, "segmented", lambda: choose_segments(
+    return fx.once(spark, sf_dir, "segmented", lambda: choose_segments(
         stored_scaled(spark, sf_dir), FEATURES))
 
 
