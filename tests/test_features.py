@@ -139,3 +139,29 @@ def test_sample_and_selection(spark):
     assert ft.select_comments(comments, year=1999).count() == 0
     assert ft.select_comments(comments).count() == 20
     assert tuple(ft.corpus_counts(comments).first()) == (20, 20)
+
+
+def test_a_hot_author_is_split_and_stays_whole(spark):
+    """One author with most of the text: small split sizes force adaptive splitting."""
+    comments = spark.range(60_000).selectExpr(
+        "id AS comment_id",
+        "CASE WHEN id % 3 < 2 THEN 1 ELSE id % 50 + 10 END AS author_id",
+        "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) AS creation_datetime",
+        "concat_ws(' ', 'w', id % 1000, hash(id), hash(id + 1)) AS content", "2024 AS year")
+    want = {r["author_id"]: r["lexical_diversity"] for r in comments.select(
+        "author_id", F.explode(F.split("content", " ")).alias("w")).groupBy("author_id").agg(
+        (F.count_distinct("w") / F.count("w")).alias("lexical_diversity")).collect()}
+    keys = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        df = ft.lexical_diversity(comments)
+        got = {r["author_id"]: r["lexical_diversity"] for r in df.collect()}
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == pytest.approx(want)
+    assert "AQEShuffleRead" in plan and "skewed" in plan
