@@ -108,3 +108,33 @@ def test_the_whole_analysis(spark, tmp_path):
     ids = comments.selectExpr("author_id AS id").distinct()
     part = analyse(comments, lexicon, authors=ids, sample=25, year=2024, max_clusters=3, restarts=1)
     assert part.scored.count() == 25
+
+
+def test_a_hot_author_is_split_in_the_suspect_join(spark):
+    """A third of the comments by one author; low thresholds stand in for large data."""
+    keys = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    comments = spark.range(300_000).selectExpr(
+        "id AS comment_id", "CASE WHEN id % 3 = 0 THEN 1 ELSE id % 5000 + 10 END AS author_id",
+        "concat('t', id) AS content").repartition(8)
+    labels = spark.range(6000).selectExpr("id AS author_id", "CAST(id % 3 AS INT) AS segment")
+    top = labels.where("segment = 1").select("segment").limit(1)
+    want = [tuple(r) for r in suspect_comments(comments, labels, top).collect()]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        df = suspect_comments(comments, labels, top)
+        got = [tuple(r) for r in df.collect()]
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == want and len(got) == 100
+    assert "SortMergeJoin(skew=true)" in plan
