@@ -141,9 +141,9 @@ def _oracle() -> str:
 WITH templates(label, base, share, words, n_text, key_at, n_key) AS (VALUES {values}),
 files AS (SELECT row_number() OVER () AS file, doc_id,
     regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
-tokens AS (SELECT file, unnest(words) AS word, unnest(range(len(words))) AS at FROM files),
+tokens AS (SELECT file, unnest(words) AS word, unnest(range(len(words))) AS pos FROM files),
 parts AS (SELECT label, base, share, n_text, key_at, n_key, unnest(words) AS word, unnest(range(n_text)) AS off FROM templates),
-votes AS (SELECT file, label, base, share, n_text, n_key, at - off AS start, count(*) AS votes,
+votes AS (SELECT file, label, base, share, n_text, n_key, pos - off AS start, count(*) AS votes,
                  count(*) FILTER (WHERE off >= key_at AND off < key_at + n_key) AS key_votes
           FROM tokens JOIN parts USING (word) GROUP BY ALL),
 starts AS (SELECT *, votes / n_text AS match FROM votes WHERE key_votes = n_key AND votes / n_text >= share),

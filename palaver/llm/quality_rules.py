@@ -161,7 +161,7 @@ SELECT doc_id, rid, txt, len(words) AS n_words, words,
        len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines
 FROM (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS txt,
              regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-             list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
       FROM {table})
 """
 
