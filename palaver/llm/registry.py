@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from palaver.llm import license_scan, quality_rules
+from palaver.llm import bpe_automaton, license_scan, packing, quality_rules, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_license_scan": license_scan.op3_license_scan,
+    "op5_bpe_automaton": bpe_automaton.op5_bpe_automaton,
+    "op9_token_counts": token_counts.op9_token_counts,
 }
 
 ORACLES = {
