@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from palaver.llm.common import stage
-from palaver.llm.hashing import mix
+from palaver.llm.common import map_batches, stage
+from palaver.llm.hashing import mix, set_bit
 
 #: Bits of a bitmap: 16 MB, at any input size.
 BITS = 1 << 27
@@ -56,3 +57,15 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
     for row in found.toLocalIterator():
         bits[row["slice"] * (span // 8):(row["slice"] + 1) * (span // 8)] = np.frombuffer(row["bits"], np.uint8)
     return bits
+
+
+def rows_by_bit(df: DataFrame, column: str, bits, has: bool) -> DataFrame:
+    """The rows whose key has its bit in a broadcast bitmap, or those whose key has not; a null
+    key has none."""
+
+    def run(batch):
+        keys = batch.column(column)
+        hit = keys.is_valid().to_numpy(zero_copy_only=False) & set_bit(bits.value, keys.fill_null(0).to_numpy().astype(np.int64).view(np.uint64))
+        yield batch.filter(pa.array(hit if has else ~hit))
+
+    return map_batches(df, run, df.schema)

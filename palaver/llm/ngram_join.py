@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from palaver.llm import hashing
 from palaver.llm.common import documents, map_batches, stage
-from palaver.llm.graph import bitmap, components
+from palaver.llm.graph import bitmap, components, rows_by_bit
 
 WIDTH = 5
 PERCENT = 75
@@ -232,8 +232,16 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of linked documents the one of the smallest id stays; of
     repeated rows of one id, one. Rows without an id stay."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = link_classes(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    chosen = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
-    ranked = chosen.withColumn("copy_no", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.sha2(F.coalesce("text", F.lit("")), 256))))
-    return ranked.filter("copy_no = 1").select(*columns).unionByName(docs.filter("doc_id IS NULL"))
+    classes = stage(link_classes(docs), "classes")
+    kept = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    repeated = classes.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter(F.col("count") > 1).select("doc_id")
+    # Only rows that may go are shuffled; the others pass where they are read.
+    doubtful = spark.sparkContext.broadcast(bitmap(classes.filter("doc_id <> component_id").select("doc_id").union(repeated).distinct(), "doc_id"))
+    sure = rows_by_bit(docs, "doc_id", doubtful, False)
+    chosen = rows_by_bit(docs, "doc_id", doubtful, True)
+    chosen = chosen.join(kept, chosen["doc_id"] == kept["kept_id"], "left_semi")
+    texts = F.sha2(F.coalesce("text", F.lit("")), 256)
+    # A name that no column of documents has, whatever extra columns there are.
+    number = "_" * (1 + max(map(len, docs.columns)))
+    first = chosen.withColumn(number, F.row_number().over(Window.partitionBy("doc_id").orderBy(texts))).filter(F.col(number) == 1).drop(number)
+    return sure.unionByName(first)
