@@ -7,11 +7,12 @@ round is a bit of its hash. So a name depends on its words and on at most ``MARG
 them, and equal substrings have equal symbols but for that margin at either end.
 
 A window of 50 words has, inside its margins, at least one whole top-level symbol. The smallest of
-these by hash stands for the window, and equal windows have the same.
+these by hash, with the margin on either side, stands for the window: 27 words or more that lie in
+it, and equal windows have the same.
 
-1. Symbols that stand for windows of more than one document are found by one aggregate and kept as
+1. Stretches that stand for windows of more than one document are found by one aggregate and kept as
    a bitmap of fixed size; more bits than needed cost time, not rows.
-2. Windows that stand under such a symbol are verified by the hash of all their words: each hash
+2. Windows that such a stretch stands for are verified by the hash of all their words: each hash
    gets its smallest document, and larger documents lose the window's words.
 
 Windows are judged on the input. Null, empty and short texts have no windows and lose nothing. Rows
@@ -41,6 +42,7 @@ MARGIN = (RUN + 1) + RUN * (2 ** ROUNDS - 1)
 #: Most words of a top-level symbol. A window must hold one whole inside its margins.
 LONGEST = RUN * 2 ** ROUNDS
 assert WINDOW - 2 * MARGIN >= 2 * LONGEST - 1
+_PLACE = 30  # bits of a symbol's place in its run of texts
 
 
 def _named(first: np.ndarray, second: np.ndarray | int, round_no: int) -> np.ndarray:
@@ -88,8 +90,16 @@ def recompress(words: np.ndarray, text: np.ndarray):
     return symbols, starts, ends
 
 
+def stretch_hashes(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of words[first:last] each."""
+    sums = hashing.prefix_sums(words)
+    _, down = hashing.powers(len(words))
+    return hashing.mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+
+
 def windows(words: np.ndarray, text: np.ndarray, window: int = WINDOW):
-    """(first word, symbol that stands for it) of all windows of one text each."""
+    """(first word, stretch that stands for it) of all windows of one text each. The stretch is the
+    window's smallest symbol, the leftmost if several, with the margin on either side."""
     n = len(words)
     if n < window:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -99,14 +109,20 @@ def windows(words: np.ndarray, text: np.ndarray, window: int = WINDOW):
     high = np.searchsorted(ends, first + window - MARGIN, side="right") - 1
     # Smallest symbol of low..high from two overlapping ranges of a power of two.
     power = np.log2(high - low + 1).astype(np.int64)
-    table, out = symbols, np.empty(len(first), np.uint64)
+    places = np.uint64((1 << _PLACE) - 1)
+    table, best = (symbols & ~places) | np.arange(len(symbols), dtype=np.uint64), np.empty(len(first), np.uint64)
     for k in range(int(power.max(initial=0)) + 1):
         if k:
             half = 1 << (k - 1)
             table = np.minimum(table[:-half], table[half:])
         at = np.flatnonzero(power == k)
-        out[at] = np.minimum(table[low[at]], table[high[at] - (1 << k) + 1])
-    return first, out
+        best[at] = np.minimum(table[low[at]], table[high[at] - (1 << k) + 1])
+    chosen = (best & places).astype(np.int64)
+    new = np.ones(len(first), bool)
+    new[1:] = (chosen[1:] != chosen[:-1]) | (text[first[1:]] != text[first[:-1]])
+    of = chosen[new]
+    stretches = stretch_hashes(words, starts[of] - MARGIN, ends[of] + MARGIN)
+    return first, stretches[np.cumsum(new) - 1] if len(first) else np.empty(0, np.uint64)
 
 
 def window_hashes(words: np.ndarray, first: np.ndarray, window: int = WINDOW) -> np.ndarray:
