@@ -3,7 +3,8 @@
 A document's set is its distinct 5-word shingles, 64-bit tokens here. Sets are compared once per
 distinct set, so copies cost a row each. All sets order their tokens alike, rare before frequent,
 then by hash. Two sets that reach the threshold share a token among their first n - ceil(0.75 n) + 1
-tokens, and k tokens if these prefixes are extended by k - 1.
+tokens, and k tokens if these prefixes are extended by k - 1. Here k is ``COMMON``, or the overlap that
+the threshold asks for where that is less.
 
 1. Frequent tokens come from counts inside chunks of all documents, summed over the corpus. They
    set bits of a bitmap of fixed size. The order only needs to be the same for all sets; a wrong
@@ -17,7 +18,8 @@ tokens, and k tokens if these prefixes are extended by k - 1.
    tokens of the extended prefix where it isn't. Two sets with a link either share a rare token or two
    frequent ones, and all of these are in open buckets, so no link between components is lost.
 
-Verification intersects whole sets. Sets travel only if a fixed-size bitmap of candidates has them.
+A pair whose extended prefixes have fewer tokens in common is no link. The rest is verified on whole
+sets, which one document of each sends; a fixed-size bitmap says which.
 
 Null, empty and wordless texts have empty sets and link with nothing; fewer than five words are one
 shingle. Rows without an id keep their set size and have no component. Repeated rows each get their
@@ -40,6 +42,8 @@ PERCENT = 75
 FREQUENT, MOST_FREQUENT = 16, 1 << 23
 #: Sets in a bucket that is compared pair by pair across components.
 RARE = 16
+#: Tokens that extended prefixes of two linked sets have in common at least, if the sets have so many.
+COMMON = 32
 #: Tokens that are counted together in a task.
 COUNTED = 1 << 22
 
@@ -132,7 +136,7 @@ def prefixes(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
             if len(tokens):
                 late = hashing.set_bit(bits, tokens)
                 ordered = np.concatenate([tokens[~late], tokens[late]]) if late.any() else tokens
-                part = ordered[:prefix_size(len(tokens), percent) + 1]
+                part = ordered[:prefix_size(len(tokens), percent) + COMMON - 1]
                 tokens_out.append(part)
                 nodes_out.append(np.full(len(part), digest(tokens), np.int64))
         if tokens_out:
@@ -143,17 +147,16 @@ def prefixes(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
 
 
 def candidate_sets(docs: DataFrame, wanted, width: int) -> DataFrame:
-    """(node, tokens) of sets whose bit is set, a row for every document that has the set."""
+    """(node, tokens) of the documents whose bit is set."""
 
     def run(batch: pa.RecordBatch):
-        bits = wanted.value
+        ids = batch.column("doc_id").to_numpy().astype(np.int64).view(np.uint64)
+        part = batch.filter(pa.array(hashing.set_bit(wanted.value, ids)))
         nodes, sets = [], []
-        for _, tokens in shingle_sets(batch.column("text"), width):
+        for _, tokens in shingle_sets(part.column("text"), width):
             if len(tokens):
-                node = digest(tokens)
-                if hashing.set_bit(bits, np.array([node], np.int64).view(np.uint64))[0]:
-                    nodes.append(node)
-                    sets.append(tokens.view(np.int64))
+                nodes.append(digest(tokens))
+                sets.append(tokens.view(np.int64))
         if nodes:
             lengths = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -162,21 +165,25 @@ def candidate_sets(docs: DataFrame, wanted, width: int) -> DataFrame:
     return map_batches(docs, run, "node long, tokens array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes that reach the threshold."""
-    sized = (pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
-             .join(nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-             .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    sized = stage(sized, "pairs")
-    spark = docs.sparkSession
-    ends = sized.select(F.col("a").alias("node")).union(sized.select("b")).distinct()
-    wanted = spark.sparkContext.broadcast(bitmap(ends, "node"))
-    sets = stage(candidate_sets(docs, wanted, width).join(ends, "node", "left_semi").dropDuplicates(["node"]), "candidates")
+def verified(docs: DataFrame, pairs: DataFrame, indexed: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes that reach the threshold. ``indexed`` has every node's size, smallest
+    document and indexed tokens: first the sizes, then the tokens in common of the extended prefixes
+    must allow it, and only then whole sets are fetched, each from one document."""
+    side = lambda end: indexed.select(*[F.col(c).alias(f"{c}_{end}") if c != "node" else F.col(c).alias(end) for c in ("node", "n", "first_doc", "tokens")])
+    least_common = F.least(F.lit(COMMON), F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent)))
+    sized = stage(
+        pairs.join(side("a"), "a").join(side("b"), "b")
+        .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        .filter(F.size(F.array_intersect("tokens_a", "tokens_b")) >= least_common)
+        .select("a", "b", "n_a", "n_b", "first_doc_a", "first_doc_b"), "pairs")
+    senders = sized.select(F.col("first_doc_a").alias("doc_id")).union(sized.select("first_doc_b")).distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(senders, "doc_id"))
+    sets = stage(candidate_sets(docs, wanted, width), "candidates")
     both = (sized.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b"))
     common = F.size(F.array_intersect("x", "y")).cast("long")
     return stage(both.select("a", "b", "n_a", "n_b", common.alias("common"))
-                 .filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b"), "edges")
+                 .filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b").distinct(), "edges")
 
 
 def link_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -192,9 +199,11 @@ def link_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     shared = index.groupBy("token").agg(F.count("*").alias("rows")).filter("rows > 1")
     buckets = stage(index.join(shared.select("token"), "token").distinct(), "buckets")
 
+    lists = buckets.groupBy("node").agg(F.collect_list("token").alias("tokens"))
+    indexed = stage(nodes.join(lists, "node"), "indexed")
     smallest = buckets.groupBy("token").agg(F.min("node").alias("b"), F.count("*").alias("size")).filter("size > 1")
     star = buckets.join(smallest.select("token", "b"), "token").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    first_links = verified(identified, star, nodes, width, percent)
+    first_links = verified(identified, star, indexed, width, percent)
 
     roots = components(first_links)
     placed = buckets.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
@@ -214,7 +223,7 @@ def link_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
                 .select(F.col("node").alias("a"), "b"))
 
     more = across(small, ["token"]).union(across(combined, ["first", "second"])).distinct().join(star, ["a", "b"], "left_anti")
-    second_links = verified(identified, more, nodes, width, percent)
+    second_links = verified(identified, more, indexed, width, percent)
     if not second_links.isEmpty():
         roots = components(first_links.union(second_links))
     labels = nodes.join(roots, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
