@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed together; a longer text is hashed by itself.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
@@ -52,10 +52,10 @@ def prefix_sums(symbols: np.ndarray) -> np.ndarray:
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets): runs of rows with their UTF-8 bytes; null texts are empty."""
-    texts = texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], width)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.empty(0, np.uint8)
     first = 0
     while first < len(texts):

@@ -347,7 +347,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT, carry: tuple[st
             out["n_removed"].append(int(gone.sum()))
             out["n_spans"].append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            out["kept"].append(kept)
+            if rest:
+                out["kept"].append(kept)
         arrays = [batch.column("doc_id"), *[pa.array(out[c], pa.int64()) for c in columns[1:4]], pa.array(out["kept_sha256"], pa.string())]
         names = list(columns)
         if rest:
