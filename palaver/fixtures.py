@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,9 +51,7 @@ FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey
 """
 
 LEXICON_SQL = """
-SELECT word, (rank % 5 - 2) / 2e0 AS polarity
-FROM (SELECT word, row_number() OVER (ORDER BY uses DESC, word) AS rank
-      FROM (SELECT word, uses FROM {word_counts} ORDER BY uses DESC, word LIMIT 50) top_words) ranked
+SELECT word, (length(word) % 5 - 2) / 2e0 AS polarity FROM {word_counts}
 """
 
 THREADS_SQL = """
@@ -80,6 +79,14 @@ SELECT CASE WHEN doc_id % 41 = 0 THEN '' ELSE concat('p', CAST(doc_id AS VARCHAR
 FROM {documents}
 """
 
+# A forest of two small trees: nodes with feature, threshold, left, right and path length.
+FIXED_FOREST = [
+    {"sample_rows": 8, "feature": [0, 1, -1, -1, -1], "threshold": [0.1, -0.2, 0.0, 0.0, 0.0],
+     "left": [1, 3, 2, 3, 4], "right": [2, 4, 2, 3, 4], "path": [0.0, 0.0, 3.5, 2.0, 4.25]},
+    {"sample_rows": 8, "feature": [4, -1, 6, -1, -1], "threshold": [0.0, 0.0, 0.3, 0.0, 0.0],
+     "left": [1, 1, 3, 3, 4], "right": [2, 1, 4, 3, 4], "path": [0.0, 1.5, 0.0, 3.0, 5.0]},
+]
+
 _TABLES = ("documents", "events", "orders", "customer", "conversations", "labels")
 _stored: dict[tuple[str, str, str], DataFrame | str] = {}
 
@@ -104,7 +111,7 @@ def once(spark: SparkSession, sf_dir: str, name: str, make):
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The comment table, stored as Parquet with a directory per year."""
     return once(spark, sf_dir, "comments", lambda: stage(
-        _sql(spark, sf_dir, COMMENTS_SQL).repartition("year", F.pmod("comment_id", F.lit(8))),
+        _sql(spark, sf_dir, COMMENTS_SQL).hint("rebalance", "year"),
         "comments", ("year",)))
 
 
@@ -117,7 +124,7 @@ def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 most frequent lower-case words of the documents with made-up polarities."""
+    """Every lower-case word of the documents with a polarity made from its length."""
     spread = table(spark, sf_dir, "documents").select(
         F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
     counts = spread.groupBy("word").agg(F.count("*").alias("uses"))
@@ -217,6 +224,40 @@ def comment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Replies in a chain, one document each; the five lengths take turns.
+CHAINS = (1, 4, 450, 600, 1000)
+DEEP_SQL = """
+SELECT c.conv_id AS post_id, c.conv_id * 10000 + p.pos AS comment_id, p.pos AS depth,
+  CASE WHEN p.pos > 0 THEN c.conv_id * 10000 + p.pos - 1 END AS parent_comment_id,
+  t.text AS content, CAST(2019 + c.conv_id % 6 AS INT) AS year
+FROM (SELECT DISTINCT conv_id FROM {conversations} WHERE conv_id % 20 = 0) c
+JOIN {positions} p ON p.chain = floor(c.conv_id / 20) % 5
+JOIN {conversations} t ON t.turn = 0
+  AND t.conv_id = (c.conv_id + p.pos) % (SELECT count(DISTINCT conv_id) FROM {conversations})
+"""
+
+
+def deep_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    positions = spark.createDataFrame(
+        list(enumerate(CHAINS)), "chain int, length int").select(
+        "chain", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("pos"))
+    return _sql(spark, sf_dir, DEEP_SQL, positions=positions)
+
+
+def deep_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path`` and ``body``: documents whose comments are one chain of replies each."""
+    node = F.to_json(F.struct(
+        F.col("comment_id").alias("id"), (F.col("comment_id") % 97).alias("author"), "content"))
+    opened = F.concat(F.substring(node, F.lit(1), F.length(node) - 1), F.lit(',"child_comments":['))
+    chain = F.transform(F.sort_array(F.collect_list(F.struct("depth", opened.alias("text")))), lambda x: x["text"])
+    return deep_comments(spark, sf_dir).groupBy("post_id", "year").agg(chain.alias("nodes")).select(
+        F.concat(F.col("year").cast("string"), F.lit("/2019_01_01_d"), F.col("post_id").cast("string"), F.lit(".json")).alias("path"),
+        F.concat(
+            F.lit('{"summary":{"id":'), F.col("post_id").cast("string"), F.lit('},"comments":['),
+            F.array_join("nodes", ""), F.expr("repeat(']}', size(nodes))"),
+            F.lit('],"authors":[{"id":'), F.col("post_id").cast("string"), F.lit("}]}")).alias("body"))
+
+
 def damaged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The comment documents with some cut in half and some without their summary."""
     number = F.regexp_extract("path", r"_c(\d+)\.json$", 1).cast("bigint")
@@ -230,7 +271,9 @@ def damaged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_documents(documents: DataFrame, root: str) -> str:
     """Writes each ``body`` to the file ``root/path``. Test data only: the folder must be
-    mounted on every executor."""
+    mounted on every executor, so a root in a store that only Spark reaches is refused."""
+    if re.match(r"\w+:", root):
+        raise ValueError(f"test documents need a mounted folder in spark.checkpoint.dir, not {root}")
 
     def write(rows) -> None:
         for row in rows:

@@ -25,16 +25,19 @@ def crawl_gaps(posts: DataFrame, files: DataFrame) -> DataFrame:
     """Per day: posts, posts without a comment document, and whether the day is complete.
 
     ``posts`` holds ``day`` (text) and ``composite_id``; ``files`` holds ``file`` in the
-    form of ``comment_file_name``. Posts without a composite id need no document.
+    form of ``comment_file_name``. Posts without a composite id need no document: they are not
+    counted, and a day with no other posts is complete.
     """
-    wanted = posts.where("composite_id <> ''").select(
-        "day", comment_file_name(F.col("day"), F.col("composite_id")).alias("file"))
+    named = F.coalesce(F.col("composite_id") != "", F.lit(False))
+    wanted = posts.select(
+        "day", named.alias("named"),
+        F.when(named, comment_file_name(F.col("day"), F.col("composite_id"))).alias("file"))
     present = files.select("file", F.lit(True).alias("present")).distinct()
-    found = F.coalesce("present", F.lit(False))
+    missing = F.col("named") & F.col("present").isNull()
     return wanted.join(present, "file", "left").groupBy("day").agg(
-        F.count("*").alias("posts"),
-        F.count_if(~found).alias("missing"),
-        F.bool_and(found).alias("complete"),
+        F.count_if("named").alias("posts"),
+        F.count_if(missing).alias("missing"),
+        F.bool_and(~missing).alias("complete"),
     )
 
 

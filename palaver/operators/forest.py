@@ -91,6 +91,8 @@ def fit_forest(
     """Grows the trees, one task group each, and returns them (at most 511 nodes a tree)."""
     names = list(columns)
     authors = scaled.count()
+    if authors == 0:
+        raise ValueError("a forest needs at least one author")
     rows = min(rows_per_tree, authors)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -148,14 +150,15 @@ def anomaly_flag(value: Column) -> Column:
 
 
 def anomaly_scores(
-    scaled: DataFrame, columns: Sequence[str], contamination: float = 0.05, seed: int = 42
+    scaled: DataFrame, columns: Sequence[str], contamination: float = 0.05, seed: int = 42,
+    trees: int = TREES, rows_per_tree: int = ROWS_PER_TREE,
 ) -> DataFrame:
     """``author_id``, ``anomaly_score`` (-1 or 1) and ``anomaly_score_val``.
 
     The value is the forest score minus its ``contamination`` quantile, so that share of
-    authors is negative.
+    authors is negative. ``trees`` and ``rows_per_tree`` are the method's published defaults.
     """
-    forest = fit_forest(scaled, columns, seed)
+    forest = fit_forest(scaled, columns, seed, trees, rows_per_tree)
     scored = stage(
         score_forest(scaled, columns, forest).select("author_id", "forest_score"), "forest")
     offset = exact_quantiles(scored, ["forest_score"], [contamination])["forest_score", contamination]

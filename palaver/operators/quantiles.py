@@ -13,9 +13,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SMALL = 1_000_000
+SMALL = 100_000
 ACCURACY = 10_000
-_MAX_ROUNDS = 6
+_MAX_ROUNDS = 8
 
 
 @dataclass
@@ -58,8 +58,10 @@ def exact_quantiles(
     for _ in range(_MAX_ROUNDS):
         wide = [b for b in brackets if b.open(small)]
         if not wide:
-            break
+            return _read(df, goals)
         _narrow(df, wide)
+    if any(b.open(small) for b in brackets):
+        raise RuntimeError(f"no {small} values could be found that hold the quantile")
     return _read(df, goals)
 
 

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from palaver.session import stage
 
-ROWS_PER_PARTITION = 200_000
 BLOCK_ROWS = 2048
 
 
@@ -101,6 +100,17 @@ def _label(model: KMeansModel, points: DataFrame) -> DataFrame:
     return model.transform(points).withColumn("segment", _renumbered(model)).drop("_cluster")
 
 
+def assign_segments(points: DataFrame, centres: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``author_id`` and ``segment`` of the nearest centre, ties to the smaller segment.
+
+    ``centres`` has a row per segment, at most as many as a choice of k looks at.
+    """
+    rows = centres.select("segment", *columns).orderBy("segment").collect()
+    distance = lambda c: sum(((F.col(n) - F.lit(float(c[n]))) ** 2 for n in columns), F.lit(0.0))
+    nearest = F.array_min(F.array(*[F.struct(distance(c).alias("d"), F.lit(c["segment"]).alias("s")) for c in rows]))
+    return points.select("author_id", nearest["s"].alias("segment"))
+
+
 def choose_segments(
     scaled: DataFrame,
     columns: Sequence[str],
@@ -109,12 +119,15 @@ def choose_segments(
     seed: int = 42,
     metric: str = "squared",
     parallelism: int = 16,
+    partitions: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Labelled authors, and a table (k, silhouette, cost) with the chosen k first.
+    """Labelled authors, and a table (k, silhouette, cost, metric) with the chosen k first.
 
     Each k keeps the cheapest of its restarts; the best silhouette wins, ties go to the
     smaller k. The fits are independent Spark jobs over one persisted matrix and are
-    submitted side by side.
+    submitted side by side. The start of a fit and its sums follow the order of rows, so the
+    matrix is dealt by author and sorted inside its ``partitions`` (by default as many as the
+    cluster has cores): however the input is split, one such number gives one result.
     """
     authors = scaled.count()
     if authors < 2 or max_clusters < 2:
@@ -123,7 +136,8 @@ def choose_segments(
     points = (
         VectorAssembler(inputCols=list(columns), outputCol="_point")
         .transform(scaled)
-        .repartition(max(1, authors // ROWS_PER_PARTITION), "author_id")
+        .repartition(partitions or spark.sparkContext.defaultParallelism, "author_id")
+        .sortWithinPartitions("author_id")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
 
@@ -161,8 +175,8 @@ def choose_segments(
     if max(scores.values()) <= -1:
         raise ValueError("no number of clusters gave a silhouette")
     table = spark.createDataFrame(
-        [(k, float(scores[k]), float(best[k].summary.trainingCost)) for k in candidates],
-        "k int, silhouette double, cost double",
+        [(k, float(scores[k]), float(best[k].summary.trainingCost), metric) for k in candidates],
+        "k int, silhouette double, cost double, metric string",
     ).orderBy(F.desc("silhouette"), "k")
     chosen = max(candidates, key=lambda k: (scores[k], -k))
     labelled = stage(_label(best[chosen], points).drop("_point"), "labelled")

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palaver.schemas import COMMENTS
 from palaver.session import stage
 
-# Tree levels taken from one staged frontier before the next one is written.
-LEVELS_PER_STAGE = 4
+# Tree levels of the first round; documents that are deeper go on with twice as many.
+LEVELS = 64
 
 _FIELDS = {
     "comment_id": ("id", "bigint"),
@@ -23,41 +23,68 @@ _FIELDS = {
 }
 
 
-def _field(name: str) -> Column:
-    path, kind = _FIELDS[name]
-    value = F.try_variant_get("node", f"$.{path}", kind)
-    return value.try_cast("timestamp_ntz") if name == "creation_datetime" else value
+_FRONTIER = "array<struct<depth: int, parent_comment_id: bigint, node: variant>>"
+_FOUND = "array<struct<parent_comment_id: bigint, depth: int, " + ", ".join(
+    f"{name}: {kind}" for name, (_, kind) in _FIELDS.items()) + ">>"
 
 
-def _children(value: str, path: str) -> Column:
-    return F.explode(F.try_variant_get(value, path, "array<variant>")).alias("node")
+def _children(value: Column, path: str, parent: Column, depth: Column) -> Column:
+    nodes = F.coalesce(
+        F.try_variant_get(value, path, "array<variant>"), F.array().cast("array<variant>"))
+    return F.transform(nodes, lambda node: F.struct(
+        depth.alias("depth"), parent.alias("parent_comment_id"), node.alias("node")))
+
+
+def _walk(levels: int) -> Column:
+    """Goes ``levels`` levels down from the column ``frontier``: the nodes found on the way,
+    and the frontier below them."""
+
+    def row(x: Column) -> Column:
+        return F.struct(x["parent_comment_id"], x["depth"], *[
+            F.try_variant_get(x["node"], f"$.{path}", kind).alias(name)
+            for name, (path, kind) in _FIELDS.items()])
+
+    def below(x: Column) -> Column:
+        own_id = F.try_variant_get(x["node"], "$.id", "bigint")
+        return _children(x["node"], "$.child_comments", own_id, x["depth"] + 1)
+
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(levels)),
+        F.struct(F.col("frontier"), F.array().cast(_FOUND).alias("found")),
+        lambda state, _: F.struct(
+            F.flatten(F.transform(state["frontier"], below)).alias("frontier"),
+            F.concat(state["found"], F.transform(state["frontier"], row)).alias("found")))
 
 
 def flatten_comments(documents: DataFrame) -> DataFrame:
     """Rows of the comment table from ``post_id``, ``year`` and the document ``doc``.
 
-    Goes down the tree level by level. A level is an ``explode`` without any shuffle; the
-    frontier is staged every few levels, so the JSON is parsed once and a tree of any
-    depth ends after depth / LEVELS_PER_STAGE jobs.
+    One expression goes down a whole document, level by level, and one ``explode`` makes its
+    rows: no shuffle, and a plan that does not grow with the depth. Documents deeper than
+    ``LEVELS`` are staged with what is left of them and go on with twice the levels, so a tree
+    of depth d takes log2(d / LEVELS) rounds more.
     """
-    level = documents.select(
-        "post_id", "year", F.lit(None).cast("bigint").alias("parent_comment_id"),
-        _children("doc", "$.comments"))
+    levels = LEVELS
+    rest = documents.select("post_id", "year", _children(
+        F.col("doc"), "$.comments", F.lit(None).cast("bigint"), F.lit(0)).alias("frontier"))
     pieces: list[DataFrame] = []
     while True:
-        level = stage(level, "frontier")
-        if pieces and level.isEmpty():
+        walked = stage(
+            rest.where(F.size("frontier") > 0).withColumn("walked", _walk(levels)).select(
+                "post_id", "year", "walked.found", "walked.frontier"), "walked")
+        pieces.append(walked.select("post_id", "year", F.explode("found").alias("found")))
+        rest = walked.where(F.size("frontier") > 0).select("post_id", "year", "frontier")
+        if rest.isEmpty():
             break
-        for _ in range(LEVELS_PER_STAGE):
-            depth = F.lit(len(pieces)).alias("depth")
-            pieces.append(level.select(
-                "post_id", "year", "parent_comment_id", depth,
-                *[_field(name).alias(name) for name in _FIELDS]))
-            level = level.select(
-                "post_id", "year",
-                F.try_variant_get("node", "$.id", "bigint").alias("parent_comment_id"),
-                _children("node", "$.child_comments"))
-    return reduce(DataFrame.unionByName, pieces).select(*COMMENTS.names)
+        levels *= 2
+    return found_rows(reduce(DataFrame.unionByName, pieces))
+
+
+def found_rows(found: DataFrame) -> DataFrame:
+    """Rows of the comment table from ``post_id``, ``year`` and a struct ``found`` per comment."""
+    time = F.col("creation_datetime").try_cast("timestamp_ntz")
+    return found.select("post_id", "year", "found.*").withColumn(
+        "creation_datetime", time).select(*COMMENTS.names)
 
 
 def _settled(rounds: list[DataFrame]) -> DataFrame:

@@ -38,7 +38,7 @@ _VIEWS: dict[str, str] = {
           (count(*) - count(DISTINCT coalesce(content, ''))) / count(*) AS repeated_ratio,
           avg(CASE WHEN contains(lower(coalesce(content, '')), 'http') THEN 1e0 ELSE 0e0 END)
             AS link_ratio,
-          count(creation_datetime) / greatest(floor(
+          CASE WHEN count(creation_datetime) > 0 THEN count(*) ELSE 0 END / greatest(floor(
             (epoch_us(max(creation_datetime)) - epoch_us(min(creation_datetime))) / 86400e6), 1)
             AS comments_per_day
         FROM comments WHERE author_id IS NOT NULL GROUP BY author_id""",
@@ -188,6 +188,24 @@ FROM (SELECT author_id, max(CASE WHEN own THEN size END) AS size,
       GROUP BY author_id) per_row"""
 _SQUARE = _columns("(p.{c} - q.{c}) * (p.{c} - q.{c})", joiner=" + ")
 
+_DEEP = {
+    "positions": " UNION ALL ".join(
+        f"SELECT {i} AS chain, unnest(range({n})) AS pos" for i, n in enumerate(fx.CHAINS)),
+    "deep": fx.DEEP_SQL.format(conversations="conversations", positions="positions"),
+}
+
+
+def _tree_sql(tree: dict, node: int = 0) -> str:
+    """Path length of a row in a fixed tree."""
+    if tree["feature"][node] < 0:
+        return f"{tree['path'][node]}e0"
+    return (f"CASE WHEN {FEATURES[tree['feature'][node]]} <= {tree['threshold'][node]}e0 "
+            f"THEN {_tree_sql(tree, tree['left'][node])} ELSE {_tree_sql(tree, tree['right'][node])} END")
+
+
+# Mean depth of an unsuccessful search among 8 rows.
+_MEAN_PATH = "(2 * (ln(7e0) + 0.5772156649015329) - 14e0 / 8)"
+
 ORACLES: dict[str, str] = {
     "lexical_diversity": _with(
         "SELECT b.author_id, round(coalesce(lexical_diversity, 0), 6) AS lexical_diversity "
@@ -230,8 +248,8 @@ ORACLES: dict[str, str] = {
         "SELECT comment_id, author_id, creation_datetime, year FROM comments WHERE year = 2021",
         "comments"),
     "union_years": _with(
-        "SELECT comment_id, author_id, year FROM comments WHERE year = 2019 UNION ALL "
-        "SELECT comment_id, author_id, year FROM comments WHERE year = 2020", "comments"),
+        " UNION ALL ".join(f"SELECT comment_id, author_id, year FROM comments WHERE year = {year}"
+                           for year in range(2019, 2025)), "comments"),
     "authors_canonical": _with(_canonical(), "authors_raw"),
     "authors_upsert_coalesce": _upsert("coalesce(o.registered_at, n.registered_at)"),
     "authors_upsert_least": _upsert("least(o.registered_at, n.registered_at)"),
@@ -261,6 +279,26 @@ ORACLES: dict[str, str] = {
         "TIMESTAMP '2019-05-06 07:08:09' AS registered_at, "
         "CAST(DATE '2019-01-01' + CAST(post_id % 365 AS INT) AS TIMESTAMP) AS seen_at "
         "FROM (SELECT DISTINCT author_id, post_id FROM threads) seen", "threads"),
+    "deep_threads": _with(
+        "SELECT post_id, comment_id, parent_comment_id, CAST(depth AS INT) AS depth, content, year FROM deep",
+        **_DEEP),
+    "deep_sightings": _with(
+        "SELECT DISTINCT post_id AS author_id, TIMESTAMP '2019-01-01 00:00:00' AS seen_at FROM deep", **_DEEP),
+    "comments_of_years": _with(
+        "SELECT comment_id, depth, year FROM threads WHERE year IN (2019, 2022)", "threads"),
+    "raw_reload": _with(
+        "SELECT comment_id, post_id, parent_comment_id, author_id, approved, creation_datetime, content, "
+        "CAST(kudos_count AS BIGINT) AS kudos_count, reference_id FROM threads", "threads"),
+    "reload_markers": _with("SELECT year, count(*) AS rows_loaded FROM threads GROUP BY year", "threads"),
+    "crawl_listing": (
+        "SELECT CAST(DATE '2019-01-01' + CAST(conv_id % 365 AS INT) AS VARCHAR) AS day, "
+        "2 * count(*) AS posts, count(*) AS missing, false AS complete "
+        "FROM (SELECT DISTINCT conv_id FROM conversations) c GROUP BY conv_id % 365"),
+    "missing_posts": (
+        "SELECT CAST(day AS VARCHAR) AS day, concat('x', conv_id) AS composite_id, "
+        "concat('2019/', strftime(day, '%Y_%m_%d'), '_x', conv_id, '.json') AS file, "
+        "concat('x', conv_id) AS request_path FROM (SELECT DISTINCT conv_id, "
+        "DATE '2019-01-01' + CAST(conv_id % 365 AS INT) AS day FROM conversations) c"),
     "ingest_errors": _with(
         f"SELECT {_FILE_OF_POST} AS file, CASE WHEN post_id % 9 = 0 THEN 'unreadable' "
         "ELSE 'no summary id' END AS reason FROM (SELECT DISTINCT post_id FROM threads) posts "
@@ -274,11 +312,12 @@ ORACLES: dict[str, str] = {
         "JOIN comments c ON c.parent_comment_id = t.comment_id",
         r="SELECT parent_comment_id, count(*) AS replies FROM comments GROUP BY parent_comment_id"),
     "crawl_gaps": _with(
-        "SELECT CAST(DATE '2024-01-01' + day_number AS VARCHAR) AS day, count(*) AS posts, "
-        "sum(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END)::BIGINT AS missing, "
-        "bool_and(l.doc_id IS NOT NULL) AS complete "
-        "FROM posts_base p LEFT JOIN labels l ON l.doc_id = p.doc_id "
-        "WHERE composite_id <> '' GROUP BY day_number", "posts_base"),
+        "SELECT CAST(DATE '2024-01-01' + day_number AS VARCHAR) AS day, "
+        "count(*) FILTER (WHERE composite_id <> '') AS posts, "
+        "count(*) FILTER (WHERE composite_id <> '' AND l.doc_id IS NULL) AS missing, "
+        "count(*) FILTER (WHERE composite_id <> '' AND l.doc_id IS NULL) = 0 AS complete "
+        "FROM posts_base p LEFT JOIN labels l ON l.doc_id = p.doc_id GROUP BY day_number",
+        "posts_base"),
     "crawl_calendar": (
         "SELECT CAST(CAST(day AS DATE) AS VARCHAR) AS day FROM (SELECT unnest(generate_series("
         "(SELECT CAST(CAST(min(ts) AS DATE) AS TIMESTAMP) FROM events), "
@@ -321,4 +360,28 @@ ORACLES: dict[str, str] = {
         _SEGMENT_REPORT.format(columns=_columns("round_even(avg({c}), 3) + 0e0 AS {c}")), "labelled"),
     "silhouette_squared": _with(_SILHOUETTE.format(distance=_SQUARE), "scaled_labelled"),
     "silhouette_exact": _with(_SILHOUETTE.format(distance=f"sqrt({_SQUARE})"), "scaled_labelled"),
+    "suspect_first_ten": _with(
+        "SELECT author_id AS user_id, content AS comment FROM comments WHERE author_id IN "
+        "(SELECT author_id FROM labelled WHERE segment = (SELECT segment FROM composite "
+        "GROUP BY segment ORDER BY avg(composite_score) DESC, segment LIMIT 1)) "
+        "ORDER BY md5(concat('42:', comment_id)), comment_id LIMIT 10", "composite"),
+    "composite_without_columns": _with(
+        "SELECT author_id, round(-2 * " + _Z.format(c="anomaly_score_val") + " + "
+        + _Z.format(c="repeated_ratio") + " - " + _Z.format(c="lexical_diversity") + " + "
+        + _Z.format(c="comments_per_day") + ", 6) + 0e0 AS composite_score FROM labelled", "labelled"),
+    "planted_segments": _with(
+        "SELECT author_id, CAST(author_id % 4 AS INT) AS segment FROM features", "features"),
+    "planted_k": "SELECT CAST(4 AS INT) AS k, 'squared' AS metric",
+    "assigned_segments": _with(
+        "SELECT author_id, segment FROM near QUALIFY row_number() OVER (PARTITION BY author_id ORDER BY d, segment) = 1",
+        "scaled_labelled",
+        centres=f"SELECT CAST(segment AS INT) AS segment, {_columns('avg({c}) AS {c}')} FROM scaled_labelled GROUP BY ALL",
+        near=f"SELECT p.author_id, q.segment, {_SQUARE} AS d FROM scaled_labelled p CROSS JOIN centres q"),
+    "fixed_forest_scores": _with(
+        "SELECT author_id, round(-power(2, -(" + " + ".join(_tree_sql(t) for t in fx.FIXED_FOREST)
+        + f") / (2 * {_MEAN_PATH})), 6) AS forest_score FROM scaled", "scaled"),
+    "anomaly_facts": _with(
+        "SELECT count(*) AS authors, CAST(0 AS BIGINT) AS wrong_signs, CAST(0 AS BIGINT) AS out_of_range, "
+        "true AS few_flagged FROM basics", "basics"),
+    "analysis_features": _with(f"SELECT author_id, {_FEATURES_6} FROM features", "features"),
 }

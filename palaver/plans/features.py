@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palaver.functions.text import fingerprint, has_link, words
 from palaver.functions.time import entropy_of, per_day
 from palaver.operators.timeline import burstiness
-from palaver.session import broadcast_if_small
 
 _HOUR_BINS = [f"h{hour:02d}" for hour in range(24)]
 
@@ -63,7 +62,7 @@ def _polarity_sums(comments: DataFrame, lexicon: DataFrame) -> DataFrame:
     spread = _named(comments).select(
         "author_id", "comment_id", F.explode(words(F.lower("content"))).alias("word"))
     per_comment = (
-        spread.join(broadcast_if_small(scores), "word")
+        spread.join(scores, "word")
         .groupBy("author_id", "comment_id")
         .agg(F.avg("polarity").alias("polarity"))
     )
@@ -82,11 +81,18 @@ def sentiment_polarity(comments: DataFrame, lexicon: DataFrame) -> DataFrame:
         (F.coalesce("polarity_sum", F.lit(0.0)) / F.col("n")).alias("sentiment_polarity"))
 
 
+def _if_dated(n: Column, n_dated: Column) -> Column:
+    return F.when(n_dated > 0, n).otherwise(0)
+
+
 def comments_per_day(comments: DataFrame) -> DataFrame:
-    """Comments over the whole days between first and last, at least one day."""
+    """Comments over the whole days between first and last, at least one day.
+
+    Comments without a time count; an author without any time has 0.
+    """
     ts = F.col("creation_datetime")
     return _named(comments).groupBy("author_id").agg(
-        per_day(F.count(ts), F.min(ts), F.max(ts)).alias("comments_per_day"))
+        per_day(_if_dated(F.count("*"), F.count(ts)), F.min(ts), F.max(ts)).alias("comments_per_day"))
 
 
 def hour_histogram(comments: DataFrame) -> DataFrame:
@@ -164,7 +170,8 @@ def author_features(comments: DataFrame, lexicon: DataFrame) -> DataFrame:
         ((n - F.col("n_texts")) / n).alias("repeated_ratio"),
         (F.col("n_links") / n).alias("link_ratio"),
         (F.coalesce("polarity_sum", F.lit(0.0)) / n).alias("sentiment_polarity"),
-        per_day(F.col("n_dated"), F.col("first_at"), F.col("last_at")).alias("comments_per_day"),
+        per_day(_if_dated(F.col("n"), F.col("n_dated")), F.col("first_at"), F.col("last_at")).alias(
+            "comments_per_day"),
         F.when(F.col("n_dated") < 2, 0.0).otherwise(F.col("burstiness_hours")).alias(
             "burstiness_hours"),
         _hour_entropy(),
@@ -190,4 +197,4 @@ def select_comments(
     if authors is None:
         return chosen
     ids = authors.select(F.col("id").alias("author_id"))
-    return chosen.join(broadcast_if_small(ids), "author_id", "left_semi")
+    return chosen.join(ids, "author_id", "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from palaver.operators import keys
-from palaver.operators.threads import flatten_comments
+from palaver.operators.threads import flatten_comments, found_rows
 from palaver.schemas import AUTHOR_USERNAMES, AUTHORS, COMMENTS, COMMENTS_RAW, POSTS
 from palaver.session import stage
 from palaver.sources import authors as author_source, comments as comment_source
@@ -22,7 +22,7 @@ def _typed(df: DataFrame, schema: StructType) -> DataFrame:
 def load_posts(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Append the posts of all day files that ``table`` does not hold; the first file wins."""
     batch = post_source.flatten_posts(post_source.read_post_days(spark, root))
-    return tables.append_new(batch, table, POSTS, "id", ["file"])
+    return tables.append_new(batch, table, POSTS, "id", ["file", "pos"])
 
 
 def read_comments(
@@ -30,7 +30,9 @@ def read_comments(
 ) -> DataFrame:
     """Flat comments of the documents below ``root``, of some years or of all."""
     files = comment_source.read_comment_files(spark, root, years)
-    return flatten_comments(comment_source.usable_documents(files))
+    shallow = flatten_comments(comment_source.usable_documents(files))
+    deep = stage(comment_source.read_deep(files).where("post_id IS NOT NULL"), "deep")
+    return shallow.unionByName(found_rows(deep.select("post_id", "year", F.explode("found").alias("found"))))
 
 
 def load_comments(
@@ -51,7 +53,7 @@ def reload_comments_raw(
     """
     flat = stage(read_comments(spark, root, years), "comments")
     once = keys.first_per_key(
-        flat.where("comment_id is not null"), ["comment_id"], ["year", "post_id", "depth"])
+        flat.where("comment_id is not null"), ["comment_id"], ["year", "post_id", "depth", "parent_comment_id", "creation_datetime", "content"])
     _typed(once, COMMENTS_RAW).write.mode("overwrite").parquet(table)
     tables.load_markers(flat).write.mode("overwrite").parquet(markers)
     return spark.read.schema(COMMENTS_RAW).parquet(table)

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palaver import fixtures as fx
 from palaver.functions.formatting import round_numbers
 from palaver.operators import crawl, keys, threads, timeline
-from palaver.operators.forest import anomaly_flag, anomaly_scores as forest_scores
+from palaver.operators.forest import (
+    anomaly_flag, anomaly_scores as forest_scores, score_forest)
 from palaver.operators.scaling import scaled_features as scale
 from palaver.operators.scoring import (
     composite_score as composite, suspect_comments as draw_suspects, top_segment as top)
 from palaver.operators.segmentation import (
-    choose_segments, silhouette_exact as exact_score, silhouette_squared as squared_score)
-from palaver.plans import features as ft, reports
+    assign_segments, choose_segments, silhouette_exact as exact_score, silhouette_squared as squared_score)
+from palaver.plans import features as ft, loads, reports
 from palaver.plans.pipeline import analyse
 from palaver.schemas import FEATURES, POSTS
 from palaver.session import stage, work_dir
@@ -125,7 +127,8 @@ def comments_by_year(spark, sf_dir):
 @query
 def union_years(spark, sf_dir):
     comments = fx.comments(spark, sf_dir).select("comment_id", "author_id", "year")
-    return comments.where("year = 2019").unionByName(comments.where("year = 2020"))
+    years = [comments.where(f"year = {year}") for year in range(2019, 2025)]
+    return reduce(DataFrame.unionByName, years)
 
 
 # ---- authors and keyed loads -----------------------------------------------------------
@@ -211,7 +214,7 @@ def _plain_posts(posts: DataFrame) -> DataFrame:
 def posts_flat(spark, sf_dir):
     root = fx.documents_on_disk(spark, sf_dir, "post_days")
     days = post_source.read_post_days(spark, root)
-    return _plain_posts(post_source.flatten_posts(days).drop("file"))
+    return _plain_posts(post_source.flatten_posts(days).drop("file", "pos"))
 
 
 @query
@@ -227,8 +230,7 @@ def stream_ingest(spark, sf_dir):
 @query
 def comments_flat(spark, sf_dir):
     root = fx.documents_on_disk(spark, sf_dir, "comment_documents")
-    files = comment_source.read_comment_files(spark, root)
-    return threads.flatten_comments(comment_source.usable_documents(files))
+    return loads.read_comments(spark, root)
 
 
 @query
@@ -237,6 +239,66 @@ def author_sightings(spark, sf_dir):
     return author_source.read_author_sightings(spark, root)
 
 
+@query
+def deep_threads(spark, sf_dir):
+    """Chains of up to a thousand replies."""
+    root = fx.documents_on_disk(spark, sf_dir, "deep_documents")
+    return loads.read_comments(spark, root).select(
+        "post_id", "comment_id", "parent_comment_id", "depth", "content", "year")
+
+
+@query
+def deep_sightings(spark, sf_dir):
+    root = fx.documents_on_disk(spark, sf_dir, "deep_documents")
+    return author_source.read_author_sightings(spark, root).select("author_id", "seen_at")
+
+
+@query
+def comments_of_years(spark, sf_dir):
+    root = fx.documents_on_disk(spark, sf_dir, "comment_documents")
+    return loads.read_comments(spark, root, [2019, 2022]).select("comment_id", "depth", "year")
+
+
+def _reloaded(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    root = fx.documents_on_disk(spark, sf_dir, "comment_documents")
+    base = f"{work_dir(spark)}/reload-{uuid.uuid4().hex}"
+    for _ in range(2):  # the second run resets what the first has loaded
+        rows = loads.reload_comments_raw(spark, root, f"{base}/rows", f"{base}/markers")
+    return rows, spark.read.parquet(f"{base}/markers")
+
+
+@query
+def raw_reload(spark, sf_dir):
+    return _reloaded(spark, sf_dir)[0]
+
+
+@query
+def reload_markers(spark, sf_dir):
+    return _reloaded(spark, sf_dir)[1].drop("loaded_at")
+
+
+def _listed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Posts of which every other has no document, and the files that are really there."""
+    root = fx.documents_on_disk(spark, sf_dir, "comment_documents")
+    name = F.col("file")
+    files = author_source.list_files(spark, root).select(
+        F.concat(F.substring(name, 1, 4), F.lit("/"), name).alias("file"))
+    talks = fx.table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    day = F.date_add(F.lit("2019-01-01").cast("date"), (F.col("conv_id") % 365).cast("int")).cast("string")
+    posts = talks.select(day.alias("day"), "conv_id", F.explode(F.array(F.lit("c"), F.lit("x"))).alias("kind"))
+    return posts.select("day", F.concat("kind", F.col("conv_id").cast("string")).alias("composite_id")), files
+
+
+@query
+def crawl_listing(spark, sf_dir):
+    return crawl.crawl_gaps(*_listed(spark, sf_dir))
+
+
+@query
+def missing_posts(spark, sf_dir):
+    return crawl.missing_posts(*_listed(spark, sf_dir))
+
+
 @query
 def ingest_errors(spark, sf_dir):
     root = fx.documents_on_disk(spark, sf_dir, "damaged_documents")
@@ -329,6 +391,19 @@ def suspect_comments(spark, sf_dir):
     return draw_suspects(fx.comments(spark, sf_dir), labelled, top(composite(labelled)))
 
 
+@query
+def suspect_first_ten(spark, sf_dir):
+    labelled = _labelled(spark, sf_dir)
+    return draw_suspects(fx.comments(spark, sf_dir), labelled, top(composite(labelled)), size=10)
+
+
+@query
+def composite_without_columns(spark, sf_dir):
+    """Columns that a table lacks count as constant."""
+    labelled = _labelled(spark, sf_dir).drop("link_ratio", "hour_entropy")
+    return six(composite(labelled).select("author_id", "composite_score"))
+
+
 @query
 def scored_users_rounded(spark, sf_dir):
     return round_numbers(_labelled(spark, sf_dir))
@@ -372,6 +447,54 @@ def _segmented(spark, sf_dir):
         stored_scaled(spark, sf_dir), FEATURES))
 
 
+def _planted(spark, sf_dir):
+    """Authors in four groups that are far apart: the choice of k and the labels follow."""
+    apart = [(F.col(c) / 100 + 50 * (F.col("author_id") % 4)).alias(c) for c in FEATURES]
+    return fx.once(spark, sf_dir, "planted", lambda: choose_segments(
+        stored_scaled(spark, sf_dir).select("author_id", *apart), FEATURES, max_clusters=6, restarts=3))
+
+
+@query
+def planted_segments(spark, sf_dir):
+    return _planted(spark, sf_dir)[0].select("author_id", "segment")
+
+
+@query
+def planted_k(spark, sf_dir):
+    return _planted(spark, sf_dir)[1].limit(1).select("k", "metric")
+
+
+@query
+def assigned_segments(spark, sf_dir):
+    """Every author to the nearest mean of the labelled groups."""
+    scaled = stored_scaled(spark, sf_dir)
+    centres = _fixed_labels(scaled).groupBy("segment").agg(*[F.avg(c).alias(c) for c in FEATURES])
+    return assign_segments(scaled, centres, FEATURES)
+
+
+@query
+def fixed_forest_scores(spark, sf_dir):
+    return six(score_forest(stored_scaled(spark, sf_dir), FEATURES, fx.FIXED_FOREST).select("author_id", "forest_score"))
+
+
+@query
+def anomaly_facts(spark, sf_dir):
+    """What any forest must give: a score for every author, the share flagged, signs that agree."""
+    scored = forest_scores(stored_scaled(spark, sf_dir), FEATURES)
+    value = F.col("anomaly_score_val")
+    return scored.agg(
+        F.count_distinct("author_id").alias("authors"),
+        F.count_if((value < 0) != (F.col("anomaly_score") == -1)).alias("wrong_signs"),
+        F.count_if(value.isNull() | (F.abs(value) > 1)).alias("out_of_range"),
+        (F.count_if(F.col("anomaly_score") == -1) <= F.ceil(0.05 * (F.count("*") - 1))).alias("few_flagged"))
+
+
+@query
+def analysis_features(spark, sf_dir):
+    """The features that the whole analysis carries to its result."""
+    return full_analysis(spark, sf_dir).select("author_id", *FEATURES)
+
+
 @query
 def choose_k(spark, sf_dir):
     return six(_segmented(spark, sf_dir)[1])
@@ -390,5 +513,5 @@ def anomaly_scores(spark, sf_dir):
 @query
 def full_analysis(spark, sf_dir):
     """Features, segments and anomalies of every author, end to end."""
-    result = analyse(fx.comments(spark, sf_dir), fx.lexicon(spark, sf_dir))
-    return six(result.scored)
+    return fx.once(spark, sf_dir, "analysis", lambda: stage(six(analyse(
+        fx.comments(spark, sf_dir), fx.lexicon(spark, sf_dir)).scored), "analysis"))

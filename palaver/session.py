@@ -7,9 +7,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Largest table that may be broadcast on the strength of a row count.
-BROADCAST_ROWS = 1_000_000
-
 RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -55,11 +52,6 @@ def stage(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = ()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; beyond the bound the shuffle join stays."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def one_row(df: DataFrame) -> Column:
     """The single row of a global aggregate as a struct-valued scalar subquery."""
     return df.select(F.struct("*")).scalar()

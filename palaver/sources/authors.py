@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palaver.schemas import AUTHOR_SIGHTINGS, RAW_AUTHORS
 
+# The reader skips what the schema does not name without recursion.
+_NESTING = 1_000_000
 _DAY_IN_NAME = r"(\d{4}_\d{2}_\d{2})"
 
 
@@ -18,6 +20,7 @@ def read_author_sightings(spark: SparkSession, root: str) -> DataFrame:
     rows = (
         spark.read.schema(RAW_AUTHORS)
         .option("multiLine", True)
+        .option("maxNestingDepth", _NESTING)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
         .json(root)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _YEAR_IN_PATH = r"/([0-9]+)/[^/]+$"
 
+# Documents that name this key more often and that the recursive parser refuses, at 1,000
+# levels of JSON, go through a parser without recursion.
+DEEP = 400
+
 
 def read_comment_files(
     spark: SparkSession, root: str, years: Iterable[int] | None = None
@@ -15,21 +22,29 @@ def read_comment_files(
     """One row per file: ``file``, ``year`` and the parsed document ``doc``.
 
     Only files directly inside an all-digit directory count. ``years`` narrows the
-    listing itself, so other years are never opened. ``doc`` is null for bad JSON.
+    listing itself, so other years are never opened. ``doc`` is null for bad JSON and for
+    documents nested too deeply for the parser; of those ``raw`` holds the text.
     """
     chosen = "*" if years is None else "{" + ",".join(str(y) for y in years) + "}"
+    doc = F.try_parse_json("value")
     return (
         spark.read.text(f"{root}/{chosen}/*.json", wholetext=True)
         .select(
             F.col("_metadata.file_name").alias("file"),
             F.regexp_extract("_metadata.file_path", _YEAR_IN_PATH, 1).alias("year"),
-            F.try_parse_json("value").alias("doc"),
+            doc.alias("doc"),
+            F.when(doc.isNull() & (_mentions("child_comments") > DEEP), F.col("value")).alias("raw"),
         )
         .where("year <> ''")
         .withColumn("year", F.col("year").cast("int"))
     )
 
 
+def _mentions(key: str):
+    """How often a document names a key."""
+    return (F.length("value") - F.length(F.replace("value", F.lit(f'"{key}"')))) / (len(key) + 2)
+
+
 def compact_comment_files(spark: SparkSession, root: str, target: str) -> DataFrame:
     """Rewrite the many small documents once as Parquet; later loads read ``target``."""
     read_comment_files(spark, root).write.partitionBy("year").mode("overwrite").parquet(target)
@@ -49,4 +64,92 @@ def usable_documents(files: DataFrame) -> DataFrame:
 def comment_errors(files: DataFrame) -> DataFrame:
     reason = F.when(F.col("doc").isNull(), "unreadable").when(
         _summary_id().isNull(), "no summary id")
-    return files.select("file", reason.alias("reason")).where(F.col("reason").isNotNull())
+    deep = read_deep(files)
+    deep_reason = F.when(~F.col("readable"), "unreadable").when(
+        F.col("post_id").isNull(), "no summary id")
+    return (
+        files.where("raw IS NULL").select("file", reason.alias("reason"))
+        .unionByName(deep.select("file", deep_reason.alias("reason")))
+        .where(F.col("reason").isNotNull())
+    )
+
+
+_TOKEN = re.compile(r'\s*([{}\[\]:,]|"(?:[^"\\]|\\.)*"|[^\s{}\[\]:,"]+)', re.S)
+
+
+def parse_without_recursion(text: str):
+    """The value of a JSON text nested to any depth; ValueError if it is none."""
+    root: list = []
+    open_values: list = [root]
+    keys: list = [None]
+    place, expects_key = 0, False
+    text = text.rstrip()
+    while place < len(text):
+        found = _TOKEN.match(text, place)
+        if not found:
+            raise ValueError(f"no JSON at {place}")
+        token, place = found[1], found.end()
+        top = open_values[-1]
+        if token in "}]":
+            if len(open_values) < 2 or isinstance(top, dict) != (token == "}"):
+                raise ValueError(f"unexpected {token} at {place}")
+            open_values.pop()
+            keys.pop()
+            expects_key = False
+        elif token == ",":
+            expects_key = isinstance(top, dict)
+        elif token == ":":
+            expects_key = False
+        elif expects_key and isinstance(top, dict):
+            keys[-1] = json.loads(token)
+        else:
+            value = {} if token == "{" else [] if token == "[" else json.loads(token)
+            if isinstance(top, dict):
+                top[keys[-1]] = value
+            else:
+                top.append(value)
+            if token in "{[":
+                open_values.append(value)
+                keys.append(None)
+                expects_key = token == "{"
+    if len(open_values) != 1 or len(root) != 1:
+        raise ValueError("the text ends too early or holds more than one value")
+    return root[0]
+
+
+_DEEP_ROWS = ("array<struct<parent_comment_id: bigint, depth: int, comment_id: bigint, author_id: bigint, "
+              "creation_datetime: string, content: string, kudos_count: int, approved: boolean, reference_id: bigint>>")
+
+
+def _rows_below(comments) -> list[dict]:
+    rows, queue = [], [(node, None, 0) for node in reversed(comments or [])]
+    while queue:
+        node, parent, depth = queue.pop()
+        whole = lambda key: None if node.get(key) is None else int(node[key])
+        rows.append({
+            "parent_comment_id": parent, "depth": depth, "comment_id": whole("id"), "author_id": whole("author"),
+            "creation_datetime": node.get("creation_datetime"), "content": node.get("content"),
+            "kudos_count": whole("kudos_count"), "approved": node.get("approved"), "reference_id": whole("reference_id")})
+        queue += [(child, whole("id"), depth + 1) for child in reversed(node.get("child_comments") or [])]
+    return rows
+
+
+def read_deep(files: DataFrame) -> DataFrame:
+    """``file``, ``year``, ``readable``, ``post_id`` and ``found`` rows of documents with ``raw`` text."""
+
+    def parse(batches):
+        for pdf in batches:
+            out = []
+            for text in pdf["raw"]:
+                try:
+                    document = parse_without_recursion(text)
+                    post_id = (document.get("summary") or {}).get("id")
+                    out.append((True, post_id, _rows_below(document.get("comments"))))
+                except (ValueError, AttributeError, TypeError):
+                    out.append((False, None, []))
+            yield pd.DataFrame({
+                "file": pdf["file"], "year": pdf["year"], "readable": [x[0] for x in out],
+                "post_id": pd.array([x[1] for x in out], "Int64"), "found": [x[2] for x in out]})
+
+    return files.where("raw IS NOT NULL").select("file", "year", "raw").mapInPandas(
+        parse, f"file string, year int, readable boolean, post_id bigint, found {_DEEP_ROWS}")

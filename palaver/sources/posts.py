@@ -27,8 +27,8 @@ def with_file_name(days: DataFrame) -> DataFrame:
 
 
 def flatten_posts(days: DataFrame) -> DataFrame:
-    """One row per post with a non-empty id, plus the ``file`` it came from."""
-    item = days.select("file", F.explode("items").alias("p")).where("p.id <> ''")
+    """One row per post with a non-empty id, plus the ``file`` it came from and its place there."""
+    item = days.select("file", F.posexplode("items").alias("pos", "p")).where("p.id <> ''")
     timestamps = {"published_at", "created_at", "date"}
     derived = {
         "tags": words(F.col("p.tags")),
@@ -43,10 +43,11 @@ def flatten_posts(days: DataFrame) -> DataFrame:
             return F.col(f"p.{name}").try_cast("timestamp_ntz")
         return derived.get(name, F.col(f"p.{name}"))
 
-    return item.select("file", *[field(n).alias(n) for n in POSTS.names])
+    return item.select("file", "pos", *[field(n).alias(n) for n in POSTS.names])
 
 
 def post_errors(days: DataFrame) -> DataFrame:
-    """Files that are not JSON. The reader fills no field of such a file."""
-    return days.where("_corrupt_record is not null and items is null").select(
-        "file", F.lit("unreadable").alias("reason"))
+    """Files that are not JSON, of which the reader fills no field, and files with a value of the
+    wrong type, whose posts load with a hole."""
+    reason = F.when(F.col("items").isNull(), "unreadable").otherwise("wrong type")
+    return days.where("_corrupt_record is not null").select("file", reason.alias("reason"))

@@ -18,7 +18,7 @@ def ingest_posts(
     """
 
     def load(batch: DataFrame, _: int) -> None:
-        append_new(flatten_posts(batch), table, POSTS, "id", ["file"])
+        append_new(flatten_posts(batch), table, POSTS, "id", ["file", "pos"])
 
     days = with_file_name(
         spark.readStream.schema(RAW_POST_DAY)

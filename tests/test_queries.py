@@ -8,7 +8,8 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 
 import oracle_check  # noqa: E402
-from __spark_entry__ import oracle_sql, queries  # noqa: E402
+from palaver.oracles import ORACLES  # noqa: E402
+from palaver.registry import QUERIES  # noqa: E402
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -18,11 +19,11 @@ def duck():
     return oracle_check.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    assert oracle_check.compare(spark, duck, queries()[name], oracle_sql().get(name), SF_DIR) == ""
+    assert oracle_check.compare(spark, duck, QUERIES[name], ORACLES.get(name), SF_DIR) == ""
 
 
 def test_only_models_lack_check_sql():
-    assert set(queries()) - set(oracle_sql()) == {"choose_k", "segments", "anomaly_scores", "full_analysis"}
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLES) == {"choose_k", "segments", "anomaly_scores", "full_analysis"}
+    assert set(ORACLES) <= set(QUERIES)

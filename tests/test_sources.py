@@ -103,7 +103,7 @@ def test_flatten_undoes_nesting_at_any_depth(spark, tmp_path):
     rows = flat(spark, tmp_path)
     assert sorted((r["comment_id"], r["parent_comment_id"]) for r in rows.collect()) == sorted(
         want, key=lambda p: p[0])
-    assert rows.agg({"depth": "max"}).first()[0] > 2 * threads.LEVELS_PER_STAGE
+    assert rows.agg({"depth": "max"}).first()[0] > 2 * threads.LEVELS
     depths = threads.thread_depth(rows).withColumnRenamed("depth", "counted")
     assert depths.join(rows, "comment_id").where("depth <> counted").count() == 0
 

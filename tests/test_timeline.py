@@ -1,7 +1,7 @@
 import datetime as dt
 import random
+import statistics
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,34 +30,48 @@ def make(seed, authors, size, spread_seconds):
 ])
 def case(request, spark):
     rows = make(*request.param)
-    pdf = pd.DataFrame(rows, columns=["comment_id", "author_id", "ts", "content"])
-    return spark.createDataFrame(rows, SCHEMA), pdf.sort_values(["author_id", "ts", "comment_id"])
+    by_author = {}
+    for comment_id, author, at, text in sorted(rows, key=lambda r: (r[2], r[0])):
+        by_author.setdefault(author, []).append((comment_id, at, text or ""))
+    return spark.createDataFrame(rows, SCHEMA), by_author
+
+
+def hours_between(times):
+    return [(later - earlier) / dt.timedelta(hours=1) for earlier, later in zip(times, times[1:])]
 
 
 def test_gaps_match_brute_force(case):
-    comments, pdf = case
-    want = pdf.assign(gap=pdf.groupby("author_id")["ts"].diff().dt.total_seconds() / 3600)
+    comments, by_author = case
     got = {r["comment_id"]: r["gap_hours"] for r in timeline.comment_gaps(comments).collect()}
-    assert len(got) == len(want)
-    for comment_id, gap in zip(want["comment_id"], want["gap"]):
-        assert got[comment_id] == (None if pd.isna(gap) else pytest.approx(gap)), comment_id
+    want = {}
+    for said in by_author.values():
+        gaps = [None, *hours_between([at for _, at, _ in said])]
+        want.update((comment_id, gap) for (comment_id, _, _), gap in zip(said, gaps))
+    assert got.keys() == want.keys()
+    for comment_id, gap in want.items():
+        assert got[comment_id] == (None if gap is None else pytest.approx(gap)), comment_id
 
 
 def test_burstiness_matches_brute_force(case):
-    comments, pdf = case
+    comments, by_author = case
     got = {r["author_id"]: r["burstiness_hours"] for r in timeline.burstiness(comments).collect()}
-    for author, group in pdf.groupby("author_id"):
-        gaps = group["ts"].diff().dt.total_seconds().dropna() / 3600
-        want = gaps.std() if len(gaps) else 0.0
-        assert got[author] == (None if pd.isna(want) else pytest.approx(want, abs=1e-12)), author
+    for author, said in by_author.items():
+        gaps = hours_between([at for _, at, _ in said])
+        if len(gaps) == 1:
+            assert got[author] is None
+        else:
+            assert got[author] == pytest.approx(statistics.stdev(gaps) if gaps else 0.0, abs=1e-12), author
 
 
 def test_duplicates_match_brute_force(case):
-    comments, pdf = case
-    flags = pdf.assign(content=pdf["content"].fillna("")).duplicated(["author_id", "content"])
-    want = dict(zip(pdf["comment_id"], flags))
-    got = {r["comment_id"]: r["is_repeat"] for r in timeline.duplicate_flags(comments).collect()}
-    assert got == want
+    comments, by_author = case
+    want = {}
+    for said in by_author.values():
+        seen = set()
+        for comment_id, _, text in said:
+            want[comment_id] = text in seen
+            seen.add(text)
+    assert {r["comment_id"]: r["is_repeat"] for r in timeline.duplicate_flags(comments).collect()} == want
 
 
 def test_flags_average_to_the_repeated_ratio(case):
