@@ -210,9 +210,16 @@ def link_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     open_buckets = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low <> high")
     opened = stage(placed.join(open_buckets.select("token", "size"), "token")
                    .join(nodes.select("node", "n"), "node"), "open")
-    small = opened.filter(F.col("size") <= RARE)
-    large = opened.filter(F.col("size") > RARE)
-    per_node = large.groupBy("node", "root", "n").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    # A set with a link across has this many open tokens in common with another: fewer rule it out,
+    # and of more only the rarest are indexed again, one longer than a common one needs.
+    least_common = F.least(F.lit(COMMON), F.ceil(percent * F.col("n") / 100)).cast("int")
+    ranked = (opened.groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("size", "token"))).alias("open"))
+              .filter(F.size("open") >= least_common)
+              .select("node", "root", "n", F.slice("open", F.lit(1), F.least(F.size("open"), F.size("open") - least_common + 2)).alias("open")))
+    ranked = stage(ranked, "ranked")
+    small = ranked.select("node", "root", "n", F.explode("open").alias("x")).filter(F.col("x.size") <= RARE).select("node", "root", "n", "x.token")
+    per_node = ranked.select("node", "root", "n", F.sort_array(F.transform(
+        F.filter("open", lambda x: x["size"] > RARE), lambda x: x["token"])).alias("tokens"))
     combined = (per_node.select("node", "root", "n", "tokens", F.posexplode("tokens").alias("at", "first"))
                 .select("node", "root", "n", "first", F.explode(F.slice("tokens", F.col("at") + 2, F.size("tokens"))).alias("second")))
 
