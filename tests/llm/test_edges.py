@@ -1,0 +1,257 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import os
+import random
+import sys
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.dirname(__file__))
+
+import brute  # noqa: E402
+import corpus_pipeline  # noqa: E402
+from palaver.llm import (  # noqa: E402
+    bpe_automaton, cross_polytope, html_extract, license_scan, ngram_join, packing, quality_rules, recompression, suffix_dedup, token_counts)
+
+COLUMNS = "doc_id long, text string, words string, node long, token long, spans string, row_key long, n long, file int, kept string"
+rng = random.Random(3)
+VOCABULARY = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(VOCABULARY) for _ in range(n))
+
+
+BASE = prose(300, 1)
+ROWS = [
+    (1, BASE), (2, BASE), (3, BASE + " tail"), (3, BASE + " tail"), (None, BASE), (None, None), (4, None), (5, ""), (6, " \n\t "),
+    (7, "one two"), (8, "ONE Two"), (9, prose(30, 5) + " " + " ".join(BASE.split()[100:170]) + " " + prose(30, 6)),
+    (10, "a " * 3000), (11, "x" * 5000), (12, "same line here\n" * 200), (13, "# $ % & | < >\n" * 30), (14, prose(20000, 7)),
+    (15, "Licensed under the Apache License, Version 2.0. MIT License and gnu General PUBLIC license; CC-BY 4.0"),
+    (16, "<|endoftext|> ΣΑΣ İstanbul café 日本語 \x1c\x85\xa0 ½² 😀😀 don't"), (17, BASE.upper()),
+    (18, "é" * 120 + BASE[:150]), (19, "é" * 121 + BASE[:150]),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    extra = ("w", 1, 2, "s", 3, 4, 5, "k")
+    return spark.createDataFrame([(*r, *extra) for r in ROWS], COLUMNS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def no_docs(spark):
+    return spark.createDataFrame([], COLUMNS)
+
+
+def values(df, *columns):
+    return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)
+
+
+def ordered(rows):
+    return sorted(rows, key=repr)
+
+
+def test_quality(docs, no_docs):
+    got = values(quality_rules.quality_rules(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert got == ordered((d, *brute.quality(t)) for d, t in ROWS)
+    assert quality_rules.quality_rules(no_docs).count() == 0
+
+
+def test_ablations(docs):
+    entries = quality_rules.ledger(docs)
+    bits = [r["failed_bits"] for r in entries.collect()]
+    names = [r.name for r in quality_rules.RULES]
+    for r in quality_rules.ablations(entries).collect():
+        mask = quality_rules.mask_of(quality_rules.POLICIES[r["policy"], r["version"]])
+        bit = 1 << names.index(r["rule"])
+        assert r["n_failing"] == sum(b & bit > 0 for b in bits)
+        assert r["n_regained"] == sum(b & mask == bit for b in bits)
+
+
+def test_licenses(docs, no_docs):
+    got = values(license_scan.scan(docs), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert got == ordered((d, *brute.licenses(t)) for d, t in ROWS)
+    row = license_scan.scan(docs).filter("doc_id = 15").first()
+    assert {"apache", "apache-2.0", "cc-by", "gpl", "mit"} <= set(row["labels"].split(",")) and row["score"] == 1.0
+    assert license_scan.scan(no_docs).count() == 0
+
+
+def test_packing(docs, no_docs):
+    from test_queries import check_packing
+    rows = packing.pack_documents(docs).collect()
+    assert ordered(tuple(r)[:5] for r in rows) == ordered(brute.pieces(ROWS))
+    check_packing([r for r in rows if False], [])
+    assert packing.pack_documents(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("low, high, n", [(1, 1024, 3000), (300, 600, 3000), (341, 342, 1000), (1024, 1024, 7), (1, 1, 5000)])
+def test_plan_holds_every_piece(low, high, n):
+    counts = np.bincount(np.random.default_rng(0).integers(low, high + 1, n), minlength=1025)
+    held = np.zeros(1025, int)
+    for pattern, times in packing.plan(counts):
+        assert sum(length * k for length, k in pattern) <= 1024
+        for length, k in pattern:
+            held[length] += k * times
+    assert (held == counts).all()
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
+def test_suffixes(docs, no_docs, hot):
+    assert values(suffix_dedup.dedup(docs, hot=hot)) == ordered(brute.repeats(ROWS))
+    assert suffix_dedup.dedup(no_docs).count() == 0
+
+
+def test_suffixes_across_small_groups(docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 2)
+    assert values(suffix_dedup.dedup(docs)) == ordered(brute.repeats(ROWS))
+
+
+def test_automaton(docs, no_docs):
+    path = bpe_automaton.tokenizer_path("word_bpe_49k.json")
+    assert values(bpe_automaton.encode_decode(docs, path)) == ordered(brute.encoded(ROWS))
+    assert bpe_automaton.encode_decode(no_docs, path).count() == 0
+
+
+def test_automaton_on_random_words():
+    words = bpe_automaton.codec(bpe_automaton.tokenizer_path("word_bpe_49k.json"))
+    want = brute.tokenizer("word_bpe_49k.json")
+    r = random.Random(9)
+    for _ in range(3000):
+        text = "".join(r.choice("aaabcdehilnoorst'0!é中😀") for _ in range(r.randrange(1, 40)))
+        ids = want.encode(text, add_special_tokens=False).ids
+        assert words.encode(text) == ids and words.decode(ids) == want.decode(ids, skip_special_tokens=False)
+
+
+def test_recompression(docs, no_docs):
+    assert values(recompression.dedup(docs)) == ordered(brute.passages(ROWS))
+    assert recompression.dedup(no_docs).count() == 0
+
+
+def test_recompression_of_runs(spark):
+    r = random.Random(5)
+    base = ["a"] * 120 + ["b", "b", "c"] * 30 + [r.choice("abc") for _ in range(200)]
+    rows = [(1, " ".join(base)), (2, " ".join(["x"] * 3 + base[10:200] + ["y"])), (3, " ".join(["a"] * 75)), (4, " ".join(base[200:260] + ["a"] * 5)),
+            (5, " ".join(base[:49])), (6, " ".join(["b", "b", "c"] * 25))]
+    assert values(recompression.dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == ordered(brute.passages(rows))
+
+
+def test_join(docs, no_docs):
+    got = values(ngram_join.link_classes(docs))
+    unknown = [(None, len(s)) for s in (set(zip(*[BASE.split()[i:] for i in range(5)])), set())]
+    assert [g for g in got if g[0] is not None] == ordered(x for x in brute.link_classes([r for r in ROWS if r[0] is not None]))
+    assert [g[:2] for g in got if g[0] is None] == ordered(unknown) and all(g[2] is None for g in got if g[0] is None)
+    assert ngram_join.link_classes(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("rare", [ngram_join.RARE, 0])
+def test_join_of_chains(spark, monkeypatch, rare):
+    """Links that lead from text to text, with shared passages, and every bucket frequent or rare."""
+    monkeypatch.setattr(ngram_join, "RARE", rare)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 2)
+    r = random.Random(2)
+    passage, rows = prose(40, 77).split(), []
+    for group in range(12):
+        text = prose(100, 100 + group).split()
+        for step in range(8):
+            rows.append((len(rows) * 7 % 101, " ".join(text + passage)))
+            for _ in range(2):
+                text[r.randrange(len(text))] = r.choice(VOCABULARY)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert values(ngram_join.link_classes(df)) == ordered(brute.link_classes(rows))
+
+
+def test_one_of_each(spark, docs):
+    kept = values(ngram_join.one_of_each(spark, docs, ""), "doc_id", "text")
+    want = {}
+    classes = {d: c for d, _, c in brute.link_classes([r for r in ROWS if r[0] is not None])}
+    for d, t in ROWS:
+        if d is not None and classes[d] == d:
+            want[d] = t
+    assert kept == ordered([*want.items(), *[r for r in ROWS if r[0] is None]])
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, bucket int, query_id long, score double")
+
+
+def test_search_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [float(i % 3), 1.0, float(i)]) for i in range(12)]
+    rows += [(12, [1.0, 2.0, 3.0]), (12, [1.0, 2.0, 3.0]), (20, None), (40, [0.0, 0.0, 0.0]), (60, [nan, 1.0, 1.0]), (80, [inf, 1.0, 1.0]),
+             (100, [1.0, None, 2.0]), (120, [1.0, 2.0]), (140, [2.0, 0.0, 1.0]), (None, [1.0, 1.0, 1.0])]
+    df = vectors(spark, [(*r, 1, 2, 3.0) for r in rows])
+    got = {}
+    for r in cross_polytope.search(df, "vec_id % 20 = 0").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    known = {i: v for i, v in rows if i is not None and (i <= 12 or i == 140)}
+    for q in (0, 140):
+        want = sorted(((sum(a * b for a, b in zip(known[q], v)), i) for i, v in known.items() if i != q), key=lambda p: (-p[0], p[1]))[:20]
+        assert sorted(got[q]) == [(k + 1, i, s) for k, (s, i) in enumerate(want)]
+    assert set(got) == {0, 140}
+    assert cross_polytope.search(vectors(spark, []), "vec_id % 20 = 0").count() == 0
+
+
+def test_search_of_hot_and_uneven_vectors(spark, monkeypatch):
+    monkeypatch.setattr(cross_polytope, "BLOCK", 50)
+    r = np.random.default_rng(1)
+    x = r.normal(size=(600, 16)) * r.uniform(0.5, 3, (600, 1))
+    x[:200] = x[0]
+    x = x.astype(np.float32).astype(float)
+    df = vectors(spark, [(i, v.tolist(), 1, 2, 3.0) for i, v in enumerate(x)])
+    found = {}
+    for row in cross_polytope.search(df, "vec_id % 20 = 0").collect():
+        found.setdefault(row["query_id"], []).append((row["rank"], row["vec_id"]))
+    hits = 0
+    for q in range(0, 600, 20):
+        score = np.array([(x[q] * v).sum() for v in x])
+        want = [i for i in np.lexsort((np.arange(600), -score)) if i != q][:20]
+        assert len(found[q]) == 20
+        hits += len(set(want) & {v for _, v in found[q]})
+    assert hits >= 0.9 * 20 * 30
+
+
+def test_counts(docs, no_docs):
+    for size in (7, token_counts.BLOCK):
+        blocks, order = token_counts.write_flat(docs, block=size)
+        got = order.join(token_counts.count_tokens(blocks), ["file", "ordinal"]).select("doc_id", "n_tokens")
+        assert values(got) == ordered(brute.token_counts(ROWS))
+    blocks, order = token_counts.write_flat(no_docs)
+    assert token_counts.count_tokens(blocks).count() == 0
+
+
+def test_counts_of_an_unfinished_file(spark):
+    ids = np.array([1, 2, 50256, 50256, 7, 8, 9], "<u2")
+    df = spark.createDataFrame([(0, i, ids[2 * i:2 * i + 2].tobytes()) for i in range(4)], "file int, block long, data binary")
+    assert values(token_counts.count_tokens(df)) == [(0, 0, 2), (0, 1, 0), (0, 2, 3)]
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>x";</script></head><body class="has-sidebar">
+<header><a href=/>Home</a></header><nav><ul><li><a href="/a">Menu</a></ul></nav><div class="cookie-notice">We use cookies here</div>
+<main><article><header><h1>Big &amp; bold</h1></header><p>First <b>para</b>graph&nbsp;one<br>two<p>Second <a href="x">link</a>.<aside>Related stuff</aside>
+<form><label>Name</label><input></form><!-- hidden <p>no</p> --><div id="ad-slot">Buy!</div><p>Last</p></article>
+<section class="comments"><article><p>Nice post, dear author, thank you so much</p></article></section></main><footer>&copy; me</footer>"""
+
+
+def test_page_by_hand(spark):
+    rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "v", "<p>" + "word " * 60 + "<p>" + "more " * 40), (4, "u", PAGE[:PAGE.index("Second") + 6]), (1, "u", PAGE)]
+    df = spark.createDataFrame([(*r, "t", 0) for r in rows], "page_id long, url string, html string, text string, n_chars long")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert got[1] == "Big & bold First paragraph one two Second link. Last"
+    assert got[2] == got[3] == ""
+    assert got[None] == ("word " * 60 + "more " * 40).strip()
+    assert got[4] == "Big & bold First paragraph one two Second"
+    assert html_extract.extract(df).count() == len(rows) and html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_stages_on_edges(spark, docs, no_docs):
+    for frame in (docs, no_docs):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            frame = stage(spark, frame, "")
+            assert frame.columns == docs.columns
+            frame = spark.createDataFrame(frame.collect(), frame.schema)
+        corpus_pipeline.STAGES[-1][1](spark, frame, "").collect()
+    assert suffix_dedup.without_repeats(spark, docs, "").filter(F.col("text").isNull()).count() == 2
