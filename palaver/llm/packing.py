@@ -34,8 +34,8 @@ END_ID = 2
 ROUNDS, RATE, STEP, SLACK = 300, 2.0, 0.1, 0.02
 #: Parts of the fractional solution that are rounded; the one that needs fewest sequences is taken.
 PARTS = (1.0, 0.5, 0.2, 0.1, 0.05)
-#: Pieces that a bucket of a rank count should hold.
-BUCKET_ROWS = 100_000
+#: Pieces of one length that a bucket of a rank count should hold.
+BUCKET_ROWS = 1_000
 
 
 def cut(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -189,8 +189,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
     for row in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[row["length"]] = row["count"]
     runs = runs_of(plan(counts, capacity, rounds))
-    buckets = max(1, -(-int(counts.sum()) // BUCKET_ROWS))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    # A length has as many buckets as its count asks for.
+    buckets = F.get(F.array(*[F.lit(max(1, -(-int(n) // BUCKET_ROWS))) for n in counts]), F.col("length").cast("int"))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), buckets))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy("length", "bucket").count().select(
         "length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ranks_before"))
