@@ -82,6 +82,18 @@ def test_segments_find_separate_blobs(spark, metric):
     assert groups == {0: {0}, 2: {1}, 1: {2}}
 
 
+def test_segments_do_not_depend_on_how_the_input_is_split(spark):
+    df = points(spark, blobs(4, [(0, 0), (2, 1), (1, 3)], 30))
+    results = []
+    for split in (1, 5, 9):
+        shuffled = df.orderBy(F.xxhash64("author_id", F.lit(split))).repartition(split)
+        labelled, scores = choose_segments(shuffled, XY, max_clusters=4, restarts=2, partitions=3)
+        # The silhouette's sums are added in any order, so its last digit may differ.
+        table = [(r["k"], round(r["silhouette"], 9), round(r["cost"], 9)) for r in scores.collect()]
+        results.append((sorted((r["author_id"], r["segment"]) for r in labelled.collect()), table))
+    assert results[0] == results[1] == results[2]
+
+
 def test_segments_need_two_authors(spark):
     with pytest.raises(ValueError):
         choose_segments(points(spark, [(1, 1)]), XY)
