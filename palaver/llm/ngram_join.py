@@ -29,6 +29,7 @@ row. Columns other than id and text are not read.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -44,6 +45,8 @@ FREQUENT, MOST_FREQUENT = 16, 1 << 23
 RARE = 16
 #: Tokens that extended prefixes of two linked sets have in common at least, if the sets have so many.
 COMMON = 32
+#: Sets in a block of the verification.
+BLOCK = 256
 #: Tokens that are counted together in a task.
 COUNTED = 1 << 22
 
@@ -179,11 +182,31 @@ def verified(docs: DataFrame, pairs: DataFrame, indexed: DataFrame, width: int,
     senders = sized.select(F.col("first_doc_a").alias("doc_id")).union(sized.select("first_doc_b")).distinct()
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(senders, "doc_id"))
     sets = stage(candidate_sets(docs, wanted, width), "candidates")
-    both = (sized.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b"))
-    common = F.size(F.array_intersect("x", "y")).cast("long")
-    return stage(both.select("a", "b", "n_a", "n_b", common.alias("common"))
-                 .filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b").distinct(), "edges")
+    return stage(common_tokens(sized, sets).filter(
+        100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b").distinct(), "edges")
+
+
+def common_tokens(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, n_a, n_b and ``common``, the tokens that the two sets share.
+
+    Nodes are dealt to blocks of about ``BLOCK``. A pair of blocks is one task's work: it gets the sets
+    that its pairs name once each, at most two blocks of them, so many pairs among a few thousand sets
+    don't send a set for every pair.
+    """
+    blocks = max(1, -(-sets.count() // BLOCK))
+    of = lambda end: F.pmod(F.xxhash64(end), F.lit(blocks)).cast("int")
+    keyed = pairs.select("a", "b", "n_a", "n_b", F.least(of("a"), of("b")).alias("i"), F.greatest(of("a"), of("b")).alias("j"))
+    named = keyed.select("i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
+    sent = named.join(sets.dropDuplicates(["node"]), "node").select(
+        F.col("i").alias("block_i"), F.col("j").alias("block_j"), "node", "tokens")
+
+    def count(pair_rows: pd.DataFrame, set_rows: pd.DataFrame) -> pd.DataFrame:
+        known = {node: set(tokens.tolist()) for node, tokens in zip(set_rows["node"].tolist(), set_rows["tokens"])}
+        shared = [len(known[a] & known[b]) for a, b in zip(pair_rows["a"].tolist(), pair_rows["b"].tolist())]
+        return pair_rows[["a", "b", "n_a", "n_b"]].assign(common=np.array(shared, np.int64))
+
+    return keyed.groupBy("i", "j").cogroup(sent.groupBy("block_i", "block_j")).applyInPandas(
+        count, "a long, b long, n_a long, n_b long, common long")
 
 
 def link_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
