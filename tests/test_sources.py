@@ -90,7 +90,8 @@ def test_comment_tree_by_hand(spark, tmp_path):
     assert threads.flatten_comments(comments.usable_documents(archive)).count() == len(rows)
 
 
-def test_flatten_undoes_nesting_at_any_depth(spark, tmp_path):
+def test_flatten_undoes_nesting_at_any_depth(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(threads, "LEVELS", 8)
     rng = random.Random(4)
     want, nodes, roots = [], {}, []
     for i in range(1, 300):
