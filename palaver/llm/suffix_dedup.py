@@ -376,7 +376,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     others = [c for c in columns if c not in ("doc_id", "text")]
     renamed = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"other_{i}") for i, c in enumerate(others)], F.col("text").isNull().alias("no_text"))
     kept = dedup(renamed, carry=tuple([f"other_{i}" for i in range(len(others))] + ["no_text"]))
-    text = F.when(F.col("no_text"), F.lit(None)).otherwise(F.decode("kept", F.lit("UTF-8")))
+    text = F.when(F.col("no_text"), F.lit(None)).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
     out = kept.withColumn("new_text", text)
     final = {"doc_id": F.col("doc_id"), "text": F.col("new_text")}
     for i, c in enumerate(others):

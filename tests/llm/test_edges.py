@@ -3,6 +3,7 @@
 import os
 import random
 import sys
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -255,3 +256,27 @@ def test_stages_on_edges(spark, docs, no_docs):
             frame = spark.createDataFrame(frame.collect(), frame.schema)
         corpus_pipeline.STAGES[-1][1](spark, frame, "").collect()
     assert suffix_dedup.without_repeats(spark, docs, "").filter(F.col("text").isNull()).count() == 2
+
+
+def test_repeats_that_split_characters(spark):
+    w, x, y, z = (random.Random(seed).randbytes(110).hex() for seed in range(4))
+    rows = [(1, f"one {w}é"), (2, f"two {w}è"), (3, f"😀{x} three"), (4, f"🤀{x} four"), (5, f"5 {y}日 five"), (6, f"6 {y}旦 six"),
+            (7, f"😀{z}é"), (8, f"🤀{z}è"), (9, None)]
+    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars int")
+    count = Counter(w for _, t in rows for w in windows(t))
+    want = []
+    for i, t in rows:
+        raw, gone = (t or "").encode(), bytearray(len((t or "").encode()))
+        for at, w in enumerate(windows(t)):
+            if count[w] > 1:
+                gone[at:at + 200] = b"\1" * 200
+        text = None if t is None else bytes(b for b, g in zip(raw, gone) if not g).decode(errors="replace")
+        want.append((i, text, None if text is None else len(text)))
+    assert sum("\ufffd" in (t or "") for _, t, _ in want) == 6
+    got = suffix_dedup.without_repeats(spark, df, "")
+    assert got.schema["n_chars"].dataType == df.schema["n_chars"].dataType and values(got) == ordered(want)
+
+
+def windows(text, length=200):
+    raw = (text or "").encode()
+    return [raw[i:i + length] for i in range(len(raw) - length + 1)]
