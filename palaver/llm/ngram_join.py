@@ -31,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from palaver.llm import hashing
 from palaver.llm.common import documents, map_batches, stage
@@ -211,6 +211,11 @@ def common_tokens(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def link_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
+    return set_classes(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def set_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The same with every row's ``node`` and its group's ``root``; components of clashing ids may share a component_id."""
     docs = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text")
     spark = docs.sparkSession
     rows, counts = sets_and_counts(docs, width)
@@ -258,10 +263,10 @@ def link_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         roots = components(first_links.union(second_links))
     labels = nodes.join(roots, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
     least = labels.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    classes = labels.join(least, "root").select("node", "component_id")
+    classes = labels.join(least, "root").select("node", "root", "component_id")
     return (rows.withColumn("key", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("node")))
             .join(classes.withColumnRenamed("node", "key"), "key", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), rows["node"], "root"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,18 +274,30 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of linked documents the one of the smallest id stays; of
-    repeated rows of one id, one. Rows without an id stay."""
-    classes = stage(link_classes(docs), "classes")
-    kept = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    """Pipeline stage: of each group of linked texts the one of the smallest id stays; of linked or
+    repeated rows of one id, one. Texts of one id that aren't linked stay all. Rows without an id stay."""
+    classes = stage(set_classes(docs), "classes")
+    # Names that no column of documents has, whatever extra columns there are.
+    longest = "_" * max(map(len, docs.columns))
+    number, kept_id, kept_node, root, node = (longest + c for c in ("n", "i", "k", "r", "s"))
+    kept = classes.filter("doc_id = component_id").select(F.col("doc_id").alias(kept_id), F.col("node").alias(kept_node), F.col("root").alias(root)).distinct()
     repeated = classes.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter(F.col("count") > 1).select("doc_id")
     # Only rows that may go are shuffled; the others pass where they are read.
     doubtful = spark.sparkContext.broadcast(bitmap(classes.filter("doc_id <> component_id").select("doc_id").union(repeated).distinct(), "doc_id"))
     sure = rows_by_bit(docs, "doc_id", doubtful, False)
-    chosen = rows_by_bit(docs, "doc_id", doubtful, True)
-    chosen = chosen.join(kept, chosen["doc_id"] == kept["kept_id"], "left_semi")
-    texts = F.sha2(F.coalesce("text", F.lit("")), 256)
-    # A name that no column of documents has, whatever extra columns there are.
-    number = "_" * (1 + max(map(len, docs.columns)))
-    first = chosen.withColumn(number, F.row_number().over(Window.partitionBy("doc_id").orderBy(texts))).filter(F.col(number) == 1).drop(number)
+    chosen = rows_by_bit(docs, "doc_id", doubtful, True).withColumn(node, node_of("text"))
+    chosen = chosen.join(kept, (chosen["doc_id"] == kept[kept_id]) & (chosen[node] == kept[kept_node]))
+    # Texts without words are in no group: one row of each text.
+    texts = F.sha2("text", 256)
+    group = Window.partitionBy("doc_id", root, F.when(F.col(root).isNull(), texts), F.col(root).isNull() & F.col("text").isNull())
+    first = chosen.withColumn(number, F.row_number().over(group.orderBy(texts))).filter(F.col(number) == 1).select(*docs.columns)
     return sure.unionByName(first)
+
+
+@F.pandas_udf(T.LongType())
+def node_of(texts: pd.Series) -> pd.Series:
+    """The node of every text's set."""
+    nodes = np.zeros(len(texts), np.int64)
+    for i, tokens in shingle_sets(pa.array(texts, pa.string(), from_pandas=True), WIDTH):
+        nodes[i] = digest(tokens)
+    return pd.Series(nodes)

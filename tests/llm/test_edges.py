@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import hashlib
 import os
 import random
 import sys
@@ -175,6 +176,17 @@ def test_one_of_each(spark, docs):
     assert kept == ordered([*want.items(), *[r for r in ROWS if r[0] is None]])
 
 
+def test_one_of_each_of_clashing_ids(spark):
+    alone = [prose(120, seed) for seed in range(50, 56)]
+    copy = BASE + " tail"
+    want = [(1, BASE), (5, alone[0]), (5, alone[1]), (6, alone[2]), (8, ""), (8, " \n"), (8, None), (9, alone[4])]
+    rows = [*want, (5, copy), (5, alone[0]), (6, alone[2]), (8, ""), (8, None), (9, alone[1]), (9, alone[4] + " more")]
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, node string").repartition(3)
+    got = values(ngram_join.one_of_each(spark, df, ""), "doc_id", "text")
+    smaller = min((alone[4], alone[4] + " more"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert got == ordered([*want[:-1], (9, smaller)])
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, bucket int, query_id long, score double")
 
