@@ -227,6 +227,23 @@ def test_search_of_hot_and_uneven_vectors(spark, monkeypatch):
     assert hits >= 0.9 * 20 * 30
 
 
+@pytest.mark.parametrize("norms", ["one long", "log-normal"])
+def test_search_of_unlike_norms(spark, monkeypatch, norms):
+    monkeypatch.setattr(cross_polytope, "BLOCK", 30)
+    pdf = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").filter("vec_id < 2000").toPandas().sort_values("vec_id")
+    x = np.array(pdf["embedding"].tolist(), float)
+    x = x * np.random.default_rng(0).lognormal(size=(len(x), 1)) if norms == "log-normal" else x
+    x[7] *= 5 if norms == "one long" else 1
+    x = x.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {}
+    for row in cross_polytope.search(df, "vec_id % 20 = 0").collect():
+        found.setdefault(row["query_id"], set()).add(row["vec_id"])
+    queries = range(0, len(x), 20)
+    wanted = [set([i for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:20]) for q in queries]
+    assert sum(len(found[q] & w) for q, w in zip(queries, wanted)) >= 0.95 * 20 * len(wanted)
+
+
 def test_counts(docs, no_docs):
     for size in (7, token_counts.BLOCK):
         blocks, order = token_counts.write_flat(docs, block=size)
