@@ -12,7 +12,8 @@ to the band's longest norm, and queries get 0 there. A query looks into every ba
 
 Work is dealt in blocks of at most ``BLOCK`` vectors by ``BLOCK`` queries of a bucket: the bucket's
 counts, at most tables x 2 x dimension rows, say how many, so a bucket with most of all vectors
-is many tasks' work. Each block returns a query's best k, ties to the smaller id.
+is many tasks' work, an id's rows too. Each block returns the best k ids of a query by their best rows,
+ties to the smaller id; repeated rows are merged first.
 
 A query with fewer than k found looks at all vectors, in the same blocks.
 
@@ -127,24 +128,32 @@ def file_vectors(vectors: DataFrame, lifts: dict[int, dict[int, float | None]],
 
 
 def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
-    """(query id, id, score) of each query's best k in a block."""
+    """(query id, id, score) of the best k ids of each query in a block."""
     out = []
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     for at in range(0, len(query_ids), 32):
         q, own = queries[at:at + 32], query_ids[at:at + 32]
         rough = q @ vectors.T
         rough[own[:, None] == ids[None, :]] = -np.inf
-        kth = np.partition(rough, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q), -np.inf)
+        best = rough if len(starts) == len(ids) else np.maximum.reduceat(rough, starts, axis=1)
+        kth = np.partition(best, -k, axis=1)[:, -k] if len(starts) > k else np.full(len(q), -np.inf)
         margin = 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(kth), kth, 1.0)))
         rows, columns = np.nonzero((rough >= (kth - margin)[:, None]) & np.isfinite(rough))
         # One sum for each pair, so that equal vectors get equal scores.
         scores = (q[rows] * vectors[columns]).sum(axis=1)
-        sort = np.lexsort((ids[columns], -scores, rows))
-        rows, columns, scores = rows[sort], columns[sort], scores[sort]
+        found = ids[columns]
+        sort = np.lexsort((-scores, found, rows))
+        rows, found, scores = rows[sort], found[sort], scores[sort]
+        # Of an id's rows the best, before places are counted.
+        first = np.concatenate([[True], (rows[1:] != rows[:-1]) | (found[1:] != found[:-1])])[:len(rows)]
+        rows, found, scores = rows[first], found[first], scores[first]
+        sort = np.lexsort((found, -scores, rows))
+        rows, found, scores = rows[sort], found[sort], scores[sort]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows)
         few = place < k
-        out.append((own[rows[few]], ids[columns[few]], scores[few]))
+        out.append((own[rows[few]], found[few], scores[few]))
     return [np.concatenate(x) for x in zip(*out)]
 
 
@@ -157,7 +166,7 @@ def compare(filed: DataFrame, probes: DataFrame, k: int) -> DataFrame:
                       F.ceil(F.col("queries") / BLOCK).cast("int").alias("query_parts")))
     counts = F.broadcast(stage(counts, "buckets"))  # at most tables x 2 x dimension rows for each band of a dimension
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("vec_id", "vector"), F.col(n)).cast("int")
     left = filed.join(counts, key).select(*key, part("parts").alias("part"), every("query_parts").alias("query_part"), "vec_id", "vector", F.lit(False).alias("query"))
     right = probes.join(counts, key).select(*key, every("parts").alias("part"), part("query_parts").alias("query_part"), "vec_id", "vector", F.lit(True).alias("query"))
 
@@ -177,6 +186,7 @@ def search(vectors: DataFrame, is_query: str, k: int = NEIGHBOURS, tables: int =
            id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the rows that ``is_query``, SQL over vec_id, is true for."""
     points = usable(vectors, id_column, vector_column)
+    points = stage(points.dropDuplicates(["vec_id", "vector"]), "points")
     norms = (points.groupBy("dimension", "band").agg(F.min("norm").alias("least"), F.max("norm").alias("most"), F.count("*").alias("n"))
              .collect())  # a row per band of a dimension
     bands = Counter(r["dimension"] for r in norms)

@@ -244,6 +244,29 @@ def test_search_of_unlike_norms(spark, monkeypatch, norms):
     assert sum(len(found[q] & w) for q, w in zip(queries, wanted)) >= 0.95 * 20 * len(wanted)
 
 
+@pytest.mark.parametrize("block", [40, cross_polytope.BLOCK])
+def test_search_of_repeated_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(cross_polytope, "BLOCK", block)
+    r = np.random.default_rng(6)
+    center = r.normal(size=16)
+    near = lambda n: center + 0.05 * r.normal(size=(n, 16))
+    rows = [(i, v) for i, v in enumerate(near(60)) for _ in range(30)]  # a tight cluster, every row repeated
+    rows += [(100, v) for v in 1.05 * near(100)] + [(101, 1.1 * center)] * 100
+    rows = [(i, v / np.linalg.norm(v)) for i, v in rows]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>").repartition(4)
+    found = {}
+    for row in cross_polytope.search(df, "vec_id % 20 = 0").collect():
+        found.setdefault(row["query_id"], []).append((row["rank"], row["vec_id"]))
+    for q in (0, 20, 40, 100):
+        score = {}
+        for mine in {tuple(v) for i, v in rows if i == q}:
+            for i, v in rows:
+                if i != q:
+                    score[i] = max(score.get(i, -9), (np.array(mine) * v).sum())
+        want = sorted(score, key=lambda i: (-score[i], i))[:20]
+        assert [v for _, v in sorted(found[q])] == want
+
+
 def test_counts(docs, no_docs):
     for size in (7, token_counts.BLOCK):
         blocks, order = token_counts.write_flat(docs, block=size)
