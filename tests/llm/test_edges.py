@@ -300,6 +300,32 @@ def test_page_by_hand(spark):
     assert html_extract.extract(df).count() == len(rows) and html_extract.extract(df.limit(0)).count() == 0
 
 
+TEXT, NAV, FOOT = prose(90, 30), '<nav><a href="/a">Menu</a></nav>', "<footer>Copyright by us</footer>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<form id="aspnetForm">{NAV}<main><p>{TEXT}</p></main>{FOOT}</form>',
+    f'<form id="aspnetForm">{NAV}<div><p>{TEXT}</p></div>{FOOT}</form>',
+    f'{NAV}<div class="layout-sidebar-right"><article><p>{TEXT}</p></article><aside>Other things</aside></div>{FOOT}',
+    f'{NAV}<div class="page-with-sidebar"><main><p>{TEXT}</p></main></div>{FOOT}',
+    f'{NAV}<div class="content-notification-wrap"><article><p>{TEXT}</p></article></div>{FOOT}',
+    f'{NAV}<div id="text"><p>{TEXT}</p></div><article class="card"><a href="/b">Read more</a></article>{FOOT}',
+    f'{NAV}<div class="page-with-sidebar"><div><p>{TEXT}</p></div><article><a href="/b">Read this too</a> now</article></div>{FOOT}',
+    f'{NAV}<article><p>{TEXT}</p></article><section class="comments"><article>{prose(200, 31)}</article></section>{FOOT}',
+])
+def test_text_of_wrapped_pages(page):
+    assert html_extract.main_text(page, html_extract.grow(list(html_extract.BLOCKS))) == TEXT
+
+
+@pytest.mark.parametrize("start", [
+    '<svg class="icon"/>', '<svg class="icon" />', "<svg><title>t</title><text>icon</text></svg>", "<object data=x>", "<svg class=icon>",
+    "<select><option>One<option>Two", "<select><optgroup label=a><option>One</option></optgroup>", "<select><option>One<option>Two</select>",
+    "<object data=x><p>no plugin</p></object>", "<span><object></span>"])
+def test_foreign_elements(start):
+    page = f"{NAV}<article>{start}<p>{TEXT}</p></article>{FOOT}"
+    assert html_extract.main_text(page, html_extract.grow(list(html_extract.BLOCKS))) == TEXT
+
+
 def test_stages_on_edges(spark, docs, no_docs):
     for frame in (docs, no_docs):
         for _, stage in corpus_pipeline.STAGES[:-1]:
