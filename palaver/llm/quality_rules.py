@@ -150,7 +150,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     through one projection, so no join by id is needed and repeated rows stay repeated."""
     columns = list(docs.columns)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc_id"), "text")
-    kept = apply_policy(ledger(whole)).filter("kept")
+    # The row's number keeps the filter above the projection: pushed down, it would copy every rule's expressions into itself.
+    kept = apply_policy(ledger(whole)).withColumn("row_number", F.monotonically_increasing_id()).filter("kept AND row_number >= 0")
     return kept.select("doc_id.*").select(*[F.col(f"`{c}`") for c in columns])
 
 

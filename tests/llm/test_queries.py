@@ -129,3 +129,9 @@ def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF_DIR).columns == docs.columns
+
+
+def test_quality_stage_plan(spark, rows):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    kept = corpus_pipeline.keep_quality(spark, docs, SF_DIR)
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(d for d, t in rows if keeps(t))
