@@ -83,7 +83,7 @@ def test_licenses(docs, no_docs):
 
 
 def test_packing(docs, no_docs):
-    from test_queries import check_packing
+    from test_llm_queries import check_packing
     rows = packing.pack_documents(docs).collect()
     assert ordered(tuple(r)[:5] for r in rows) == ordered(brute.pieces(ROWS))
     check_packing([r for r in rows if False], [])
