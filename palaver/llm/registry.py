@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palaver.llm import bpe_automaton, collocations, cross_polytope, html_extract, license_scan, merkle, ngram_join, packing, quality_rules, recompression, suffix_dedup, token_counts
+from palaver.llm import bpe_automaton, collocations, cross_polytope, html_extract, license_scan, merkle, ngram_join, packing, quality_rules, recompression, rule_ensemble, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_html_extract": html_extract.op10_html_extract,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_quality_ensemble": rule_ensemble.op12_quality_ensemble,
     "op13_phrase_collocations": collocations.op13_phrase_collocations,
 }
 
