@@ -42,7 +42,7 @@ SUBSUMED = 50
 HOT = 1 << 16
 LEAST_SHARE = 1 << 17
 #: Bytes of text that are counted together, and entries in a row of a stripe.
-RUN = 1 << 24
+RUN = 1 << 23
 ENTRIES = 512
 
 OTHER = 0
@@ -72,18 +72,20 @@ class Run:
         else:
             starts = ends = np.empty(0, np.int64)
         row = np.searchsorted(offsets, starts, side="right") - 1
-        broken = np.cumsum(kind == _BREAK)
         self.joined = np.zeros(len(starts), bool)
         if len(starts):
-            at = broken[starts]
+            at = np.searchsorted(np.flatnonzero(kind == _BREAK), starts)
             self.joined[:-1] = (row[1:] == row[:-1]) & (at[1:] == at[:-1])
         places = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+        del starts, ends, kind, edge
         texts = pa.Array.from_buffers(
-            pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(_LOWER[data][word]))])
+            pa.large_binary(), len(row), [None, pa.py_buffer(places), pa.py_buffer(_LOWER[data[word]])])
         words = texts.dictionary_encode()
+        del texts, places, word
         lang = langs.dictionary_encode()
         size = max(len(words.dictionary), 1)
         code = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row] * size + words.indices.to_numpy(zero_copy_only=False)
+        del row
         self.token, seen = pd.factorize(code)
         names = lang.dictionary.to_pylist()
         self.langs = [names[i] for i in seen // size]
@@ -95,8 +97,9 @@ class Run:
 
 def runs(batch: pa.RecordBatch, seed: int) -> Iterator[Run]:
     """Runs of rows of about RUN bytes; a longer text is a run by itself."""
-    texts = batch.column("text").cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    texts = batch.column("text")
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], width)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.empty(0, np.uint8)
     first = 0
     while first < len(texts):
