@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palaver.operators import scoring
+from palaver.operators import scoring, segmentation
 from palaver.operators.forest import anomaly_scores, fit_forest
 from palaver.operators.quantiles import exact_quantiles
 from palaver.operators.scaling import scaled_features, z_scores
@@ -58,12 +58,12 @@ def brute_silhouette(rows, labels, power):
     return float(np.mean(values))
 
 
-@pytest.mark.parametrize("block_rows", [2048, 17])
-def test_silhouettes_match_brute_force(spark, block_rows):
+@pytest.mark.parametrize("panel_rows", [None, 17, 2048])
+def test_silhouettes_match_brute_force(spark, panel_rows):
     rows = blobs(2, [(0, 0), (1, 1), (3, 0)], 30) + [(9.0, 9.0)]
     labels = [i // 30 for i in range(len(rows))]
     df = points(spark, rows).withColumn("segment", F.floor(F.col("author_id") / 30).cast("int"))
-    assert silhouette_exact(df, XY, block_rows=block_rows).first()["score"] == pytest.approx(
+    assert silhouette_exact(df, XY, panel_rows=panel_rows).first()["score"] == pytest.approx(
         brute_silhouette(rows, labels, 1))
     assert silhouette_squared(df, XY) == pytest.approx(brute_silhouette(rows, labels, 2))
 
@@ -87,13 +87,42 @@ def test_segments_do_not_depend_on_how_the_input_is_split(spark):
     results = []
     for split in (1, 5, 9):
         shuffled = df.orderBy(F.xxhash64("author_id", F.lit(split))).repartition(split)
-        labelled, scores = choose_segments(shuffled, XY, max_clusters=4, restarts=2, partitions=3)
-        # The silhouette's sums are added in any order, so its last digit may differ.
-        table = [(r["k"], round(r["silhouette"], 9), round(r["cost"], 9)) for r in scores.collect()]
+        labelled, scores = choose_segments(shuffled, XY, max_clusters=4, restarts=2, slice_rows=20)
+        table = [(r["k"], r["silhouette"], r["cost"]) for r in scores.collect()]
         results.append((sorted((r["author_id"], r["segment"]) for r in labelled.collect()), table))
     assert results[0] == results[1] == results[2]
 
 
+def test_one_pass_serves_all_models(spark, monkeypatch):
+    jobs = []
+    ask = segmentation._pass
+    monkeypatch.setattr(segmentation, "_pass", lambda *a: (jobs.append(len(a[2])), ask(*a))[1])
+    df = points(spark, blobs(6, [(0, 0), (4, 1), (1, 5)], 30))
+    choose_segments(df, XY, max_clusters=6, restarts=5)
+    # Every pass has all models that still move; the last two measure the costs and the silhouettes.
+    assert jobs[0] == jobs[-2] == 25 and jobs[-1] == 5
+    assert len(jobs) <= segmentation.MAX_PASSES + 2 and jobs[:-2] == sorted(jobs[:-2], reverse=True)
+
+
+@pytest.mark.parametrize("slice_rows", [1 << 16, 13])
+def test_costs_and_silhouettes_of_the_choice(spark, slice_rows):
+    rows = blobs(8, [(0, 0), (3, 1), (1, 4), (6, 6)], 20)
+    df = points(spark, rows)
+    labelled, scores = choose_segments(df, XY, max_clusters=5, restarts=3, slice_rows=slice_rows)
+    first = scores.first()
+    labels = {r["author_id"]: r["segment"] for r in labelled.collect()}
+    assert first["k"] == 4
+    assert first["silhouette"] == pytest.approx(brute_silhouette(rows, [labels[i] for i in range(len(rows))], 2))
+    assert first["silhouette"] == pytest.approx(silhouette_squared(labelled, XY))
+    groups = {s: np.array([rows[i] for i in labels if labels[i] == s]) for s in set(labels.values())}
+    assert first["cost"] == pytest.approx(sum(((g - g.mean(0)) ** 2).sum() for g in groups.values()))
+
+
+def test_equal_authors_have_no_segments(spark):
+    with pytest.raises(ValueError):
+        choose_segments(points(spark, [(1, 1)] * 6), XY, max_clusters=3, restarts=2)
+
+
 def test_segments_need_two_authors(spark):
     with pytest.raises(ValueError):
         choose_segments(points(spark, [(1, 1)]), XY)
