@@ -155,6 +155,18 @@ _FIXED3 = "CASE WHEN {c} IS NULL THEN '' ELSE printf('%.3f', CAST({c} AS DOUBLE)
 _REPORT_COLUMNS = ("segment", *FEATURES, "count")
 _METRICS = (*FEATURES, "anomaly_score_val")
 
+
+def _describe(columns, source: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS metric, CAST(count({c}) AS DOUBLE) AS count, "
+        f"round(avg({c}), 6) + 0e0 AS mean, round(stddev_samp({c}), 6) + 0e0 AS std, "
+        f"round(min({c}), 6) + 0e0 AS min, round(quantile_cont({c}, 0.25), 6) + 0e0 AS \"25%\", "
+        f"round(quantile_cont({c}, 0.5), 6) + 0e0 AS \"50%\", "
+        f"round(quantile_cont({c}, 0.75), 6) + 0e0 AS \"75%\", round(max({c}), 6) + 0e0 AS max "
+        f"FROM {source}" for c in columns)
+
+
+
 _POSTS_FLAT = r"""
 SELECT id, id_int, composite_id,
   CAST(day AS TIMESTAMP) + INTERVAL '8 hours 30 minutes' AS published_at,
@@ -326,14 +338,12 @@ ORACLES: dict[str, str] = {
     "anomaly_flags": _with("SELECT author_id, anomaly_score FROM labelled", "labelled"),
     "segment_report": _with(
         _SEGMENT_REPORT.format(columns=_columns("round(avg({c}), 6) + 0e0 AS {c}")), "labelled"),
-    "anomaly_report": _with(
-        " UNION ALL ".join(
-            f"SELECT '{c}' AS metric, CAST(count({c}) AS DOUBLE) AS count, "
-            f"round(avg({c}), 6) + 0e0 AS mean, round(stddev_samp({c}), 6) + 0e0 AS std, "
-            f"round(min({c}), 6) + 0e0 AS min, round(quantile_cont({c}, 0.25), 6) + 0e0 AS \"25%\", "
-            f"round(quantile_cont({c}, 0.5), 6) + 0e0 AS \"50%\", "
-            f"round(quantile_cont({c}, 0.75), 6) + 0e0 AS \"75%\", round(max({c}), 6) + 0e0 AS max "
-            "FROM labelled WHERE anomaly_score = -1" for c in _METRICS), "labelled"),
+    "anomaly_report": _with(_describe(_METRICS, "labelled WHERE anomaly_score = -1"), "labelled"),
+    "describe_tied": _with(
+        _describe(("half_tied", "few_values", "mostly_null", "price"), "tied"),
+        tied="SELECT CASE WHEN l_orderkey % 2 = 0 THEN 0e0 ELSE CAST(l_extendedprice AS DOUBLE) END AS half_tied, "
+        "CAST(l_linenumber AS DOUBLE) AS few_values, CAST(l_extendedprice AS DOUBLE) AS price, "
+        "CASE WHEN l_linenumber > 6 THEN CAST(l_quantity AS DOUBLE) END AS mostly_null FROM lineitem"),
     "composite_score": _with(
         "SELECT author_id, round(composite_score, 6) + 0e0 AS composite_score FROM composite", "composite"),
     "top_segment": _with(

@@ -25,18 +25,16 @@ def segment_report(scored: DataFrame) -> DataFrame:
         *[F.avg(c).alias(c) for c in FEATURES], F.count("*").alias("count"))
 
 
-def anomaly_report(
-    scored: DataFrame, columns: Sequence[str] = (*FEATURES, "anomaly_score_val")
-) -> DataFrame:
-    """count, mean, std, min, quartiles and max of every column over the anomalies."""
-    anomalies = scored.where("anomaly_score = -1").select(*columns)
-    quartiles = exact_quantiles(anomalies, columns, list(_QUARTILES.values()))
-    ranks = anomalies.sparkSession.createDataFrame(
+def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """count, mean, std, min, exact quartiles and max of every column, nulls left out."""
+    chosen = df.select(*columns)
+    quartiles = exact_quantiles(chosen, columns, list(_QUARTILES.values()))
+    ranks = df.sparkSession.createDataFrame(
         [(c, *[quartiles[c, p] for p in _QUARTILES.values()]) for c in columns],
         T.StructType([T.StructField("metric", T.StringType())]
                      + [T.StructField(q, T.DoubleType()) for q in _QUARTILES]),
     )
-    values = anomalies.unpivot([], list(columns), "metric", "value")
+    values = chosen.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "metric", "value")
     moments = values.groupBy("metric").agg(
         F.count("value").cast("double").alias("count"),
         F.avg("value").alias("mean"),
@@ -48,6 +46,13 @@ def anomaly_report(
         "metric", "count", "mean", "std", "min", *[F.col(f"`{q}`") for q in _QUARTILES], "max")
 
 
+def anomaly_report(
+    scored: DataFrame, columns: Sequence[str] = (*FEATURES, "anomaly_score_val")
+) -> DataFrame:
+    """``describe`` of every column over the anomalies."""
+    return describe(scored.where("anomaly_score = -1"), columns)
+
+
 def report_display(report: DataFrame) -> DataFrame:
     """Every cell as text: numbers with three decimals, null as empty text."""
     numbers = set(numeric_columns(report))

@@ -375,6 +375,17 @@ def anomaly_report(spark, sf_dir):
     return six(reports.anomaly_report(_labelled(spark, sf_dir)))
 
 
+@query
+def describe_tied(spark, sf_dir):
+    """Columns of which half, or nearly all, of the values are equal."""
+    even = F.col("l_orderkey") % 2 == 0
+    return six(reports.describe(fx.table(spark, sf_dir, "lineitem").select(
+        F.when(even, 0).otherwise(F.col("l_extendedprice")).cast("double").alias("half_tied"),
+        F.col("l_linenumber").cast("double").alias("few_values"),
+        F.when(F.col("l_linenumber") > 6, F.col("l_quantity")).cast("double").alias("mostly_null"),
+        F.col("l_extendedprice").cast("double").alias("price")), ("half_tied", "few_values", "mostly_null", "price")))
+
+
 @query
 def composite_score(spark, sf_dir):
     return six(composite(_labelled(spark, sf_dir)).select("author_id", "composite_score"))

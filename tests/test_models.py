@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palaver.operators import scoring, segmentation
+from palaver.operators import quantiles, scoring, segmentation
 from palaver.operators.forest import anomaly_scores, fit_forest
 from palaver.operators.quantiles import exact_quantiles
 from palaver.operators.scaling import scaled_features, z_scores
@@ -164,8 +164,7 @@ def test_forest_of_few_or_equal_rows(spark):
     assert anomaly_scores(points(spark, [(1, 1)]), XY).count() == 1
 
 
-@pytest.mark.parametrize("small", [10**6, 50])
-def test_quantiles_are_exact_on_both_paths(spark, small):
+def test_quantiles_are_exact(spark):
     rng = random.Random(9)
     x = [rng.gauss(0, 1) for _ in range(5000)]
     y = [rng.choice([1.0, 2.0, 7.0]) for _ in range(4000)] + [None] * 1000
@@ -173,13 +172,36 @@ def test_quantiles_are_exact_on_both_paths(spark, small):
     rng.shuffle(z)
     df = spark.createDataFrame(list(zip(x, y, z)), "x double, y double, z double").repartition(6)
     probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = exact_quantiles(df, ["x", "y", "z"], probs, small)
+    got = exact_quantiles(df, ["x", "y", "z"], probs)
     for name, values in (("x", x), ("y", [v for v in y if v is not None]), ("z", z)):
         for prob in probs:
             assert got[name, prob] == pytest.approx(np.quantile(values, prob), rel=1e-12, abs=1e-12)
     assert exact_quantiles(df.where("x > 99"), ["x"], [0.5]) == {("x", 0.5): None}
 
 
+def test_quantiles_of_tied_values(spark):
+    # Half of 200,000 values are 0, so that the median lies at the edge of the tie.
+    df = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.col("id").cast("double")).alias("v"))
+    values = np.array([0.0 if i % 2 == 0 else float(i) for i in range(200_000)])
+    probs = [0.0, 0.25, 0.4999, 0.5, 0.500001, 0.75, 1.0]
+    got = exact_quantiles(df, ["v"], probs)
+    assert [got["v", p] for p in probs] == pytest.approx([np.quantile(values, p) for p in probs])
+
+
+def test_a_tie_is_one_row_and_ranks_come_from_few_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(10_000).select(F.least(F.col("id"), F.lit(5000)).cast("double").alias("v"), F.lit(1.0).alias("w"))
+        ordered = quantiles._ordered(quantiles.value_counts(df, ["v", "w"]))
+        assert ordered.count() == 5002
+        assert ordered.select("part").distinct().count() > 3
+        got = exact_quantiles(df, ["v", "w"], [0.1, 0.3, 0.9])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    values = np.minimum(np.arange(10_000), 5000)
+    assert got == pytest.approx({**{("v", p): np.quantile(values, p) for p in (0.1, 0.3, 0.9)}, **{("w", p): 1.0 for p in (0.1, 0.3, 0.9)}})
+
+
 def test_composite_and_top_segment(spark):
     rows = [(i, i % 3, float(i % 5), 1.0) for i in range(30)]
     df = spark.createDataFrame(rows, "author_id bigint, segment int, repeated_ratio double, link_ratio double")
