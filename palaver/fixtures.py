@@ -224,14 +224,15 @@ def comment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Replies in a chain, one document each; the five lengths take turns.
+# Replies in a chain, one document per conversation; the five lengths take turns.
 CHAINS = (1, 4, 450, 600, 1000)
 DEEP_SQL = """
 SELECT c.conv_id AS post_id, c.conv_id * 10000 + p.pos AS comment_id, p.pos AS depth,
   CASE WHEN p.pos > 0 THEN c.conv_id * 10000 + p.pos - 1 END AS parent_comment_id,
+  CASE WHEN p.pos <> floor(p.length / 2) THEN p.pos % 97 END AS author_id, p.pos = p.length - 1 AS ends,
   t.text AS content, CAST(2019 + c.conv_id % 6 AS INT) AS year
-FROM (SELECT DISTINCT conv_id FROM {conversations} WHERE conv_id % 20 = 0) c
-JOIN {positions} p ON p.chain = floor(c.conv_id / 20) % 5
+FROM (SELECT DISTINCT conv_id FROM {conversations}) c
+JOIN {positions} p ON p.chain = c.conv_id % 5
 JOIN {conversations} t ON t.turn = 0
   AND t.conv_id = (c.conv_id + p.pos) % (SELECT count(DISTINCT conv_id) FROM {conversations})
 """
@@ -240,15 +241,19 @@ JOIN {conversations} t ON t.turn = 0
 def deep_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     positions = spark.createDataFrame(
         list(enumerate(CHAINS)), "chain int, length int").select(
-        "chain", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("pos"))
+        "chain", "length", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("pos"))
     return _sql(spark, sf_dir, DEEP_SQL, positions=positions)
 
 
 def deep_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``path`` and ``body``: documents whose comments are one chain of replies each."""
-    node = F.to_json(F.struct(
-        F.col("comment_id").alias("id"), (F.col("comment_id") % 97).alias("author"), "content"))
-    opened = F.concat(F.substring(node, F.lit(1), F.length(node) - 1), F.lit(',"child_comments":['))
+    """``path`` and ``body``: documents whose comments are one chain of replies each. In the middle
+    of every chain an author is an object, and the id of the last reply is a word."""
+    fields = F.to_json(F.struct("content"))
+    author = F.coalesce(F.col("author_id").cast("string"), F.lit('{"name":"x"}'))
+    number = F.when(F.col("ends"), '"x"').otherwise(F.col("comment_id").cast("string"))
+    opened = F.concat(
+        F.lit('{"id":'), number, F.lit(',"author":'), author, F.lit(","), F.substring(fields, F.lit(2), F.length(fields) - 2),
+        F.lit(',"child_comments":['))
     chain = F.transform(F.sort_array(F.collect_list(F.struct("depth", opened.alias("text")))), lambda x: x["text"])
     return deep_comments(spark, sf_dir).groupBy("post_id", "year").agg(chain.alias("nodes")).select(
         F.concat(F.col("year").cast("string"), F.lit("/2019_01_01_d"), F.col("post_id").cast("string"), F.lit(".json")).alias("path"),
@@ -258,6 +263,27 @@ def deep_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit('],"authors":[{"id":'), F.col("post_id").cast("string"), F.lit("}]}")).alias("body"))
 
 
+def ledger_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path`` and ``body`` of a document per conversation. In turn: whole, cut in half, without its
+    summary, without comments in a year of its own, cut in half in a nested folder, with nameless
+    authors, and whole in a nested folder without a day in its name."""
+    kind, number = F.col("conv_id") % 7, F.col("conv_id").cast("string")
+    comment = F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "turn", F.col("text").alias("content"))
+    person = F.struct((F.col("conv_id") % 50).alias("id"), F.when(kind != 5, F.concat(F.lit("user"), number)).alias("username"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(comment)).alias("comments"))
+    body = F.to_json(F.struct(
+        F.when(kind != 2, F.struct(F.col("conv_id").alias("id"))).alias("summary"),
+        F.when(kind == 3, F.array().cast("array<struct<id: bigint, turn: int, content: string>>")).otherwise(
+            F.transform("comments", lambda c: F.struct(c["id"].alias("id"), c["turn"].cast("int").alias("turn"), c["content"].alias("content")))
+        ).alias("comments"),
+        F.array(person).alias("authors")))
+    folder = F.when(kind == 3, "2018").when(kind == 4, "2020/more").when(kind == 6, "2021/more").otherwise("2020")
+    day = F.when(kind == 6, "undated").otherwise("2020_03_04")
+    return rows.select(
+        F.concat(folder, F.lit("/"), day, F.lit("_l"), number, F.lit(".json")).alias("path"),
+        F.when(kind.isin(1, 4), F.substring(body, F.lit(1), F.floor(F.length(body) / 2).cast("int"))).otherwise(body).alias("body"))
+
+
 def damaged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The comment documents with some cut in half and some without their summary."""
     number = F.regexp_extract("path", r"_c(\d+)\.json$", 1).cast("bigint")

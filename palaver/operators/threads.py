@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,8 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palaver.schemas import COMMENTS
 from palaver.session import stage
 
-# Tree levels of the first round; documents that are deeper go on with twice as many.
-LEVELS = 64
+#: Steps of the first round; documents that are deeper go on with twice as many.
+STEPS = 8
+#: Tree levels that a step reads at once.
+STEP_LEVELS = 8
 
 _FIELDS = {
     "comment_id": ("id", "bigint"),
@@ -21,70 +24,98 @@ _FIELDS = {
     "approved": ("approved", "boolean"),
     "reference_id": ("reference_id", "bigint"),
 }
-
-
-_FRONTIER = "array<struct<depth: int, parent_comment_id: bigint, node: variant>>"
+_FRONTIER = "array<struct<depth: int, parent_comment_id: bigint, at: string>>"
 _FOUND = "array<struct<parent_comment_id: bigint, depth: int, " + ", ".join(
     f"{name}: {kind}" for name, (_, kind) in _FIELDS.items()) + ">>"
 
 
-def _children(value: Column, path: str, parent: Column, depth: Column) -> Column:
-    nodes = F.coalesce(
-        F.try_variant_get(value, path, "array<variant>"), F.array().cast("array<variant>"))
-    return F.transform(nodes, lambda node: F.struct(
-        depth.alias("depth"), parent.alias("parent_comment_id"), node.alias("node")))
+def _node_type(levels: int) -> str:
+    """A comment with so many levels; of the replies below only the number is read."""
+    fields = ", ".join(f"{key}: {kind}" for key, kind in _FIELDS.values())
+    replies = _node_type(levels - 1) if levels > 1 else "struct<id: bigint>"
+    return f"struct<{fields}, child_comments: array<{replies}>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _replies(level: Column) -> Column:
+    """The replies to a level's comments, none where they are no array, and the path of each."""
+    return F.flatten(F.filter(
+        F.transform(level, lambda x: F.transform(x["node"]["child_comments"], lambda c, i: F.struct(
+            (x["depth"] + 1).alias("depth"), x["node"]["id"].alias("parent_comment_id"), c.alias("node"),
+            F.concat(x["at"], F.lit(".child_comments["), i.cast("string"), F.lit("]")).alias("at")))),
+        lambda found: found.isNotNull()))
+
 
+def _rows(level: Column) -> Column:
+    return F.transform(level, lambda x: F.struct(x["parent_comment_id"], x["depth"], *[
+        x["node"][key].alias(name) for name, (key, _) in _FIELDS.items()]))
 
-def _walk(levels: int) -> Column:
-    """Goes ``levels`` levels down from the column ``frontier``: the nodes found on the way,
-    and the frontier below them."""
 
-    def row(x: Column) -> Column:
-        return F.struct(x["parent_comment_id"], x["depth"], *[
-            F.try_variant_get(x["node"], f"$.{path}", kind).alias(name)
-            for name, (path, kind) in _FIELDS.items()])
+def _step(doc: Column, frontier: Column) -> Column:
+    """The comments of the next STEP_LEVELS levels, and the frontier below them."""
+    kind = F.lit(_node_type(STEP_LEVELS))
+    top = F.transform(frontier, lambda x: F.struct(
+        x["depth"], x["parent_comment_id"], F.call_function("try_variant_get", doc, x["at"], kind).alias("node"), x["at"]))
 
-    def below(x: Column) -> Column:
-        own_id = F.try_variant_get(x["node"], "$.id", "bigint")
-        return _children(x["node"], "$.child_comments", own_id, x["depth"] + 1)
+    def down(level: Column, found: list[Column], number: int) -> Column:
+        rows = [*found, _rows(level)]
+        if number < STEP_LEVELS:
+            return _let(_replies(level), lambda lower: down(lower, rows, number + 1))
+        below = F.transform(_replies(level), lambda x: F.struct(x["depth"], x["parent_comment_id"], x["at"]))
+        return F.struct(below.cast(_FRONTIER).alias("frontier"), F.concat(*rows).cast(_FOUND).alias("found"))
 
+    return _let(top, lambda level: down(level, [], 1))
+
+
+def first_frontier(doc: Column) -> Column:
+    """The paths of the topmost comments of a document."""
+    places = F.size(F.coalesce(
+        F.try_variant_get(doc, "$.comments", "array<struct<id: bigint>>"), F.array().cast("array<struct<id: bigint>>")))
+    return F.transform(
+        F.when(places > 0, F.sequence(F.lit(0), places - 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.lit(0).alias("depth"), F.lit(None).cast("bigint").alias("parent_comment_id"),
+                           F.concat(F.lit("$.comments["), i.cast("string"), F.lit("]")).alias("at"))).cast(_FRONTIER)
+
+
+def walk(doc: Column, frontier: Column, steps: int) -> Column:
+    """The comments ``found`` at a frontier and below it, and the ``frontier`` after so many steps.
+
+    One expression goes down a whole document, STEP_LEVELS levels at a time, in a plan that does
+    not grow with the depth. What lies below is named by its path and read in place, so no part of
+    a document is copied and no depth costs stack. At any depth a field of the wrong type is null,
+    and a node that is no object has no fields.
+    """
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(levels)),
-        F.struct(F.col("frontier"), F.array().cast(_FOUND).alias("found")),
-        lambda state, _: F.struct(
-            F.flatten(F.transform(state["frontier"], below)).alias("frontier"),
-            F.concat(state["found"], F.transform(state["frontier"], row)).alias("found")))
+        F.sequence(F.lit(1), F.lit(steps)),
+        F.struct(frontier.alias("frontier"), F.array().cast(_FOUND).alias("found")),
+        lambda state, _: F.when(F.size(state["frontier"]) == 0, state).otherwise(_let(
+            _step(doc, state["frontier"]), lambda done: F.struct(
+                done["frontier"].alias("frontier"), F.concat(state["found"], done["found"]).alias("found")))))
 
 
-def flatten_comments(documents: DataFrame) -> DataFrame:
-    """Rows of the comment table from ``post_id``, ``year`` and the document ``doc``.
+def flatten_documents(opened: DataFrame, parse: Callable[[str], Column]) -> DataFrame:
+    """Rows of the comment table, and the ``path`` each comes from, of opened documents: ``path``,
+    ``post_id``, ``year``, the comments ``found`` so far and, where a ``frontier`` is left, the ``text``.
 
-    One expression goes down a whole document, level by level, and one ``explode`` makes its
-    rows: no shuffle, and a plan that does not grow with the depth. Documents deeper than
-    ``LEVELS`` are staged with what is left of them and go on with twice the levels, so a tree
-    of depth d takes log2(d / LEVELS) rounds more.
+    One ``explode`` makes the rows, no shuffle. Documents with a frontier are parsed again and go on
+    with twice the steps, so a tree of depth d takes log2(d / 64) rounds more.
     """
-    levels = LEVELS
-    rest = documents.select("post_id", "year", _children(
-        F.col("doc"), "$.comments", F.lit(None).cast("bigint"), F.lit(0)).alias("frontier"))
-    pieces: list[DataFrame] = []
-    while True:
-        walked = stage(
-            rest.where(F.size("frontier") > 0).withColumn("walked", _walk(levels)).select(
-                "post_id", "year", "walked.found", "walked.frontier"), "walked")
-        pieces.append(walked.select("post_id", "year", F.explode("found").alias("found")))
-        rest = walked.where(F.size("frontier") > 0).select("post_id", "year", "frontier")
-        if rest.isEmpty():
-            break
-        levels *= 2
-    return found_rows(reduce(DataFrame.unionByName, pieces))
-
-
-def found_rows(found: DataFrame) -> DataFrame:
-    """Rows of the comment table from ``post_id``, ``year`` and a struct ``found`` per comment."""
+    pieces, steps, rest = [opened], STEPS, opened
+    while not (rest := rest.where(F.size("frontier") > 0)).isEmpty():
+        steps *= 2
+        walked = rest.withColumn("doc", parse("text")).withColumn("walked", walk(F.col("doc"), F.col("frontier"), steps))
+        rest = stage(walked.select(
+            "path", "post_id", "year", "walked.found", "walked.frontier",
+            F.when(F.size("walked.frontier") > 0, F.col("text")).alias("text")), "walked")
+        pieces.append(rest)
     time = F.col("creation_datetime").try_cast("timestamp_ntz")
-    return found.select("post_id", "year", "found.*").withColumn(
-        "creation_datetime", time).select(*COMMENTS.names)
+    rows = [p.where("post_id IS NOT NULL AND year IS NOT NULL").select("path", "post_id", "year", F.explode("found").alias("found")) for p in pieces]
+    return reduce(DataFrame.unionByName, rows).select("path", "post_id", "year", "found.*").withColumn(
+        "creation_datetime", time).select(*COMMENTS.names, "path")
 
 
 def _settled(rounds: list[DataFrame]) -> DataFrame:

@@ -202,11 +202,32 @@ _SQUARE = _columns("(p.{c} - q.{c}) * (p.{c} - q.{c})", joiner=" + ")
 
 _DEEP = {
     "positions": " UNION ALL ".join(
-        f"SELECT {i} AS chain, unnest(range({n})) AS pos" for i, n in enumerate(fx.CHAINS)),
+        f"SELECT {i} AS chain, {n} AS length, unnest(range({n})) AS pos" for i, n in enumerate(fx.CHAINS)),
     "deep": fx.DEEP_SQL.format(conversations="conversations", positions="positions"),
 }
 
 
+_SIGHTINGS = (
+    "SELECT author_id, concat('user', author_id * 10 + post_id % 3) AS username, "
+    "author_id % 2 = 0 AS active, post_id % 2 = 0 AS newbie, "
+    "CASE WHEN post_id % 4 <> 0 THEN author_id % 9 = 0 END AS banned, false AS premium, "
+    "TIMESTAMP '2019-05-06 07:08:09' AS registered_at, "
+    "CAST(DATE '2019-01-01' + CAST(post_id % 365 AS INT) AS TIMESTAMP) AS seen_at "
+    "FROM (SELECT DISTINCT author_id, post_id FROM threads) seen")
+
+# What a load makes of the seven kinds of documents that take turns.
+_LEDGER = {"ledger": """
+SELECT concat(CASE WHEN kind = 6 THEN 'undated' ELSE '2020_03_04' END, '_l', conv_id, '.json') AS file,
+  CASE kind WHEN 3 THEN 2018 WHEN 4 THEN NULL WHEN 6 THEN NULL ELSE 2020 END AS year,
+  CASE kind WHEN 1 THEN 'unreadable' WHEN 2 THEN 'no summary id' WHEN 3 THEN 'empty' WHEN 4 THEN 'unreadable'
+    WHEN 6 THEN 'not in a year folder' ELSE 'loaded' END AS comments,
+  CASE WHEN kind IN (0, 5) THEN turns ELSE 0 END AS rows_loaded,
+  CAST(CASE WHEN kind IN (1, 4) THEN 0 ELSE 1 END AS INT) AS sightings, CAST(0 AS INT) AS without_id,
+  CAST(CASE WHEN kind = 5 THEN 1 ELSE 0 END AS INT) AS without_name,
+  CAST(CASE WHEN kind = 6 THEN 1 ELSE 0 END AS INT) AS without_day
+FROM (SELECT conv_id, conv_id % 7 AS kind, count(*) AS turns FROM conversations GROUP BY conv_id) c"""}
+
+
 def _tree_sql(tree: dict, node: int = 0) -> str:
     """Path length of a row in a fixed tree."""
     if tree["feature"][node] < 0:
@@ -284,20 +305,27 @@ ORACLES: dict[str, str] = {
     "posts_flat": _with(_POSTS_FLAT, "posts_base"),
     "stream_ingest": _with(_POSTS_FLAT, "posts_base"),
     "comments_flat": _with("SELECT * FROM threads", "threads"),
-    "author_sightings": _with(
-        "SELECT author_id, concat('user', author_id * 10 + post_id % 3) AS username, "
-        "author_id % 2 = 0 AS active, post_id % 2 = 0 AS newbie, "
-        "CASE WHEN post_id % 4 <> 0 THEN author_id % 9 = 0 END AS banned, false AS premium, "
-        "TIMESTAMP '2019-05-06 07:08:09' AS registered_at, "
-        "CAST(DATE '2019-01-01' + CAST(post_id % 365 AS INT) AS TIMESTAMP) AS seen_at "
-        "FROM (SELECT DISTINCT author_id, post_id FROM threads) seen", "threads"),
+    "author_sightings": _with(_SIGHTINGS, "threads"),
     "deep_threads": _with(
-        "SELECT post_id, comment_id, parent_comment_id, CAST(depth AS INT) AS depth, content, year FROM deep",
+        "SELECT post_id, CASE WHEN NOT ends THEN comment_id END AS comment_id, parent_comment_id, author_id, "
+        "CAST(depth AS INT) AS depth, content, year FROM deep",
         **_DEEP),
     "deep_sightings": _with(
         "SELECT DISTINCT post_id AS author_id, TIMESTAMP '2019-01-01 00:00:00' AS seen_at FROM deep", **_DEEP),
     "comments_of_years": _with(
         "SELECT comment_id, depth, year FROM threads WHERE year IN (2019, 2022)", "threads"),
+    "crawl_sightings": _with(_SIGHTINGS, "threads"),
+    "bulk_load": _with("SELECT * FROM threads", "threads"),
+    "stored_authors": _upsert("least(o.registered_at, n.registered_at)"),
+    "stored_usernames": _with("SELECT DISTINCT author_id, username, seen_at FROM authors_raw", "authors_raw"),
+    "load_ledger": _with("SELECT * FROM ledger", **_LEDGER),
+    "ledger_years": _with(
+        "SELECT year, CAST(sum(rows_loaded) AS BIGINT) AS rows_loaded, count(*) AS files FROM ledger "
+        "WHERE year IS NOT NULL GROUP BY year", **_LEDGER),
+    "ledger_errors": _with(
+        "SELECT file, comments AS reason FROM ledger WHERE comments NOT IN ('loaded', 'empty') UNION ALL "
+        "SELECT file, 'author without name' FROM ledger WHERE without_name > 0 UNION ALL "
+        "SELECT file, 'no day in name' FROM ledger WHERE without_day > 0", **_LEDGER),
     "raw_reload": _with(
         "SELECT comment_id, post_id, parent_comment_id, author_id, approved, creation_datetime, content, "
         "CAST(kudos_count AS BIGINT) AS kudos_count, reference_id FROM threads", "threads"),

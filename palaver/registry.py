@@ -20,10 +20,11 @@ from palaver.operators.segmentation import (
     assign_segments, choose_segments, silhouette_exact as exact_score, silhouette_squared as squared_score)
 from palaver.plans import features as ft, loads, reports
 from palaver.plans.pipeline import analyse
-from palaver.schemas import FEATURES, POSTS
+from palaver.schemas import AUTHOR_USERNAMES, AUTHORS, COMMENTS, COMMENTS_RAW, FEATURES, LOAD_MARKERS, POSTS
 from palaver.session import stage, work_dir
 from palaver.sources import authors as author_source, comments as comment_source
 from palaver.sources import posts as post_source, tables
+from palaver.sources.snapshots import Store
 from palaver.streaming.ingest import ingest_posts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,6 +207,10 @@ def load_markers(spark, sf_dir):
 # ---- raw documents ---------------------------------------------------------------------
 
 
+def _new_store(spark, name: str) -> Store:
+    return Store(spark, f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}")
+
+
 def _plain_posts(posts: DataFrame) -> DataFrame:
     return posts.withColumn("tags", F.array_join("tags", " "))
 
@@ -220,11 +225,10 @@ def posts_flat(spark, sf_dir):
 @query
 def stream_ingest(spark, sf_dir):
     root = fx.documents_on_disk(spark, sf_dir, "post_days")
-    base = f"{work_dir(spark)}/stream-posts-{uuid.uuid4().hex}"
-    tables.create_table(POSTS, spark, base)
+    store = _new_store(spark, "stream-posts")
     for _ in range(2):  # the second run finds no new files
-        ingest_posts(spark, root, base, f"{base}-checkpoint", files_per_batch=20)
-    return _plain_posts(spark.read.schema(POSTS).parquet(base))
+        ingest_posts(spark, root, store, f"{store.root}/checkpoint", files_per_batch=20)
+    return _plain_posts(store.read("posts", POSTS))
 
 
 @query
@@ -241,10 +245,10 @@ def author_sightings(spark, sf_dir):
 
 @query
 def deep_threads(spark, sf_dir):
-    """Chains of up to a thousand replies."""
-    root = fx.documents_on_disk(spark, sf_dir, "deep_documents")
-    return loads.read_comments(spark, root).select(
-        "post_id", "comment_id", "parent_comment_id", "depth", "content", "year")
+    """Chains of up to a thousand replies, in each an author that is no number and at its end an
+    id that is none."""
+    return _crawled(spark, sf_dir, "deep_documents").comments.select(
+        "post_id", "comment_id", "parent_comment_id", "author_id", "depth", "content", "year")
 
 
 @query
@@ -253,28 +257,94 @@ def deep_sightings(spark, sf_dir):
     return author_source.read_author_sightings(spark, root).select("author_id", "seen_at")
 
 
+@query
+def crawl_sightings(spark, sf_dir):
+    """Sightings from the documents that the comments were taken from."""
+    return _crawled(spark, sf_dir, "comment_documents").sightings
+
+
+def _crawled(spark, sf_dir, name: str) -> loads.Crawl:
+    """Documents parsed once, whatever is asked of them later."""
+    root = fx.documents_on_disk(spark, sf_dir, name)
+    return fx.once(spark, sf_dir, f"{name} crawl", lambda: loads.read_crawl(spark, root))
+
+
+@query
+def load_ledger(spark, sf_dir):
+    """What became of every file, nested, damaged and empty ones included."""
+    return _crawled(spark, sf_dir, "ledger_documents").ledger().drop("path")
+
+
+@query
+def ledger_years(spark, sf_dir):
+    """Markers of all years with files, also of those without a comment."""
+    return tables.year_markers(_crawled(spark, sf_dir, "ledger_documents").ledger()).drop("loaded_at")
+
+
+@query
+def ledger_errors(spark, sf_dir):
+    return loads.ledger_errors(_crawled(spark, sf_dir, "ledger_documents").ledger())
+
+
 @query
 def comments_of_years(spark, sf_dir):
     root = fx.documents_on_disk(spark, sf_dir, "comment_documents")
     return loads.read_comments(spark, root, [2019, 2022]).select("comment_id", "depth", "year")
 
 
-def _reloaded(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    root = fx.documents_on_disk(spark, sf_dir, "comment_documents")
-    base = f"{work_dir(spark)}/reload-{uuid.uuid4().hex}"
-    for _ in range(2):  # the second run resets what the first has loaded
-        rows = loads.reload_comments_raw(spark, root, f"{base}/rows", f"{base}/markers")
-    return rows, spark.read.parquet(f"{base}/markers")
+def _reloaded(spark, sf_dir) -> Store:
+    """A store whose raw comments, markers and ledger were loaded and then reset by a second load."""
+    def load() -> Store:
+        store = _new_store(spark, "reload")
+        for _ in range(2):
+            loads.reload_comments_raw(store, _crawled(spark, sf_dir, "comment_documents"))
+        return store
+
+    return fx.once(spark, sf_dir, "reloaded", load)
 
 
 @query
 def raw_reload(spark, sf_dir):
-    return _reloaded(spark, sf_dir)[0]
+    return _reloaded(spark, sf_dir).read("comments_raw", COMMENTS_RAW)
 
 
 @query
 def reload_markers(spark, sf_dir):
-    return _reloaded(spark, sf_dir)[1].drop("loaded_at")
+    return _reloaded(spark, sf_dir).read("load_markers", LOAD_MARKERS).select("year", "rows_loaded")
+
+
+@query
+def bulk_load(spark, sf_dir):
+    """Three commits of some years each, as readers see them."""
+    def load() -> Store:
+        store = _new_store(spark, "bulk")
+        root = fx.documents_on_disk(spark, sf_dir, "comment_documents")
+        for years in ([2019, 2020], [2021], [2022, 2023, 2024]):
+            loads.load_comments(store, loads.read_crawl(spark, root, years))
+        return store
+
+    return fx.once(spark, sf_dir, "bulk", load).read("comments", COMMENTS)
+
+
+def _merged(spark, sf_dir) -> Store:
+    """Authors and names of two batches of sightings, the second upserted into the first."""
+    def load() -> Store:
+        store, sightings = _new_store(spark, "authors"), fx.authors_raw(spark, sf_dir)
+        for part in (f"seen_at < {_CUT}", f"seen_at >= {_CUT}"):
+            loads.merge_sightings(store, sightings.where(part))
+        return store
+
+    return fx.once(spark, sf_dir, "merged authors", load)
+
+
+@query
+def stored_authors(spark, sf_dir):
+    return _merged(spark, sf_dir).read("authors", AUTHORS)
+
+
+@query
+def stored_usernames(spark, sf_dir):
+    return _merged(spark, sf_dir).read("author_usernames", AUTHOR_USERNAMES)
 
 
 def _listed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -301,8 +371,7 @@ def missing_posts(spark, sf_dir):
 
 @query
 def ingest_errors(spark, sf_dir):
-    root = fx.documents_on_disk(spark, sf_dir, "damaged_documents")
-    return comment_source.comment_errors(comment_source.read_comment_files(spark, root))
+    return comment_source.comment_errors(_crawled(spark, sf_dir, "damaged_documents").documents)
 
 
 @query

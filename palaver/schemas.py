@@ -40,6 +40,8 @@ AUTHOR_SIGHTINGS = _row(
     registered_at=_TIME, seen_at=_TIME,
 )
 
+LOAD_MARKERS = _row(year=_INT, rows_loaded=_LONG, files=_LONG, loaded_at=_TIME)
+
 AUTHOR_USERNAMES = _row(author_id=_LONG, username=_TEXT, seen_at=_TIME)
 
 _VARIANTS = T.ArrayType(_row(version=_TEXT, uri=_TEXT))

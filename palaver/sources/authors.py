@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palaver.schemas import AUTHOR_SIGHTINGS, RAW_AUTHORS
+from palaver.sources.comments import day_in_name
 
 # The reader skips what the schema does not name without recursion.
 _NESTING = 1_000_000
-_DAY_IN_NAME = r"(\d{4}_\d{2}_\d{2})"
 
 
 def read_author_sightings(spark: SparkSession, root: str) -> DataFrame:
@@ -26,20 +26,27 @@ def read_author_sightings(spark: SparkSession, root: str) -> DataFrame:
         .json(root)
         .select(F.col("_metadata.file_name").alias("file"), F.explode("authors").alias("a"))
     )
-    day = F.try_to_date(F.regexp_extract("file", _DAY_IN_NAME, 1), "yyyy_MM_dd")
+    return _typed_sightings(rows)
+
+
+def _typed_sightings(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.col("a.id").alias("author_id"),
         "a.username", "a.active", "a.newbie", "a.banned", "a.premium",
         F.col("a.registered_at").try_cast("timestamp_ntz").alias("registered_at"),
-        day.cast("timestamp_ntz").alias("seen_at"),
+        day_in_name().cast("timestamp_ntz").alias("seen_at"),
     ).select(*AUTHOR_SIGHTINGS.names)
 
 
+def sightings_of(opened: DataFrame) -> DataFrame:
+    """The same rows from documents that are opened already; a field of the wrong type is null."""
+    return _typed_sightings(opened.select("file", F.explode("people").alias("a")))
+
+
 def undated_files(spark: SparkSession, root: str) -> DataFrame:
     """Files whose name carries no valid day, for the error table."""
     names = list_files(spark, root).select("file")
-    day = F.try_to_date(F.regexp_extract("file", _DAY_IN_NAME, 1), "yyyy_MM_dd")
-    return names.where(day.isNull()).select("file", F.lit("no day in name").alias("reason"))
+    return names.where(day_in_name().isNull()).select("file", F.lit("no day in name").alias("reason"))
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:

@@ -1,155 +1,95 @@
-"""Comments: one JSON document per post below a directory per year."""
+"""Comments: one JSON document per post below a directory per year, nested to any depth."""
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterable
+from urllib.parse import quote
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-_YEAR_IN_PATH = r"/([0-9]+)/[^/]+$"
+from palaver.operators.threads import STEPS, first_frontier, walk
+from palaver.schemas import RAW_AUTHORS
 
-# Documents that name this key more often and that the recursive parser refuses, at 1,000
-# levels of JSON, go through a parser without recursion.
-DEEP = 400
+ENTRY = RAW_AUTHORS["authors"].dataType.elementType.simpleString()
+_DAY_IN_NAME = r"(\d{4}_\d{2}_\d{2})"
 
 
-def read_comment_files(
-    spark: SparkSession, root: str, years: Iterable[int] | None = None
-) -> DataFrame:
-    """One row per file: ``file``, ``year`` and the parsed document ``doc``.
+def day_in_name() -> Column:
+    """The day in the name of ``file``, null without a valid one."""
+    return F.try_to_date(F.regexp_extract("file", _DAY_IN_NAME, 1), "yyyy_MM_dd")
 
-    Only files directly inside an all-digit directory count. ``years`` narrows the
-    listing itself, so other years are never opened. ``doc`` is null for bad JSON and for
-    documents nested too deeply for the parser; of those ``raw`` holds the text.
+
+#: Levels of JSON that the parser goes down; a reply takes two. A stack of 1 MB holds about 3,500
+#: levels: for deeper documents raise this and start executors with a larger stack, for example
+#: ``spark.executor.extraJavaOptions=-Xss16m`` for 40,000 levels. Only the parser needs it.
+MAX_LEVELS = 2_500
+
+
+def read_documents(spark: SparkSession, root: str, years: Iterable[int] | None = None) -> DataFrame:
+    """One row per ``*.json`` file at any depth below ``root``: ``path``, ``file``, ``year``, ``text``.
+
+    ``year`` is the all-digit directory of ``root`` that directly holds the file, else null: such
+    files name authors, but their comments are not loaded. ``years`` narrows the listing itself,
+    so that other years are never opened.
     """
-    chosen = "*" if years is None else "{" + ",".join(str(y) for y in years) + "}"
-    doc = F.try_parse_json("value")
-    return (
-        spark.read.text(f"{root}/{chosen}/*.json", wholetext=True)
-        .select(
-            F.col("_metadata.file_name").alias("file"),
-            F.regexp_extract("_metadata.file_path", _YEAR_IN_PATH, 1).alias("year"),
-            doc.alias("doc"),
-            F.when(doc.isNull() & (_mentions("child_comments") > DEEP), F.col("value")).alias("raw"),
-        )
-        .where("year <> ''")
-        .withColumn("year", F.col("year").cast("int"))
-    )
-
-
-def _mentions(key: str):
-    """How often a document names a key."""
-    return (F.length("value") - F.length(F.replace("value", F.lit(f'"{key}"')))) / (len(key) + 2)
-
-
-def compact_comment_files(spark: SparkSession, root: str, target: str) -> DataFrame:
-    """Rewrite the many small documents once as Parquet; later loads read ``target``."""
-    read_comment_files(spark, root).write.partitionBy("year").mode("overwrite").parquet(target)
+    reader = spark.read.option("pathGlobFilter", "*.json")
+    if years is None:
+        files = reader.option("recursiveFileLookup", True).text(root, wholetext=True)
+    else:
+        files = reader.text(f"{root}/{{{','.join(str(y) for y in years)}}}/*.json", wholetext=True)
+    folder = re.escape(quote(root.rstrip("/").rsplit("/", 1)[-1]))
+    return files.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"),
+        F.regexp_extract("_metadata.file_path", rf"/{folder}/([0-9]+)/[^/]+$", 1).try_cast("int").alias("year"),
+        F.col("value").alias("text"))
+
+
+def parsed(text: str, max_levels: int = MAX_LEVELS) -> Column:
+    """A JSON text as a variant; null for text that is no JSON or is nested too deeply."""
+    return F.from_json(text, "variant", {"maxNestingDepth": str(max_levels)})
+
+
+def open_documents(files: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
+    """All that loads take from a document, from one parse of its text: whether it is ``readable``,
+    its ``post_id``, the author entries ``people`` and the comments ``found``; of documents so deep
+    that a ``frontier`` is left, the ``text``, too. Comments are only looked for where they will be
+    loaded: in a document of a year that names its post."""
+    docs = files.withColumn("doc", parsed("text", max_levels))
+    loads = F.col("year").isNotNull() & F.col("post_id").isNotNull()
+    return docs.select(
+        "path", "file", "year", "text", "doc", F.col("doc").isNotNull().alias("readable"),
+        F.try_variant_get("doc", "$.summary.id", "bigint").alias("post_id"),
+        F.try_variant_get("doc", "$.authors", f"array<{ENTRY}>").alias("people"), first_frontier(F.col("doc")).alias("tops"),
+    ).withColumn("walked", F.when(loads, walk(F.col("doc"), F.col("tops"), STEPS))).select(
+        "path", "file", "year", "readable", "post_id", "people", "walked.found", "walked.frontier",
+        F.when(F.size("walked.frontier") > 0, F.col("text")).alias("text"))
+
+
+def compact_documents(spark: SparkSession, root: str, target: str, years: Iterable[int] | None = None) -> DataFrame:
+    """Opens the many small documents once and keeps what loads take from them as Parquet; loads
+    and repairs that read ``target`` parse nothing."""
+    open_documents(read_documents(spark, root, years)).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
 
-def _summary_id():
-    return F.try_variant_get("doc", "$.summary.id", "bigint")
+def _left_out() -> Column:
+    """Why a document's comments are not loaded, null if they are."""
+    return F.when(~F.col("readable"), "unreadable").when(F.col("year").isNull(), "not in a year folder").when(
+        F.col("post_id").isNull(), "no summary id")
 
 
-def usable_documents(files: DataFrame) -> DataFrame:
-    """Documents that name their post: ``post_id``, ``year``, ``doc``."""
-    return files.select(_summary_id().alias("post_id"), "year", "doc").where(
-        F.col("post_id").isNotNull())
+def comment_errors(opened: DataFrame) -> DataFrame:
+    """``file`` and ``reason`` of the documents whose comments are not loaded."""
+    return opened.select("file", _left_out().alias("reason")).where("reason IS NOT NULL")
 
 
-def comment_errors(files: DataFrame) -> DataFrame:
-    reason = F.when(F.col("doc").isNull(), "unreadable").when(
-        _summary_id().isNull(), "no summary id")
-    deep = read_deep(files)
-    deep_reason = F.when(~F.col("readable"), "unreadable").when(
-        F.col("post_id").isNull(), "no summary id")
-    return (
-        files.where("raw IS NULL").select("file", reason.alias("reason"))
-        .unionByName(deep.select("file", deep_reason.alias("reason")))
-        .where(F.col("reason").isNotNull())
-    )
-
-
-_TOKEN = re.compile(r'\s*([{}\[\]:,]|"(?:[^"\\]|\\.)*"|[^\s{}\[\]:,"]+)', re.S)
-
-
-def parse_without_recursion(text: str):
-    """The value of a JSON text nested to any depth; ValueError if it is none."""
-    root: list = []
-    open_values: list = [root]
-    keys: list = [None]
-    place, expects_key = 0, False
-    text = text.rstrip()
-    while place < len(text):
-        found = _TOKEN.match(text, place)
-        if not found:
-            raise ValueError(f"no JSON at {place}")
-        token, place = found[1], found.end()
-        top = open_values[-1]
-        if token in "}]":
-            if len(open_values) < 2 or isinstance(top, dict) != (token == "}"):
-                raise ValueError(f"unexpected {token} at {place}")
-            open_values.pop()
-            keys.pop()
-            expects_key = False
-        elif token == ",":
-            expects_key = isinstance(top, dict)
-        elif token == ":":
-            expects_key = False
-        elif expects_key and isinstance(top, dict):
-            keys[-1] = json.loads(token)
-        else:
-            value = {} if token == "{" else [] if token == "[" else json.loads(token)
-            if isinstance(top, dict):
-                top[keys[-1]] = value
-            else:
-                top.append(value)
-            if token in "{[":
-                open_values.append(value)
-                keys.append(None)
-                expects_key = token == "{"
-    if len(open_values) != 1 or len(root) != 1:
-        raise ValueError("the text ends too early or holds more than one value")
-    return root[0]
-
-
-_DEEP_ROWS = ("array<struct<parent_comment_id: bigint, depth: int, comment_id: bigint, author_id: bigint, "
-              "creation_datetime: string, content: string, kudos_count: int, approved: boolean, reference_id: bigint>>")
-
-
-def _rows_below(comments) -> list[dict]:
-    rows, queue = [], [(node, None, 0) for node in reversed(comments or [])]
-    while queue:
-        node, parent, depth = queue.pop()
-        whole = lambda key: None if node.get(key) is None else int(node[key])
-        rows.append({
-            "parent_comment_id": parent, "depth": depth, "comment_id": whole("id"), "author_id": whole("author"),
-            "creation_datetime": node.get("creation_datetime"), "content": node.get("content"),
-            "kudos_count": whole("kudos_count"), "approved": node.get("approved"), "reference_id": whole("reference_id")})
-        queue += [(child, whole("id"), depth + 1) for child in reversed(node.get("child_comments") or [])]
-    return rows
-
-
-def read_deep(files: DataFrame) -> DataFrame:
-    """``file``, ``year``, ``readable``, ``post_id`` and ``found`` rows of documents with ``raw`` text."""
-
-    def parse(batches):
-        for pdf in batches:
-            out = []
-            for text in pdf["raw"]:
-                try:
-                    document = parse_without_recursion(text)
-                    post_id = (document.get("summary") or {}).get("id")
-                    out.append((True, post_id, _rows_below(document.get("comments"))))
-                except (ValueError, AttributeError, TypeError):
-                    out.append((False, None, []))
-            yield pd.DataFrame({
-                "file": pdf["file"], "year": pdf["year"], "readable": [x[0] for x in out],
-                "post_id": pd.array([x[1] for x in out], "Int64"), "found": [x[2] for x in out]})
-
-    return files.where("raw IS NOT NULL").select("file", "year", "raw").mapInPandas(
-        parse, f"file string, year int, readable boolean, post_id bigint, found {_DEEP_ROWS}")
+def document_status(opened: DataFrame) -> DataFrame:
+    """What a load makes of each file: ``path``, ``file``, ``year``, ``comments`` (``loads``, or why
+    not) and its author entries: ``sightings``, and how many lack an id, a name or a day."""
+    entries = F.coalesce("people", F.array().cast(f"array<{ENTRY}>"))
+    lacking = lambda field: F.size(F.filter(entries, lambda a: a[field].isNull()))
+    return opened.select(
+        "path", "file", "year", F.coalesce(_left_out(), F.lit("loads")).alias("comments"), F.size(entries).alias("sightings"),
+        lacking("id").alias("without_id"), lacking("username").alias("without_name"),
+        F.when(day_in_name().isNull(), F.size(entries)).otherwise(0).alias("without_day"))

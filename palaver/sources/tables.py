@@ -1,4 +1,4 @@
-"""Stored tables and report files."""
+"""Keyed loads into stored tables, and report files."""
 
 from __future__ import annotations
 
@@ -9,45 +9,44 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from palaver.operators.keys import duplicate_keys, insert_ignore
+from palaver.schemas import COMMENTS
+from palaver.sources.snapshots import Change, Store
 
 
 def append_new(
-    batch: DataFrame, path: str, schema: StructType, key: str, order_by: list[str]
+    store: Store, table: str, batch: DataFrame, schema: StructType, key: str, order_by: list[str]
 ) -> DataFrame:
-    """Append rows whose key ``path`` does not hold yet; repeating a batch adds nothing."""
-    stored = batch.sparkSession.read.schema(schema)
-    fresh = insert_ignore(stored.parquet(path), batch, [key], order_by)
-    fresh.select(*schema.names).write.mode("append").parquet(path)
-    return stored.parquet(path)
+    """Append rows whose key the table does not hold yet; repeating a batch adds nothing."""
+    fresh = insert_ignore(store.read(table, schema), batch, [key], order_by)
+    store.commit(Change(table, fresh.select(*schema.names)))
+    return store.read(table, schema)
 
 
-def create_table(schema: StructType, spark: SparkSession, path: str, *partition_by: str) -> None:
-    """Create or reset an empty table."""
-    spark.createDataFrame([], schema).write.partitionBy(*partition_by).mode(
-        "overwrite").parquet(path)
-
-
-def bulk_insert_comments(batch: DataFrame, path: str) -> None:
-    """Insert all comments or none: any null or repeated key refuses the whole batch."""
-    stored = batch.sparkSession.read.schema(batch.schema).parquet(path)
+def bulk_insert_comments(store: Store, table: str, batch: DataFrame) -> None:
+    """Insert all comments or none: any null or repeated key refuses the whole batch, and a load
+    that dies publishes nothing."""
+    stored = store.read(table, COMMENTS)
     both = stored.select("comment_id").unionAll(batch.select("comment_id"))
     bad = duplicate_keys(both, "comment_id").limit(1).collect()
     if bad:
         raise ValueError(f"comment_id {bad[0]['comment_id']} is null or not unique")
-    batch.write.partitionBy("year").mode("append").parquet(path)
-
-
-def write_version(df: DataFrame, root: str, version: int, *partition_by: str) -> str:
-    """Write a new version beside the old ones; the path being read is never replaced."""
-    path = f"{root.rstrip('/')}/v{version:06d}"
-    df.write.partitionBy(*partition_by).mode("errorifexists").parquet(path)
-    return path
+    store.commit(Change(table, batch, partition_by=("year",)))
 
 
 def load_markers(comments: DataFrame) -> DataFrame:
     """Rows loaded per year, stamped with the load time."""
-    return comments.groupBy("year").agg(F.count("*").alias("rows_loaded")).withColumn(
-        "loaded_at", F.current_timestamp().cast("timestamp_ntz"))
+    return _stamped(comments.groupBy("year").agg(F.count("*").alias("rows_loaded")))
+
+
+def year_markers(ledger: DataFrame) -> DataFrame:
+    """Files and rows loaded per year from the ledger of a load: a year whose files hold no
+    comment has a marker, too."""
+    return _stamped(ledger.where("year IS NOT NULL").groupBy("year").agg(
+        F.sum("rows_loaded").alias("rows_loaded"), F.count("*").alias("files")))
+
+
+def _stamped(markers: DataFrame) -> DataFrame:
+    return markers.withColumn("loaded_at", F.current_timestamp().cast("timestamp_ntz"))
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palaver.schemas import POSTS, RAW_POST_DAY
 from palaver.sources.posts import FILE_PATTERN, flatten_posts, with_file_name
+from palaver.sources.snapshots import Store
 from palaver.sources.tables import append_new
 
 
 def ingest_posts(
-    spark: SparkSession, root: str, table: str, checkpoint: str, files_per_batch: int = 10_000
+    spark: SparkSession, root: str, store: Store, checkpoint: str, files_per_batch: int = 10_000,
+    table: str = "posts",
 ) -> None:
-    """Load every new day file below ``root`` into ``table`` and stop.
+    """Load every new day file below ``root`` into a table of the store and stop.
 
     A repeated micro-batch adds nothing, because known ids are left out before the append.
     """
 
     def load(batch: DataFrame, _: int) -> None:
-        append_new(flatten_posts(batch), table, POSTS, "id", ["file", "pos"])
+        append_new(store, table, flatten_posts(batch), POSTS, "id", ["file", "pos"])
 
     days = with_file_name(
         spark.readStream.schema(RAW_POST_DAY)

@@ -5,8 +5,10 @@ import random
 import pytest
 
 from palaver.operators import crawl, threads
+from palaver.plans import loads
 from palaver.schemas import POSTS
 from palaver.sources import authors, comments, posts, tables
+from palaver.sources.snapshots import Store
 from palaver.streaming.ingest import ingest_posts
 
 
@@ -57,8 +59,12 @@ def node(i, children=None, **more):
 
 
 def flat(spark, root, years=None):
-    files = comments.read_comment_files(spark, str(root), years)
-    return threads.flatten_comments(comments.usable_documents(files))
+    return loads.read_comments(spark, str(root), years)
+
+
+def errors_below(spark, root, **options):
+    opened = comments.open_documents(comments.read_documents(spark, str(root)), **options)
+    return sorted(tuple(r) for r in comments.comment_errors(opened).collect())
 
 
 def test_comment_tree_by_hand(spark, tmp_path):
@@ -81,17 +87,70 @@ def test_comment_tree_by_hand(spark, tmp_path):
     assert (two["post_id"], two["year"], two["author_id"], two["content"]) == (77, 2020, 20, "two")
     assert two["creation_datetime"] == dt.datetime(2020, 1, 2, 3, 4, 5)
     assert two["kudos_count"] is None and two["approved"] is None
-    errors = comments.comment_errors(comments.read_comment_files(spark, str(tmp_path))).collect()
-    assert sorted(tuple(r) for r in errors) == [
+    assert errors_below(spark, tmp_path) == [
         ("2021_01_01_d.json", "no summary id"), ("2021_01_01_e.json", "no summary id"),
-        ("2021_01_01_f.json", "unreadable")]
+        ("2021_01_01_f.json", "unreadable"), ("2021_01_01_g.json", "not in a year folder"),
+        ("2021_01_01_h.json", "not in a year folder")]
     assert flat(spark, tmp_path, years=[2021]).count() == 0
-    archive = comments.compact_comment_files(spark, str(tmp_path), str(tmp_path / "archive"))
-    assert threads.flatten_comments(comments.usable_documents(archive)).count() == len(rows)
+    archive = comments.compact_documents(spark, str(tmp_path), str(tmp_path / "archive.parquet"))
+    assert loads.crawl_of(archive).comments.count() == len(rows)
+
+
+def test_a_bad_field_costs_the_field_at_any_depth(spark, tmp_path):
+    def chain(length):
+        whole = None
+        for i in reversed(range(length)):
+            whole = node(i, [whole] if whole else [])
+        return whole
+
+    for length, name in ((3, "a"), (70, "b"), (900, "c")):
+        top = chain(length)
+        at = top
+        while at["child_comments"]:
+            parent, at = at, at["child_comments"][0]
+        at["id"], parent["author"], parent["kudos_count"] = "x", {"name": "n"}, 10**12
+        top["child_comments"].append("no object")
+        write(tmp_path, f"2020/2020_01_01_{name}.json", deep_json({"summary": {"id": length}, "comments": [top]}))
+    rows = flat(spark, tmp_path).collect()
+    for length in (3, 70, 900):
+        found = sorted((r for r in rows if r["post_id"] == length and (r["author_id"] is not None or r["kudos_count"] or r["depth"] != 1
+                                                                       or r["comment_id"] is not None)), key=lambda r: r["depth"])
+        assert len([r for r in rows if r["post_id"] == length]) == length + 1  # the word among the replies has no fields
+        assert [r["comment_id"] for r in found] == [*range(length - 1), None]
+        assert found[-2]["author_id"] is None and found[-2]["kudos_count"] is None
+        assert found[-1]["parent_comment_id"] == length - 2 and found[-1]["author_id"] == (length - 1) * 10
+
+
+def deep_json(document):
+    """JSON text of a document that is nested too deeply for the encoder."""
+    if not isinstance(document, dict):
+        return json.dumps(document)
+    top = dict(document)
+    parts, closing, (first,) = [], [], top.pop("comments")
+    while True:
+        children = first["child_comments"] or []
+        own = json.dumps({k: v for k, v in first.items() if k != "child_comments"})
+        rest = "".join("," + json.dumps(c) for c in children if not isinstance(c, dict))
+        parts.append(own[:-1] + ', "child_comments": [')
+        closing.append(rest.lstrip(",") + "]}" if not any(isinstance(c, dict) for c in children) else rest + "]}")
+        inner = [c for c in children if isinstance(c, dict)]
+        if not inner:
+            break
+        first = inner[0]
+    return json.dumps(top)[:-1] + ', "comments": [' + "".join(parts) + "".join(reversed(closing)) + "]}"
+
+
+def test_documents_deeper_than_the_parser_are_unreadable(spark, tmp_path):
+    write(tmp_path, "2020/2020_01_01_a.json", {"summary": {"id": 1}, "comments": [node(1, [node(2, [node(3)])])]})
+    assert errors_below(spark, tmp_path, max_levels=4) == [("2020_01_01_a.json", "unreadable")]
+    assert errors_below(spark, tmp_path) == []
+    assert flat(spark, tmp_path).count() == 3
 
 
 def test_flatten_undoes_nesting_at_any_depth(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(threads, "LEVELS", 8)
+    monkeypatch.setattr(threads, "STEPS", 1)
+    monkeypatch.setattr(comments, "STEPS", 1)
+    monkeypatch.setattr(threads, "STEP_LEVELS", 3)
     rng = random.Random(4)
     want, nodes, roots = [], {}, []
     for i in range(1, 300):
@@ -104,7 +163,7 @@ def test_flatten_undoes_nesting_at_any_depth(spark, tmp_path, monkeypatch):
     rows = flat(spark, tmp_path)
     assert sorted((r["comment_id"], r["parent_comment_id"]) for r in rows.collect()) == sorted(
         want, key=lambda p: p[0])
-    assert rows.agg({"depth": "max"}).first()[0] > 2 * threads.LEVELS
+    assert rows.agg({"depth": "max"}).first()[0] > 20
     depths = threads.thread_depth(rows).withColumnRenamed("depth", "counted")
     assert depths.join(rows, "comment_id").where("depth <> counted").count() == 0
 
@@ -159,26 +218,24 @@ def test_calendar(spark):
 
 
 def test_stream_resumes_and_ignores_known_posts(spark, tmp_path):
-    root, table, checkpoint = tmp_path / "in", str(tmp_path / "posts"), str(tmp_path / "cp")
-    tables.create_table(POSTS, spark, table)
+    root, store, checkpoint = tmp_path / "in", Store(spark, str(tmp_path / "store")), str(tmp_path / "cp")
     write(root, "api_date_2024-01-01.json", {"items": [post(1, title="a"), post(2, title="a")]})
-    ingest_posts(spark, str(root), table, checkpoint)
+    ingest_posts(spark, str(root), store, checkpoint)
     write(root, "api_date_2024-01-02.json", {"items": [post(2, title="b"), post(3, title="b")]})
-    ingest_posts(spark, str(root), table, checkpoint)
-    ingest_posts(spark, str(root), table, checkpoint)
-    rows = spark.read.schema(POSTS).parquet(table).collect()
+    ingest_posts(spark, str(root), store, checkpoint)
+    ingest_posts(spark, str(root), store, checkpoint)
+    rows = store.read("posts", POSTS).collect()
     assert sorted((r["id"], r["title"]) for r in rows) == [("p1", "a"), ("p2", "a"), ("p3", "b")]
 
 
 def test_first_file_wins_within_a_batch(spark, tmp_path):
-    root, table = tmp_path / "in", str(tmp_path / "posts")
-    tables.create_table(POSTS, spark, table)
+    root, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
     for day in ("02", "01"):
         write(root, f"api_date_2024-01-{day}.json", {"items": [post(1, title=day)]})
     batch = posts.flatten_posts(posts.read_post_days(spark, str(root)))
-    stored = tables.append_new(batch, table, POSTS, "id", ["file"])
+    stored = tables.append_new(store, "posts", batch, POSTS, "id", ["file"])
     assert [(r["id"], r["title"]) for r in stored.collect()] == [("p1", "01")]
-    assert tables.append_new(batch, table, POSTS, "id", ["file"]).count() == 1
+    assert tables.append_new(store, "posts", batch, POSTS, "id", ["file"]).count() == 1
 
 
 def test_a_cycle_beside_a_long_thread_is_found(spark):
