@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palaver.schemas import COMMENTS
 from palaver.session import stage
 
-#: Steps of the first round; documents that are deeper go on with twice as many.
-STEPS = 8
-#: Tree levels that a step reads at once.
-STEP_LEVELS = 8
+#: Steps of a round. Documents that are deeper than those of the first go on with twice as many.
+STEPS = 32
+#: Tree levels that a step reads at once, at first and in deep documents: more are fewer looks into
+#: the document, but a larger plan.
+STEP_LEVELS = 2
+DEEP_STEP_LEVELS = 8
 
 _FIELDS = {
     "comment_id": ("id", "bigint"),
@@ -55,15 +57,15 @@ def _rows(level: Column) -> Column:
         x["node"][key].alias(name) for name, (key, _) in _FIELDS.items()]))
 
 
-def _step(doc: Column, frontier: Column) -> Column:
-    """The comments of the next STEP_LEVELS levels, and the frontier below them."""
-    kind = F.lit(_node_type(STEP_LEVELS))
+def _step(doc: Column, frontier: Column, levels: int) -> Column:
+    """The comments of the next ``levels`` levels, and the frontier below them."""
+    kind = F.lit(_node_type(levels))
     top = F.transform(frontier, lambda x: F.struct(
         x["depth"], x["parent_comment_id"], F.call_function("try_variant_get", doc, x["at"], kind).alias("node"), x["at"]))
 
     def down(level: Column, found: list[Column], number: int) -> Column:
         rows = [*found, _rows(level)]
-        if number < STEP_LEVELS:
+        if number < levels:
             return _let(_replies(level), lambda lower: down(lower, rows, number + 1))
         below = F.transform(_replies(level), lambda x: F.struct(x["depth"], x["parent_comment_id"], x["at"]))
         return F.struct(below.cast(_FRONTIER).alias("frontier"), F.concat(*rows).cast(_FOUND).alias("found"))
@@ -81,10 +83,10 @@ def first_frontier(doc: Column) -> Column:
                            F.concat(F.lit("$.comments["), i.cast("string"), F.lit("]")).alias("at"))).cast(_FRONTIER)
 
 
-def walk(doc: Column, frontier: Column, steps: int) -> Column:
+def walk(doc: Column, frontier: Column, steps: int, levels: int = STEP_LEVELS) -> Column:
     """The comments ``found`` at a frontier and below it, and the ``frontier`` after so many steps.
 
-    One expression goes down a whole document, STEP_LEVELS levels at a time, in a plan that does
+    One expression goes down a whole document, ``levels`` levels a step, in a plan that does
     not grow with the depth. What lies below is named by its path and read in place, so no part of
     a document is copied and no depth costs stack. At any depth a field of the wrong type is null,
     and a node that is no object has no fields.
@@ -93,7 +95,7 @@ def walk(doc: Column, frontier: Column, steps: int) -> Column:
         F.sequence(F.lit(1), F.lit(steps)),
         F.struct(frontier.alias("frontier"), F.array().cast(_FOUND).alias("found")),
         lambda state, _: F.when(F.size(state["frontier"]) == 0, state).otherwise(_let(
-            _step(doc, state["frontier"]), lambda done: F.struct(
+            _step(doc, state["frontier"], levels), lambda done: F.struct(
                 done["frontier"].alias("frontier"), F.concat(state["found"], done["found"]).alias("found")))))
 
 
@@ -101,17 +103,20 @@ def flatten_documents(opened: DataFrame, parse: Callable[[str], Column]) -> Data
     """Rows of the comment table, and the ``path`` each comes from, of opened documents: ``path``,
     ``post_id``, ``year``, the comments ``found`` so far and, where a ``frontier`` is left, the ``text``.
 
-    One ``explode`` makes the rows, no shuffle. Documents with a frontier are parsed again and go on
-    with twice the steps, so a tree of depth d takes log2(d / 64) rounds more.
+    One ``explode`` makes the rows, no shuffle. Documents with a frontier are dealt anew, for they
+    take long, are parsed again and go on with twice the steps, so a tree of depth d takes
+    log2(d / 256) rounds more.
     """
     pieces, steps, rest = [opened], STEPS, opened
+    tasks = int(opened.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while not (rest := rest.where(F.size("frontier") > 0)).isEmpty():
-        steps *= 2
-        walked = rest.withColumn("doc", parse("text")).withColumn("walked", walk(F.col("doc"), F.col("frontier"), steps))
+        dealt = rest.repartition(tasks, F.xxhash64("path")).withColumn("doc", parse("text"))
+        walked = dealt.withColumn("walked", walk(F.col("doc"), F.col("frontier"), steps, DEEP_STEP_LEVELS))
         rest = stage(walked.select(
             "path", "post_id", "year", "walked.found", "walked.frontier",
             F.when(F.size("walked.frontier") > 0, F.col("text")).alias("text")), "walked")
         pieces.append(rest)
+        steps *= 2
     time = F.col("creation_datetime").try_cast("timestamp_ntz")
     rows = [p.where("post_id IS NOT NULL AND year IS NOT NULL").select("path", "post_id", "year", F.explode("found").alias("found")) for p in pieces]
     return reduce(DataFrame.unionByName, rows).select("path", "post_id", "year", "found.*").withColumn(

@@ -150,7 +150,7 @@ def test_documents_deeper_than_the_parser_are_unreadable(spark, tmp_path):
 def test_flatten_undoes_nesting_at_any_depth(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(threads, "STEPS", 1)
     monkeypatch.setattr(comments, "STEPS", 1)
-    monkeypatch.setattr(threads, "STEP_LEVELS", 3)
+    monkeypatch.setattr(threads, "DEEP_STEP_LEVELS", 3)
     rng = random.Random(4)
     want, nodes, roots = [], {}, []
     for i in range(1, 300):
