@@ -128,3 +128,81 @@ def token_counts(rows):
     tokens = tokenizer("byte_bpe_50k.json")
     tokens.encode_special_tokens = True
     return [(doc_id, len(tokens.encode(text or "", add_special_tokens=False).ids)) for doc_id, text in rows]
+
+
+def _digest(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def _leaf(row, more=0):
+    values = [row[name] for name in ("doc_id", "source", "lang", "n_chars", "text")]
+    if values[3] is not None:
+        values[3] += more
+    return _digest("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def _levels(nodes):
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([_digest(*below[i:i + 2]) for i in range(0, len(below), 2)])
+    return levels
+
+
+def _siblings(levels, i):
+    path = []
+    for level in levels[:-1]:
+        path.append((i & 1, level[i ^ 1] if i ^ 1 < len(level) else ""))
+        i //= 2
+    return path
+
+
+def manifest(rows):
+    """Rows of the Merkle manifest, from dictionaries with the columns of documents."""
+    langs = {}
+    for row in rows:
+        langs.setdefault(row["lang"], []).append(row)
+    order = sorted(langs, key=lambda g: (g is not None, (g or "").encode()))
+    trees = []
+    for lang in order:
+        own = sorted(langs[lang], key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, _leaf(r)))
+        trees.append((own, _levels([_leaf(r) for r in own])))
+    top = _levels([levels[-1][0] for _, levels in trees]) if trees else []
+    found = []
+    for number, (own, levels) in enumerate(trees):
+        for i, row in enumerate(own):
+            path = _siblings(levels, i) + _siblings(top, number)
+            changed = row["doc_id"] is not None and zlib.crc32(str(row["doc_id"]).encode()) % 7 == 0
+            folded = _leaf(row, 1 if changed else 0)
+            for on_left, other in path:
+                folded = _digest(other, folded) if on_left else _digest(folded, other)
+            found.append((row["doc_id"], _leaf(row), levels[-1][0], top[-1][0], _digest(*[s for _, s in path]), folded, folded == top[-1][0]))
+    return found
+
+
+def phrases(rows, least=10, top=2000):
+    """Collocations of (lang, text) rows: lang, rank, phrase, a, l, r, n, score."""
+    counts, totals = {}, Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split("[.,;:!?\\x0A-\\x0D]", lowered):
+            words = [w for w in re.split("[\\x20\\x09]+", piece) if w]
+            totals[lang] += len(words)
+            own = counts.setdefault(lang, Counter())
+            for size in (1, 2, 3):
+                own.update(tuple(words[i:i + size]) for i in range(len(words) - size + 1))
+    found = []
+    for lang, own in counts.items():
+        candidates = {p: a for p, a in own.items() if len(p) > 1 and a >= least}
+        kept = []
+        for phrase, a in candidates.items():
+            longer = [b for q, b in candidates.items() if len(q) > len(phrase) and phrase in (q[:2], q[1:])]
+            if any(100 * b >= 50 * a for b in longer):
+                continue
+            cuts = [(1000000 * a * a // (own[phrase[:k]] * own[phrase[k:]]), k) for k in range(1, len(phrase))]
+            score, k = min(cuts)
+            kept.append((-score, -a, " ".join(phrase).encode(), own[phrase[:k]], own[phrase[k:]]))
+        for rank, (score, a, name, left, right) in enumerate(sorted(kept)[:top], 1):
+            found.append((lang, rank, name.decode(), -a, left, right, totals[lang], -score))
+    return sorted(found)
