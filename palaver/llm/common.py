@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from palaver.session import stage, work_dir
 
-__all__ = ["documents", "input_splits", "map_batches", "stage", "text_classes", "with_row_id", "work_dir", "words_of"]
+__all__ = ["documents", "input_splits", "map_batches", "release_memory", "stage", "text_classes", "with_row_id", "work_dir", "words_of"]
 
 #: What separates words: space and the six ASCII controls from tab to carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -31,6 +32,14 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
     return stage(df.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
+def release_memory() -> None:
+    """Gives back what a worker's allocators keep for later: workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` of a function of one batch."""
 
@@ -38,6 +47,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.
         for batch in batches:
             if batch.num_rows:
                 yield from function(batch)
+        release_memory()
 
     return df.mapInArrow(run, schema)
 

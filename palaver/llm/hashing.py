@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are hashed together; a longer text is hashed by itself.
 CHUNK = 1 << 18
+#: Bytes of a word from which on it is hashed by itself.
+LONG_WORD = 32
 
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
@@ -64,6 +67,12 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = last
 
 
+def digests(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of bytes that no arrangement of equal letters can cancel out."""
+    raw = data.tobytes()
+    return np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(begins.tolist(), ends.tolist())], np.uint64)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, start, end) of every word; words end with their row."""
     n = len(data)
@@ -75,6 +84,10 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarra
     sums = prefix_sums(_SYMBOLS[_LOWER[data] if lower else data])
     _, down = powers(n)
     hashes = mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
+    # The polynomial is one modulo a power of 2: two letters can be arranged so that long words agree.
+    long = np.flatnonzero(ends - begins > LONG_WORD)
+    if len(long):
+        hashes[long] = digests(_LOWER[data] if lower else data, begins[long], ends[long])
     row = np.searchsorted(offsets, begins, side="right") - 1
     return hashes, row, begins, ends
 

@@ -38,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palaver.llm import hashing
-from palaver.llm.common import documents, input_splits, map_batches, stage
+from palaver.llm.common import documents, input_splits, map_batches, release_memory, stage
 from palaver.llm.graph import bitmap
 
 LENGTH = 200
 GRAM = 32
 #: Distinct tuples of a gram that one task may gather; tuples that are induced together.
-HOT, TOGETHER = 50_000, 20_000
+HOT, TOGETHER = 50_000, 8_000
 _PLACE = 30  # bits of a place in its run of texts
 
 
@@ -92,11 +92,9 @@ def tuple_keys(sums: np.ndarray, begin: np.ndarray, end: np.ndarray, place: np.n
     return hashing.mix(hashing.mix((sums[end] - sums[begin]) * down[begin]) + (place - begin).astype(np.uint64) * np.uint64(1 << 20) + (end - begin).astype(np.uint64))
 
 
-def row_keys(sums: np.ndarray, offsets: np.ndarray, ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+def row_keys(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, known: np.ndarray) -> np.ndarray:
     """A key of each row: its id and its text."""
-    _, down = hashing.powers(len(sums) - 1)
-    a, b = offsets[:-1], offsets[1:]
-    text = hashing.mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+    text = hashing.mix(hashing.digests(data, offsets[:-1], offsets[1:]))
     return hashing.mix(text + hashing.mix(np.where(known, ids, -7).astype(np.int64).view(np.uint64) + known.astype(np.uint64)))
 
 
@@ -220,6 +218,7 @@ def twin_flags(tuples: DataFrame, length: int) -> DataFrame:
                     held = held[cut:]
         if held:
             yield done(held)
+        release_memory()
 
     shards = input_splits(tuples)
     ordered = tuples.select("gram", "tuple", "reach", "left", "right").repartition(shards, "gram").sortWithinPartitions("gram", "right")
@@ -268,7 +267,7 @@ def places_of(docs: DataFrame, shared, length: int) -> DataFrame:
             hit = np.flatnonzero(hashing.set_bit(shared.value, grams))
             place, first, last, text = place[hit], first[hit], last[hit], text[hit]
             keys = tuple_keys(sums, first, last + length, place)
-            row = row_keys(sums, offsets, ids[row0:row0 + len(offsets) - 1], known[row0:row0 + len(offsets) - 1])
+            row = row_keys(data, offsets, ids[row0:row0 + len(offsets) - 1], known[row0:row0 + len(offsets) - 1])
             new = np.ones(len(keys), bool)
             new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1]) | (first[1:] != first[:-1] + 1) | (last[1:] != first[1:])
             at = np.flatnonzero(new)
@@ -322,9 +321,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT, carry: tuple[st
             ids, known = _ids(batch)
             keys = np.zeros(batch.num_rows, np.uint64)
             for row0, data, offsets in hashing.chunks(batch.column("text")):
-                sums = hashing.prefix_sums(hashing._SYMBOLS[data])
-                keys[row0:row0 + len(offsets) - 1] = row_keys(sums, offsets, ids[row0:row0 + len(offsets) - 1], known[row0:row0 + len(offsets) - 1])
+                keys[row0:row0 + len(offsets) - 1] = row_keys(data, offsets, ids[row0:row0 + len(offsets) - 1], known[row0:row0 + len(offsets) - 1])
             yield batch.append_column("row_key", pa.array(keys.view(np.int64))).append_column("touched", pa.array(hashing.set_bit(touched.value, keys)))
+        release_memory()
 
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 

@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from palaver.llm import (  # noqa: E402
-    bpe_automaton, cross_polytope, html_extract, license_scan, ngram_join, packing, quality_rules, recompression, suffix_dedup, token_counts)
+    bpe_automaton, cross_polytope, hashing, html_extract, license_scan, ngram_join, packing, quality_rules, recompression, suffix_dedup, token_counts)
 
 COLUMNS = "doc_id long, text string, words string, node long, token long, spans string, row_key long, n long, file int, kept string"
 rng = random.Random(3)
@@ -358,3 +358,24 @@ def test_repeats_that_split_characters(spark):
 def windows(text, length=200):
     raw = (text or "").encode()
     return [raw[i:i + length] for i in range(len(raw) - length + 1)]
+
+
+def thue_morse(n, flip=False):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_words_that_a_polynomial_cannot_tell_apart(spark):
+    """Two words of 2,048 letters that agree modulo a power of 2: nothing repeats, nothing links."""
+    filler = [f"w{i}" for i in range(60)]
+    texts = [" ".join(filler[:30] + [thue_morse(2048, flip)] + filler[30:]) for flip in (False, True)]
+    df = spark.createDataFrame([(1, texts[0]), (2, texts[1]), (3, thue_morse(2048)), (4, thue_morse(2048, True))], "doc_id bigint, text string")
+    for lower in (False, True):
+        data = "".join(texts[:2]).encode()
+        hashes, *_ = hashing.words(np.frombuffer(data, np.uint8), np.array([0, len(texts[0]), len(data)]), lower)
+        assert len(set(hashes.tolist())) == 62
+    assert {r["doc_id"]: r["n_removed"] for r in recompression.dedup(df).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    linked = {r["doc_id"]: r["component_id"] for r in ngram_join.link_classes(df).collect()}
+    assert linked[3] == 3 and linked[4] == 4
+    raw = (thue_morse(2048) + thue_morse(2048, True)).encode()
+    keys = suffix_dedup.row_keys(np.frombuffer(raw, np.uint8), np.array([0, 2048, 4096]), np.array([1, 1]), np.array([True, True]))
+    assert keys[0] != keys[1]
