@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palaver.operators.keys import canonical_authors
 from palaver.session import stage, work_dir
+from palaver.sources.tables import COMMENT_OPTIONS, laid_out
 
 # One comment per event; the text is a whole document, with copies, links, blanks and nulls
 # mixed in, and some accounts with one or two comments only.
@@ -111,8 +112,7 @@ def once(spark: SparkSession, sf_dir: str, name: str, make):
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The comment table, stored as Parquet with a directory per year."""
     return once(spark, sf_dir, "comments", lambda: stage(
-        _sql(spark, sf_dir, COMMENTS_SQL).hint("rebalance", "year"),
-        "comments", ("year",)))
+        laid_out(_sql(spark, sf_dir, COMMENTS_SQL)), "comments", ("year",), **COMMENT_OPTIONS))
 
 
 def authors_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palaver.operators.scaling import z_scores
@@ -40,26 +42,45 @@ def _draw(seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col("comment_id").cast("string")))
 
 
+#: Ids in one filter: as many as the Parquet reader compares with its statistics one by one.
+_IDS_OF_A_FILTER = 10
+#: Samples up to this size are fetched by their ids, larger ones by a join.
+_FETCHED_BY_ID = 1_000
+
+
+def drawn_suspects(comments: DataFrame, scored: DataFrame, top: DataFrame, size: int = 100, seed: int = 42) -> DataFrame:
+    """Ids (and years) of a repeatable sample of comments by authors of the top segment, drawn from
+    narrow columns."""
+    members = scored.where(F.col("segment") == top.select("segment").scalar()).select("author_id")
+    known = [c for c in ("comment_id", "year") if c in comments.columns]
+    return comments.select("author_id", *known).join(members, "author_id", "left_semi").orderBy(
+        _draw(seed), "comment_id").limit(size).select(*known)
+
+
 def suspect_comments(
     comments: DataFrame, scored: DataFrame, top: DataFrame, size: int = 100, seed: int = 42
 ) -> DataFrame:
-    """A repeatable sample of comments by authors of the top segment.
+    """A repeatable sample of comments by authors of the top segment. Text is fetched only for the
+    ``size`` comments drawn."""
+    drawn = drawn_suspects(comments, scored, top, size, seed)
+    wide = comments.select("author_id", "content", *drawn.columns)
+    found = fetch_by_id(wide, drawn) if size <= _FETCHED_BY_ID else wide.join(drawn.select("comment_id"), "comment_id")
+    return found.orderBy(_draw(seed), "comment_id").limit(size).select(
+        F.col("author_id").alias("user_id"), F.col("content").alias("comment"))
+
 
-    Ids are drawn from two narrow columns first; the text is fetched only for the
-    ``size`` comments drawn, whose ids are few enough to broadcast.
+def fetch_by_id(comments: DataFrame, drawn: DataFrame) -> DataFrame:
+    """The comments with the ids of ``drawn``, a handful of rows (and their ``year``, if known).
+
+    Years prune directories. Ids go into filters that the reader compares with the statistics and
+    bloom filters of row groups, which tell them apart where comments are laid out by id.
     """
-    members = scored.where(F.col("segment") == top.select("segment").scalar()).select("author_id")
-    drawn = (
-        comments.select("author_id", "comment_id")
-        .join(members, "author_id", "left_semi")
-        .orderBy(_draw(seed), "comment_id")
-        .limit(size)
-        .select("comment_id")
-    )
-    return (
-        comments.select("author_id", "comment_id", "content")
-        .join(F.broadcast(drawn), "comment_id")
-        .orderBy(_draw(seed), "comment_id")
-        .limit(size)
-        .select(F.col("author_id").alias("user_id"), F.col("content").alias("comment"))
-    )
+    ids_of: dict = {}
+    for row in drawn.collect():
+        ids_of.setdefault(row["year"] if "year" in drawn.columns else "any", []).append(row["comment_id"])
+    parts = []
+    for year, ids in sorted(ids_of.items(), key=str):
+        ids.sort()
+        of_year = comments if year == "any" else comments.where(F.col("year").eqNullSafe(F.lit(year)))
+        parts += [of_year.where(F.col("comment_id").isin(ids[i:i + _IDS_OF_A_FILTER])) for i in range(0, len(ids), _IDS_OF_A_FILTER)]
+    return reduce(DataFrame.unionByName, parts) if parts else comments.limit(0)

@@ -1,41 +1,76 @@
-"""Comment order within an author, without ever sorting a whole author in one task.
+"""Comment order within an author, without ever holding an author's comments in one task.
 
-A window over an author puts all of that author's comments into one task. Here comments
-first collapse to distinct moments (author, microsecond), moments are ordered inside
-(author, minute) groups, and only one row per minute is ordered per author. A minute holds
-60 distinct seconds or 60 million microseconds at most, and an author has at most 527,040
-minutes per calendar year, however many comments there are.
+Comments first collapse to distinct moments (author, microsecond), so that copies of a moment are
+one row. Moments are range partitioned by author and time and sorted: an author with a third of
+all comments lies in many partitions that follow each other. Every moment finds the one before it
+inside its partition, and the first of a partition in the last row of the partition before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
 
-from palaver.functions.text import fingerprint
-from palaver.functions.time import MICROS_PER_HOUR, MICROS_PER_MINUTE, micros
-
-
-def _before_in_slice() -> Column:
-    return F.lag("at").over(Window.partitionBy("author_id", "slice").orderBy("at"))
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
 
-
-def _before_slice() -> Column:
-    return F.lag("last").over(Window.partitionBy("author_id").orderBy("slice"))
+from palaver.functions.text import fingerprint
+from palaver.functions.time import MICROS_PER_HOUR, micros
+from palaver.session import stage
 
 
 def _hours(micro_gap: Column) -> Column:
     return micro_gap.cast("double") / F.lit(float(MICROS_PER_HOUR))
 
 
-def _moments(comments: DataFrame, *extra: Column) -> DataFrame:
-    """Distinct moments: ``author_id``, ``at`` (microseconds), ``slice`` (minute), ``copies``."""
+def _moments(comments: DataFrame) -> DataFrame:
+    """Distinct moments: ``author_id``, ``at`` (microseconds), ``copies``, smallest ``lead_id``."""
     dated = comments.where("author_id is not null and creation_datetime is not null")
-    return (
-        dated.withColumn("at", micros(F.col("creation_datetime")))
-        .groupBy("author_id", "at")
-        .agg(F.count("*").alias("copies"), *extra)
-        .withColumn("slice", F.floor(F.col("at") / F.lit(MICROS_PER_MINUTE)))
-    )
+    return dated.groupBy("author_id", micros(F.col("creation_datetime")).alias("at")).agg(
+        F.count("*").alias("copies"), F.min("comment_id").alias("lead_id"))
+
+
+def _look_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``previous``, the author's moment before, and the partition's number ``part``."""
+    part, last = TaskContext.get().partitionId(), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        authors, at = batch.column("author_id").to_numpy(), batch.column("at").to_numpy()
+        before_author, before_at = np.roll(authors, 1), np.roll(at, 1)
+        known = authors == before_author
+        known[0] = last is not None and last[0] == authors[0]
+        if last is not None:
+            before_at[0] = last[1]
+        last = authors[-1], at[-1]
+        yield batch.append_column("previous", pa.array(before_at, mask=~known)).append_column(
+            "part", pa.array(np.full(len(at), part, np.int32)))
+
+
+def _stitches(ordered: DataFrame) -> DataFrame | None:
+    """(author_id, at, stitched) of the moments whose predecessor ends the partition before. The
+    driver gets one row per partition."""
+    edges = ordered.groupBy("part").agg(
+        F.min(F.struct("author_id", "at")).alias("first"), F.max(F.struct("author_id", "at")).alias("last")).orderBy("part").collect()
+    seams = [(b["first"]["author_id"], b["first"]["at"], a["last"]["at"]) for a, b in zip(edges, edges[1:])
+             if a["last"]["author_id"] == b["first"]["author_id"]]
+    return ordered.sparkSession.createDataFrame(seams, "author_id long, at long, stitched long") if seams else None
+
+
+def moments_in_order(comments: DataFrame) -> DataFrame:
+    """Distinct moments of each author with the ``previous`` one, null for the first."""
+    kind = "author_id long, at long, copies long, lead_id long"
+    moments = _moments(comments).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in kind.split(", ")])
+    keys = ["author_id", "at"]
+    ordered = stage(
+        moments.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(
+            _look_back, f"{kind}, previous long, part int"), "moments")
+    seams = _stitches(ordered)
+    if seams is None:
+        return ordered.drop("part")
+    return ordered.join(F.broadcast(seams), keys, "left").withColumn(
+        "previous", F.coalesce("previous", "stitched")).drop("stitched", "part")
 
 
 def comment_gaps(comments: DataFrame) -> DataFrame:
@@ -44,21 +79,8 @@ def comment_gaps(comments: DataFrame) -> DataFrame:
     The first comment of a moment carries the gap to the previous moment; its companions
     at the same moment have gap 0. They meet again on ``comment_id``, which is unique.
     """
-    in_slice = Window.partitionBy("author_id", "slice")
-    # The first moments of all minutes of an author form one group; each looks back to the
-    # last moment of the minute before.
-    heads = Window.partitionBy("author_id", F.when(F.col("before").isNotNull(), F.col("slice")))
-    leads = (
-        _moments(comments, F.min("comment_id").alias("lead_id"))
-        .withColumn("before", _before_in_slice())
-        .withColumn("last", F.max("at").over(in_slice))
-        .withColumn("before_slice", F.lag("last").over(heads.orderBy("slice")))
-        .select(
-            "lead_id",
-            F.lit(True).alias("leads"),
-            _hours(F.col("at") - F.coalesce("before", "before_slice")).alias("lead_gap"),
-        )
-    )
+    leads = moments_in_order(comments).select(
+        "lead_id", F.lit(True).alias("leads"), _hours(F.col("at") - F.col("previous")).alias("lead_gap"))
     gap = (
         F.when(F.col("creation_datetime").isNull(), F.lit(None))
         .when(F.col("leads"), F.col("lead_gap"))
@@ -73,44 +95,18 @@ def comment_gaps(comments: DataFrame) -> DataFrame:
 def burstiness(comments: DataFrame) -> DataFrame:
     """Sample standard deviation of the gaps in hours, per author with any timestamp.
 
-    0 for a single comment, null for two. Gaps inside a minute, gaps between minutes and the
-    zero gaps of simultaneous comments are three groups around one mean, which is
-    (last - first) / gaps; their squared deviations add up.
+    0 for a single comment, null for two. Gaps between moments and the zero gaps of simultaneous
+    comments are two groups, whose squared deviations from the common mean add up; both come from
+    one aggregate that combines before the shuffle.
     """
-    gap = _hours(F.col("at") - _before_in_slice())
-    slices = (
-        _moments(comments)
-        .withColumn("gap", gap)
-        .groupBy("author_id", "slice")
-        .agg(
-            F.count("gap").alias("gaps"),
-            F.coalesce(F.avg("gap"), F.lit(0.0)).alias("mean_gap"),
-            F.coalesce(F.var_pop("gap") * F.count("gap"), F.lit(0.0)).alias("spread"),
-            F.sum(F.col("copies") - 1).alias("zeros"),
-            F.min("at").alias("first"),
-            F.max("at").alias("last"),
-        )
-    )
-    author = Window.partitionBy("author_id")
-    span = _hours(F.max("last").over(author) - F.min("first").over(author))
-    count = F.sum(F.col("gaps") + F.col("zeros") + F.lit(1)).over(author) - 1
-    placed = (
-        slices.withColumn("edge", _hours(F.col("first") - _before_slice()))
-        .withColumn("total", count)
-        .withColumn("mean", F.try_divide(span, F.col("total")))
-    )
-    squares = (
-        F.col("spread")
-        + F.col("gaps") * F.pow(F.col("mean_gap") - F.col("mean"), 2)
-        + F.coalesce(F.pow(F.col("edge") - F.col("mean"), 2), F.lit(0.0))
-        + F.col("zeros") * F.pow("mean", 2)
-    )
-    per_author = placed.groupBy("author_id").agg(
-        F.max("total").alias("total"), F.sum(squares).alias("squares"))
-    value = (
-        F.when(F.col("total") == 0, 0.0)
-        .when(F.col("total") > 1, F.sqrt(F.col("squares") / (F.col("total") - 1)))
-    )
+    gap = _hours(F.col("at") - F.col("previous"))
+    per_author = moments_in_order(comments).groupBy("author_id").agg(
+        F.count(gap).alias("gaps"), F.coalesce(F.avg(gap), F.lit(0.0)).alias("mean_gap"),
+        F.coalesce(F.var_pop(gap), F.lit(0.0)).alias("variance"), F.sum(F.col("copies") - 1).alias("zeros"))
+    total = F.col("gaps") + F.col("zeros")
+    mean = F.try_divide(F.col("gaps") * F.col("mean_gap"), total)
+    squares = F.col("gaps") * (F.col("variance") + F.pow(F.col("mean_gap") - mean, 2)) + F.col("zeros") * F.pow(mean, 2)
+    value = F.when(total == 0, 0.0).when(total > 1, F.sqrt(squares / (total - 1)))
     return per_author.select("author_id", value.alias("burstiness_hours"))
 
 

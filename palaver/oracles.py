@@ -269,6 +269,9 @@ ORACLES: dict[str, str] = {
     "sample_authors": _with(
         "SELECT id FROM (SELECT DISTINCT author_id AS id FROM authors_raw) ids "
         "ORDER BY md5(concat('42:', id)), id LIMIT 200", "authors_raw"),
+    "sample_half": _with(
+        "SELECT id FROM (SELECT DISTINCT author_id AS id FROM authors_raw) ids "
+        "ORDER BY md5(concat('42:', id)), id LIMIT (SELECT count(DISTINCT author_id) // 2 FROM authors_raw)", "authors_raw"),
     "corpus_counts": _with(
         "SELECT count(DISTINCT author_id) AS authors, count(*) AS comments FROM comments", "comments"),
     "comment_gaps": _with(

@@ -6,6 +6,8 @@ the comment counts, but not for days, gaps and hours.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palaver.functions.text import fingerprint, has_link, words
@@ -183,10 +185,35 @@ def corpus_counts(comments: DataFrame) -> DataFrame:
         F.count_distinct("author_id").alias("authors"), F.count("*").alias("comments"))
 
 
+#: Hexadecimal digits by which a sample's border is narrowed down, and rows that may be sorted.
+_DIGITS, _BORDER_ROWS = 4, 100_000
+
+
 def sample_authors(authors: DataFrame, size: int, seed: int = 42) -> DataFrame:
-    """``size`` authors in an order that depends on the seed and the id alone."""
+    """``size`` authors in an order that depends on the seed and the id alone.
+
+    The order is that of a hash. Counts of its first digits say where the border lies: what comes
+    before is a filter, and only the rows that share the border's digits, BORDER_ROWS at most
+    unless one id repeats, are sorted. However large the sample, no task holds it.
+    """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
-    return authors.select("id").orderBy(order, "id").limit(size)
+    ids = authors.select("id").withColumn("_order", order)
+    border, left = "", size
+    while True:
+        digits = len(border) + _DIGITS
+        near = ids.where(F.startswith("_order", F.lit(border))) if border else ids
+        counts = sorted(near.groupBy(F.substring("_order", 1, digits).alias("head")).count().collect())
+        upto = list(accumulate(n for _, n in counts))
+        here = next((pair for pair, so_far in zip(counts, upto) if so_far >= left), None)
+        if here is None:
+            return ids.select("id")  # the sample has room for all
+        left -= sum(n for head, n in counts if head < here[0])
+        border = here[0]
+        if here[1] <= _BORDER_ROWS or len(border) >= 32:
+            break
+    within = ids.where(F.substring("_order", 1, len(border)) < border)
+    rest = ids.where(F.startswith("_order", F.lit(border))).orderBy("_order", "id").limit(left)
+    return within.unionByName(rest).select("id")
 
 
 def select_comments(

@@ -104,6 +104,13 @@ def sample_authors(spark, sf_dir):
     return ft.sample_authors(fx.authors(spark, sf_dir), 200)
 
 
+@query
+def sample_half(spark, sf_dir):
+    """A sample as large as half of all authors."""
+    authors = fx.authors(spark, sf_dir)
+    return ft.sample_authors(authors, authors.count() // 2)
+
+
 @query
 def corpus_counts(spark, sf_dir):
     return ft.corpus_counts(fx.comments(spark, sf_dir))

@@ -41,14 +41,14 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/palaver/{spark.sparkContext.applicationId}"
 
 
-def stage(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = ()) -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = (), **options: str) -> DataFrame:
     """Write ``df`` to the work folder and read it back.
 
     Cuts the lineage, survives lost executors, and keeps column pruning and filter
     pushdown for whatever reads the result.
     """
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.options(**options).partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

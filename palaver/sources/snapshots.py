@@ -10,8 +10,8 @@ instead of undoing the first. Folders that no manifest names are garbage and may
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -29,6 +29,7 @@ class Change:
     rows: DataFrame
     replace: bool = False
     partition_by: tuple[str, ...] = ()
+    options: Mapping[str, str] = field(default_factory=dict)
 
 
 class Store:
@@ -72,7 +73,7 @@ class Store:
         state = self.folders(start)
         for change in changes:
             folder = f"data/{change.table}/in_commit={start + 1:08d}-{uuid.uuid4().hex}"
-            change.rows.write.partitionBy(*change.partition_by).parquet(f"{self.root}/{folder}")
+            change.rows.write.options(**change.options).partitionBy(*change.partition_by).parquet(f"{self.root}/{folder}")
             state[change.table] = [folder] if change.replace else [*state.get(change.table, []), folder]
         self._publish(start + 1, state)
         return start + 1

@@ -22,6 +22,16 @@ def append_new(
     return store.read(table, schema)
 
 
+#: Writer options of the comment table: a filter per row group says whether an id can be in it.
+COMMENT_OPTIONS = {"parquet.bloom.filter.enabled#comment_id": "true", "parquet.bloom.filter.expected.ndv#comment_id": "100000"}
+
+
+def laid_out(comments: DataFrame) -> DataFrame:
+    """Comments in the order of year and id, in ranges, so that a file has one year and few ids lie
+    in many row groups."""
+    return comments.repartitionByRange("year", "comment_id").sortWithinPartitions("year", "comment_id")
+
+
 def bulk_insert_comments(store: Store, table: str, batch: DataFrame) -> None:
     """Insert all comments or none: any null or repeated key refuses the whole batch, and a load
     that dies publishes nothing."""
@@ -30,7 +40,7 @@ def bulk_insert_comments(store: Store, table: str, batch: DataFrame) -> None:
     bad = duplicate_keys(both, "comment_id").limit(1).collect()
     if bad:
         raise ValueError(f"comment_id {bad[0]['comment_id']} is null or not unique")
-    store.commit(Change(table, batch, partition_by=("year",)))
+    store.commit(Change(table, laid_out(batch), partition_by=("year",), options=COMMENT_OPTIONS))
 
 
 def load_markers(comments: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import random
 
 import pytest
@@ -130,10 +131,10 @@ def test_time_differences_ignore_the_session_zone(spark, lexicon):
 def test_sample_and_selection(spark):
     comments = frame(spark, [(a, at(a), "x") for a in range(20)])
     ids = comments.select(F.col("author_id").alias("id"))
-    first = [r["id"] for r in ft.sample_authors(ids, 5).collect()]
-    again = [r["id"] for r in ft.sample_authors(ids.repartition(3), 5).collect()]
-    other = [r["id"] for r in ft.sample_authors(ids, 5, seed=7).collect()]
-    assert first == again != other and len(first) == 5
+    drawn = lambda df, n, **more: sorted(r["id"] for r in ft.sample_authors(df, n, **more).collect())
+    first = drawn(ids, 5)
+    assert first == drawn(ids.repartition(3), 5) != drawn(ids, 5, seed=7) and len(first) == 5
+    assert drawn(ids, 30) == list(range(20)) and drawn(ids, 0) == [] and drawn(ids.where("id > 99"), 4) == []
     chosen = ft.select_comments(comments, ft.sample_authors(ids, 5), 2024)
     assert sorted(r["author_id"] for r in chosen.collect()) == sorted(first)
     assert ft.select_comments(comments, year=1999).count() == 0
@@ -165,3 +166,14 @@ def test_a_hot_author_is_split_and_stays_whole(spark):
             spark.conf.set(k, v)
     assert got == pytest.approx(want)
     assert "AQEShuffleRead" in plan and "skewed" in plan
+
+
+def test_a_sample_sorts_its_border_only(spark, monkeypatch):
+    monkeypatch.setattr(ft, "_BORDER_ROWS", 3)
+    monkeypatch.setattr(ft, "_DIGITS", 1)
+    ids = spark.range(5000).withColumnRenamed("id", "id")
+    want = sorted((hashlib.md5(f"42:{i}".encode()).hexdigest(), i) for i in range(5000))
+    for size in (1, 17, 2500, 4999, 5000):
+        assert sorted(r["id"] for r in ft.sample_authors(ids, size).collect()) == sorted(i for _, i in want[:size])
+    copies = ids.where("id < 2").crossJoin(spark.range(6).select(F.col("id").alias("copy"))).select("id")
+    assert ft.sample_authors(copies, 8).count() == 8

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from palaver.functions.formatting import round_numbers
-from palaver.operators.scoring import suspect_comments
+from palaver.sources.tables import COMMENT_OPTIONS, laid_out
+from palaver.operators.scoring import drawn_suspects, fetch_by_id, suspect_comments
 from palaver.plans import reports
 from palaver.plans.pipeline import analyse, write_outputs
 from palaver.schemas import FEATURES
@@ -130,11 +131,29 @@ def test_a_hot_author_is_split_in_the_suspect_join(spark):
     for k, v in keys.items():
         spark.conf.set(k, v)
     try:
-        df = suspect_comments(comments, labels, top)
-        got = [tuple(r) for r in df.collect()]
+        df = drawn_suspects(comments, labels, top)
+        df.collect()
+        got = [tuple(r) for r in suspect_comments(comments, labels, top).collect()]
         plan = df._jdf.queryExecution().executedPlan().toString()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert got == want and len(got) == 100
     assert "SortMergeJoin(skew=true)" in plan
+
+
+def test_a_fetch_reads_the_years_and_ids_it_asks_for(spark, tmp_path):
+    comments = spark.range(4000).selectExpr("id AS comment_id", "id % 7 AS author_id", "concat('t', id) AS content", "CAST(2020 + id % 4 AS INT) AS year")
+    path = str(tmp_path / "comments")
+    laid_out(comments).write.options(**COMMENT_OPTIONS).partitionBy("year").parquet(path)
+    drawn = spark.createDataFrame([(i, 2020 + i % 4) for i in range(0, 4000, 177) if i % 4 < 2], "comment_id long, year int")
+    found = fetch_by_id(spark.read.parquet(path), drawn)
+    assert sorted(r["comment_id"] for r in found.collect()) == sorted(r["comment_id"] for r in drawn.collect())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "2020" in plan and "2021" in plan and "= 2022" not in plan
+    assert "PushedFilters" in plan and "In(comment_id" in plan
+    big = suspect_comments(comments, comments.select("author_id").distinct().withColumn("segment", F.lit(1)),
+                           spark.createDataFrame([(1,)], "segment int"), size=1500)
+    small = suspect_comments(comments, comments.select("author_id").distinct().withColumn("segment", F.lit(1)),
+                             spark.createDataFrame([(1,)], "segment int"), size=60)
+    assert [tuple(r) for r in big.collect()][:60] == [tuple(r) for r in small.collect()]

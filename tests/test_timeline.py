@@ -82,8 +82,21 @@ def test_flags_average_to_the_repeated_ratio(case):
     assert both.where("abs(share - repeated_ratio) > 1e-12").count() == 0
 
 
-def test_no_window_gathers_a_whole_author(case):
-    comments, _ = case
-    plan = timeline.burstiness(comments)._jdf.queryExecution().executedPlan().toString()
-    first_window = plan[plan.rindex("Window"):]
-    assert "slice" in first_window.splitlines()[0]
+def test_an_author_lies_in_many_partitions(spark):
+    """One author has most moments; every partition but the first is stitched to the one before."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        comments = spark.range(6000).selectExpr(
+            "id AS comment_id", "CASE WHEN id % 3 = 0 THEN id ELSE -1 END AS author_id",
+            "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(id AS INT), 0) AS creation_datetime", "'x' AS content")
+        ordered = timeline.moments_in_order(comments)
+        gaps = ordered.where("author_id = -1").selectExpr("(at - previous) / 60000000 AS minutes").collect()
+        parts = ordered.where("author_id = -1").select(F.input_file_name()).distinct().count()
+        plan = timeline.burstiness(comments)._jdf.queryExecution().executedPlan().toString()
+        burst = timeline.burstiness(comments).where("author_id = -1").first()["burstiness_hours"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    minutes = [r["minutes"] for r in gaps]
+    assert parts > 2 and minutes.count(None) == 1 and sorted(m for m in minutes if m) == [1.0] * 2000 + [2.0] * 1999
+    assert burst == pytest.approx(statistics.stdev([m / 60 for m in minutes if m]))
+    assert "Window" not in plan
