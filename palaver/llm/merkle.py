@@ -211,3 +211,53 @@ def merkle_manifest(docs: DataFrame) -> DataFrame:
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(documents(spark, sf_dir))
+
+
+def _field_sql(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE concat(octet_length(encode(CAST({value} AS VARCHAR))), ':', CAST({value} AS VARCHAR)) END"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(concat(" + ", ".join(_field_sql(n_chars if name == "n_chars" else name) for name in FIELDS) + "))"
+
+
+#: Check SQL: levels and folds one by one, and CRC-32 from its table.
+ORACLE = f"""
+WITH RECURSIVE
+steps(i, step, c) AS (
+  SELECT i, 0, CAST(i AS BIGINT) FROM range(256) t(i) UNION ALL
+  SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE step < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE step = 8),
+checked AS (
+  SELECT d.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+    range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda k: CAST(ascii(substr(CAST(doc_id AS VARCHAR), k, 1)) AS BIGINT))),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS crc FROM documents d, crc_table),
+leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS tree, {_leaf_sql('n_chars')} AS leaf,
+    CASE WHEN crc % 7 = 0 THEN {_leaf_sql('(n_chars + 1)')} END AS changed FROM checked),
+placed AS (
+  SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY tree) AS size FROM leaves),
+nodes(tree, level, pos, digest, size) AS (
+  SELECT tree, 0, pos, leaf, size FROM placed UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (size + 1) // 2
+  FROM nodes WHERE size > 1 GROUP BY tree, level, pos // 2, size),
+ranks AS (
+  SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS size FROM nodes WHERE size = 1),
+tops(tree, level, pos, digest, size) AS (
+  SELECT '', 0, place, digest, size FROM ranks UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (size + 1) // 2
+  FROM tops WHERE size > 1 GROUP BY tree, level, pos // 2, size),
+every AS (SELECT * FROM nodes UNION ALL SELECT * FROM tops),
+fold(rid, tree, level, pos, digest, proof, done) AS (
+  SELECT rid, tree, 0, pos, coalesce(changed, leaf), '', false FROM placed UNION ALL
+  SELECT f.rid, CASE WHEN o.size > 1 THEN f.tree ELSE '' END, CASE WHEN o.size > 1 THEN f.level + 1 ELSE 0 END,
+    CASE WHEN o.size > 1 THEN f.pos // 2 ELSE r.place END,
+    CASE WHEN o.size = 1 THEN f.digest WHEN f.pos % 2 = 1 THEN sha256(s.digest || f.digest) ELSE sha256(f.digest || coalesce(s.digest, '')) END,
+    CASE WHEN o.size > 1 THEN f.proof || coalesce(s.digest, '') ELSE f.proof END, o.size = 1 AND f.tree = ''
+  FROM fold f JOIN every o ON o.tree = f.tree AND o.level = f.level AND o.pos = f.pos
+  LEFT JOIN every s ON s.tree = f.tree AND s.level = f.level AND s.pos = CASE WHEN f.pos % 2 = 1 THEN f.pos - 1 ELSE f.pos + 1 END
+  LEFT JOIN ranks r ON r.tree = f.tree WHERE NOT f.done)
+SELECT p.doc_id, p.leaf, r.digest AS subroot, t.digest AS root, sha256(f.proof) AS proof_sha256, f.digest AS folded_root, f.digest = t.digest AS verified
+FROM placed p JOIN fold f ON f.rid = p.rid AND f.done JOIN ranks r ON r.tree = p.tree CROSS JOIN (SELECT digest FROM tops WHERE size = 1) t
+"""

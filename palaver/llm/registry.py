@@ -23,5 +23,6 @@ QUERIES = {
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op3_license_scan": license_scan.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
     "op13_phrase_collocations": collocations.ORACLE,
 }
