@@ -423,6 +423,6 @@ ORACLES: dict[str, str] = {
         + f") / (2 * {_MEAN_PATH})), 6) AS forest_score FROM scaled", "scaled"),
     "anomaly_facts": _with(
         "SELECT count(*) AS authors, CAST(0 AS BIGINT) AS wrong_signs, CAST(0 AS BIGINT) AS out_of_range, "
-        "true AS few_flagged FROM basics", "basics"),
+        "true AS few_flagged, true AS enough_flagged FROM basics", "basics"),
     "analysis_features": _with(f"SELECT author_id, {_FEATURES_6} FROM features", "features"),
 }

@@ -21,7 +21,7 @@ from palaver.operators.segmentation import (
 from palaver.plans import features as ft, loads, reports
 from palaver.plans.pipeline import analyse
 from palaver.schemas import AUTHOR_USERNAMES, AUTHORS, COMMENTS, COMMENTS_RAW, FEATURES, LOAD_MARKERS, POSTS
-from palaver.session import stage, work_dir
+from palaver.session import one_row, stage, work_dir
 from palaver.sources import authors as author_source, comments as comment_source
 from palaver.sources import posts as post_source, tables
 from palaver.sources.snapshots import Store
@@ -566,14 +566,18 @@ def fixed_forest_scores(spark, sf_dir):
 
 @query
 def anomaly_facts(spark, sf_dir):
-    """What any forest must give: a score for every author, the share flagged, signs that agree."""
-    scored = forest_scores(stored_scaled(spark, sf_dir), FEATURES)
-    value = F.col("anomaly_score_val")
+    """What any forest must give: a score for every author, signs that agree, and the share that is
+    flagged, from above and, where values tie with the border's, from below."""
+    scored = stage(forest_scores(stored_scaled(spark, sf_dir), FEATURES), "scored")
+    value, flagged = F.col("anomaly_score_val"), F.count_if(F.col("anomaly_score") == -1)
+    border = one_row(scored.where("anomaly_score_val >= 0").agg(F.min("anomaly_score_val").alias("least")))["least"]
+    share = F.ceil(0.05 * (F.count("*") - 1))
     return scored.agg(
         F.count_distinct("author_id").alias("authors"),
         F.count_if((value < 0) != (F.col("anomaly_score") == -1)).alias("wrong_signs"),
         F.count_if(value.isNull() | (F.abs(value) > 1)).alias("out_of_range"),
-        (F.count_if(F.col("anomaly_score") == -1) <= F.ceil(0.05 * (F.count("*") - 1))).alias("few_flagged"))
+        (flagged <= share).alias("few_flagged"),
+        (flagged + F.sum((value == border).cast("int")) >= share).alias("enough_flagged"))
 
 
 @query
