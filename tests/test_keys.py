@@ -5,6 +5,7 @@ import pytest
 from palaver.operators import keys
 from palaver.schemas import AUTHOR_SIGHTINGS, AUTHORS, COMMENTS
 from palaver.sources import tables
+from palaver.sources.snapshots import Change, Store
 
 
 def day(year, month=1, d=1):
@@ -84,23 +85,24 @@ def comment(i, year=2020):
 
 
 def test_bulk_insert_is_all_or_nothing(spark, tmp_path):
-    path = str(tmp_path / "comments")
-    tables.create_table(COMMENTS, spark, path, "year")
-    tables.bulk_insert_comments(spark.createDataFrame([comment(1), comment(2, 2021)], COMMENTS), path)
+    store = Store(spark, str(tmp_path / "store"))
+    tables.bulk_insert_comments(store, "comments", spark.createDataFrame([comment(1), comment(2, 2021)], COMMENTS))
     for bad in ([comment(3), comment(3)], [comment(None)], [comment(2)]):
         with pytest.raises(ValueError):
-            tables.bulk_insert_comments(spark.createDataFrame(bad, COMMENTS), path)
-    stored = spark.read.schema(COMMENTS).parquet(path)
-    assert stored.count() == 2
+            tables.bulk_insert_comments(store, "comments", spark.createDataFrame(bad, COMMENTS))
+    stored = store.read("comments", COMMENTS)
+    assert stored.count() == 2 and store.version() == 1
     markers = tables.load_markers(stored).collect()
     assert sorted((r["year"], r["rows_loaded"]) for r in markers) == [(2020, 1), (2021, 1)]
     assert all(r["loaded_at"] is not None for r in markers)
 
 
 def test_versions_never_replace(spark, tmp_path):
-    df = authors(spark, OLD)
-    path = tables.write_version(df, str(tmp_path), 1)
-    assert spark.read.parquet(path).count() == 1
-    assert tables.write_version(df, str(tmp_path), 2) != path
-    with pytest.raises(Exception):
-        tables.write_version(df, str(tmp_path), 1)
+    store = Store(spark, str(tmp_path / "store"))
+    df = spark.createDataFrame([comment(1)], COMMENTS)
+    first = store.commit(Change("comments", df))
+    second = store.commit(Change("comments", df.limit(0), replace=True), Change("other", df))
+    assert (first, second) == (1, 2)
+    assert store.read("comments", COMMENTS).count() == 0 and store.read("other", COMMENTS).count() == 1
+    assert store.read("comments", COMMENTS, version=first).count() == 1
+    assert store.read("other", COMMENTS, version=first).count() == 0
