@@ -26,6 +26,8 @@ START_ROWS = 4096
 #: on the number of partitions.
 SLICE_ROWS = 1 << 16
 MAX_SLICES = 4096
+#: Slices whose sums the driver adds itself: a kilobyte for each model and slice, in the same order.
+FEW_SLICES = 16
 #: Columns have unit variance: a model rests once the squared moves of its centres sum to this.
 REST = 1e-4
 MAX_PASSES = 300
@@ -171,7 +173,7 @@ def _added(sums: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> np.ndar
     return np.bincount(np.append(np.arange(len(sums)), labels), np.append(sums, weights), len(sums))
 
 
-def _pass(points: DataFrame, columns: Sequence[str], models: list[Model], measure: Callable) -> list[np.ndarray]:
+def _pass(points: DataFrame, columns: Sequence[str], models: list[Model], measure: Callable, slices: int = 1) -> list[np.ndarray]:
     """For every model the sums over all authors that ``measure`` adds up: one job.
 
     ``measure(model, x, labels, sums)`` returns the new sums; the first ones are given by
@@ -214,12 +216,19 @@ def _pass(points: DataFrame, columns: Sequence[str], models: list[Model], measur
             yield rows_of(current, sums)
 
     parts = points.select("slice", *names).mapInArrow(work, "slice int, model int, sums array<double>")
+    found: dict[int, np.ndarray] = {}
+    for row in _in_order(parts, slices).toLocalIterator() if slices > FEW_SLICES else sorted(parts.collect()):
+        known = found.get(row["model"])
+        found[row["model"]] = np.array(row["sums"]) if known is None else known + np.array(row["sums"])
+    return [found[i] for i in range(len(models))]
+
+
+def _in_order(parts: DataFrame, slices: int) -> DataFrame:
+    """The sums of each model, those of many slices added by tasks, in the order of slices."""
     inside = F.transform(F.sort_array(F.collect_list(F.struct("slice", "sums"))), lambda p: p["sums"])
-    whole = parts.groupBy("model").agg(inside.alias("parts")).select("model", F.aggregate(
+    return parts.groupBy("model").agg(inside.alias("parts")).select("model", F.aggregate(
         F.slice("parts", F.lit(2), F.size("parts")), F.get("parts", F.lit(0)),
         lambda done, more: F.zip_with(done, more, lambda a, b: a + b)).alias("sums"))
-    found = {r["model"]: np.array(r["sums"]) for r in whole.collect()}
-    return [found[i] for i in range(len(models))]
 
 
 def _moments(model: Model, x=None, labels=None, sums=None) -> np.ndarray:
@@ -236,8 +245,8 @@ def _silhouette_sum(model: Model, x=None, labels=None, sums=None) -> np.ndarray:
     return _added(sums, np.zeros(len(x), np.int64), model.silhouettes(x, labels))
 
 
-def _measure_moments(points: DataFrame, columns: Sequence[str], models: list[Model]) -> None:
-    for model, sums in zip(models, _pass(points, columns, models, _moments)):
+def _measure_moments(points: DataFrame, columns: Sequence[str], models: list[Model], slices: int) -> None:
+    for model, sums in zip(models, _pass(points, columns, models, _moments, slices)):
         table = sums.reshape(len(columns) + 2, len(model.centres))
         model.sizes, model.totals, model.squares = table[0], table[1:-1].T, table[-1]
 
@@ -253,13 +262,13 @@ def _starts(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(chosen)
 
 
-def _fit(points: DataFrame, columns: Sequence[str], models: list[Model]) -> None:
+def _fit(points: DataFrame, columns: Sequence[str], models: list[Model], slices: int) -> None:
     """Moves the centres of all models until each rests; a centre without authors stays."""
     for _ in range(MAX_PASSES):
         moving = [m for m in models if m.moving]
         if not moving:
             return
-        _measure_moments(points, columns, moving)
+        _measure_moments(points, columns, moving, slices)
         for model in moving:
             means = np.where(model.sizes[:, None] > 0, model.totals / np.maximum(model.sizes, 1)[:, None], model.centres)
             model.moving = bool(((means - model.centres) ** 2).sum() > REST)
@@ -299,8 +308,8 @@ def choose_segments(
         candidates = range(2, min(max_clusters, authors) + 1)
         restarts_of = {k: [Model(_starts(drawn, k, np.random.default_rng([seed, k, r]))) for r in range(restarts)] for k in candidates}
         models = [m for k in candidates for m in restarts_of[k]]
-        _fit(points, columns, models)
-        _measure_moments(points, columns, models)
+        _fit(points, columns, models, slices)
+        _measure_moments(points, columns, models, slices)
         best = {k: min(restarts_of[k], key=lambda m: m.cost) for k in candidates}
         for model in best.values():  # numbered by their centres, so that equal runs get equal numbers
             order = np.lexsort(model.centres.T[::-1])
@@ -310,7 +319,7 @@ def choose_segments(
         if metric == "euclidean":
             scores = {k: silhouette_exact(label(k), columns).first()["score"] for k in candidates}
         else:
-            sums = _pass(points, columns, list(best.values()), _silhouette_sum)
+            sums = _pass(points, columns, list(best.values()), _silhouette_sum, slices)
             scores = {k: float(s[0]) / authors for k, s in zip(best, sums)}
     finally:
         points.unpersist()

@@ -104,8 +104,9 @@ def test_one_pass_serves_all_models(spark, monkeypatch):
     assert len(jobs) <= segmentation.MAX_PASSES + 2 and jobs[:-2] == sorted(jobs[:-2], reverse=True)
 
 
-@pytest.mark.parametrize("slice_rows", [1 << 16, 13])
-def test_costs_and_silhouettes_of_the_choice(spark, slice_rows):
+@pytest.mark.parametrize("slice_rows, few", [(1 << 16, 16), (13, 16), (13, 0)])
+def test_costs_and_silhouettes_of_the_choice(spark, monkeypatch, slice_rows, few):
+    monkeypatch.setattr(segmentation, "FEW_SLICES", few)
     rows = blobs(8, [(0, 0), (3, 1), (1, 4), (6, 6)], 20)
     df = points(spark, rows)
     labelled, scores = choose_segments(df, XY, max_clusters=5, restarts=3, slice_rows=slice_rows)
