@@ -32,13 +32,14 @@ not read.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palaver.llm import hashing
-from palaver.llm.common import documents, input_splits, map_batches, release_memory, stage
+from palaver.llm import common, hashing
+from palaver.llm.common import documents, input_splits, release_memory, stage
 from palaver.llm.graph import bitmap
 
 LENGTH = 200
@@ -47,6 +48,9 @@ GRAM = 32
 HOT, TOGETHER = 50_000, 8_000
 _PLACE = 30  # bits of a place in its run of texts
 
+#: Its batches need much memory, which the stages after it want back.
+map_batches = partial(common.map_batches, release=True)
+
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """(hash of the gram at each place, prefix sums of the bytes)."""
