@@ -224,8 +224,9 @@ def comment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Replies in a chain, one document per conversation; the five lengths take turns.
-CHAINS = (1, 4, 450, 600, 1000)
+# Replies in a chain, one document per conversation; the five lengths take turns. The longest has
+# 1,200 levels of JSON, more than a parser goes down unless told to.
+CHAINS = (1, 4, 90, 200, 600)
 DEEP_SQL = """
 SELECT c.conv_id AS post_id, c.conv_id * 10000 + p.pos AS comment_id, p.pos AS depth,
   CASE WHEN p.pos > 0 THEN c.conv_id * 10000 + p.pos - 1 END AS parent_comment_id,

@@ -252,7 +252,7 @@ def author_sightings(spark, sf_dir):
 
 @query
 def deep_threads(spark, sf_dir):
-    """Chains of up to a thousand replies, in each an author that is no number and at its end an
+    """Chains of up to 600 replies, in each an author that is no number and at its end an
     id that is none."""
     return _crawled(spark, sf_dir, "deep_documents").comments.select(
         "post_id", "comment_id", "parent_comment_id", "author_id", "depth", "content", "year")
