@@ -30,7 +30,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
     runs = {
-        "load_comments": lambda s, d: fixtures.comments(s, d).limit(0),
+        "load_comments": lambda s, d: fixtures.comment_facts(s, d).limit(0),
         "load_lexicon": lambda s, d: fixtures.lexicon(s, d).limit(0),
         "stored_features": lambda s, d: stored_features(s, d).limit(0),
         "stored_scaled": lambda s, d: stored_scaled(s, d).limit(0),

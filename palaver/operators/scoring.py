@@ -81,6 +81,6 @@ def fetch_by_id(comments: DataFrame, drawn: DataFrame) -> DataFrame:
     parts = []
     for year, ids in sorted(ids_of.items(), key=str):
         ids.sort()
-        of_year = comments if year == "any" else comments.where(F.col("year").eqNullSafe(F.lit(year)))
-        parts += [of_year.where(F.col("comment_id").isin(ids[i:i + _IDS_OF_A_FILTER])) for i in range(0, len(ids), _IDS_OF_A_FILTER)]
-    return reduce(DataFrame.unionByName, parts) if parts else comments.limit(0)
+        of_year = F.lit(True) if year == "any" else F.col("year").eqNullSafe(F.lit(year))
+        parts += [of_year & F.col("comment_id").isin(ids[i:i + _IDS_OF_A_FILTER]) for i in range(0, len(ids), _IDS_OF_A_FILTER)]
+    return comments.where(reduce(Column.__or__, parts)) if parts else comments.limit(0)

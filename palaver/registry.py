@@ -68,22 +68,22 @@ def sentiment_polarity(spark, sf_dir):
 
 @query
 def comments_per_day(spark, sf_dir):
-    return six(ft.comments_per_day(fx.comments(spark, sf_dir)))
+    return six(ft.comments_per_day(fx.comment_facts(spark, sf_dir)))
 
 
 @query
 def burstiness_hours(spark, sf_dir):
-    return six(timeline.burstiness(fx.comments(spark, sf_dir)))
+    return six(timeline.burstiness(fx.comment_facts(spark, sf_dir)))
 
 
 @query
 def hour_histogram(spark, sf_dir):
-    return ft.hour_histogram(fx.comments(spark, sf_dir))
+    return ft.hour_histogram(fx.comment_facts(spark, sf_dir))
 
 
 @query
 def hour_entropy(spark, sf_dir):
-    return six(ft.hour_entropy(fx.comments(spark, sf_dir)))
+    return six(ft.hour_entropy(fx.comment_facts(spark, sf_dir)))
 
 
 @query
@@ -93,9 +93,8 @@ def author_features(spark, sf_dir):
 
 @query
 def features_filtered(spark, sf_dir):
-    comments = fx.comments(spark, sf_dir)
-    everyone = comments.select(F.col("author_id").alias("id")).distinct()
-    chosen = ft.select_comments(comments, ft.sample_authors(everyone, 100), 2021)
+    everyone = fx.comment_facts(spark, sf_dir).select(F.col("author_id").alias("id")).distinct()
+    chosen = ft.select_comments(fx.comments(spark, sf_dir), ft.sample_authors(everyone, 100), 2021)
     return six(ft.author_features(chosen, fx.lexicon(spark, sf_dir)))
 
 
@@ -113,12 +112,12 @@ def sample_half(spark, sf_dir):
 
 @query
 def corpus_counts(spark, sf_dir):
-    return ft.corpus_counts(fx.comments(spark, sf_dir))
+    return ft.corpus_counts(fx.comment_facts(spark, sf_dir))
 
 
 @query
 def comment_gaps(spark, sf_dir):
-    return six(timeline.comment_gaps(fx.comments(spark, sf_dir)))
+    return six(timeline.comment_gaps(fx.comment_facts(spark, sf_dir)))
 
 
 @query
@@ -128,13 +127,13 @@ def duplicate_flags(spark, sf_dir):
 
 @query
 def comments_by_year(spark, sf_dir):
-    return ft.select_comments(fx.comments(spark, sf_dir), year=2021).select(
+    return ft.select_comments(fx.comment_facts(spark, sf_dir), year=2021).select(
         "comment_id", "author_id", "creation_datetime", "year")
 
 
 @query
 def union_years(spark, sf_dir):
-    comments = fx.comments(spark, sf_dir).select("comment_id", "author_id", "year")
+    comments = fx.comment_facts(spark, sf_dir).select("comment_id", "author_id", "year")
     years = [comments.where(f"year = {year}") for year in range(2019, 2025)]
     return reduce(DataFrame.unionByName, years)
 
@@ -187,7 +186,7 @@ def posts_incremental(spark, sf_dir):
 
 @query
 def comment_key_check(spark, sf_dir):
-    comments = fx.comments(spark, sf_dir)
+    comments = fx.comment_facts(spark, sf_dir)
     batch = comments.select("comment_id").unionAll(
         comments.where("not approved").select("comment_id")
     ).unionAll(comments.where("parent_comment_id is null").select("parent_comment_id"))
@@ -208,7 +207,7 @@ def comments_insert_ignore(spark, sf_dir):
 
 @query
 def load_markers(spark, sf_dir):
-    return tables.load_markers(fx.comments(spark, sf_dir)).drop("loaded_at")
+    return tables.load_markers(fx.comment_facts(spark, sf_dir)).drop("loaded_at")
 
 
 # ---- raw documents ---------------------------------------------------------------------
@@ -383,7 +382,7 @@ def ingest_errors(spark, sf_dir):
 
 @query
 def thread_depth(spark, sf_dir):
-    return threads.thread_depth(fx.comments(spark, sf_dir))
+    return threads.thread_depth(fx.comment_facts(spark, sf_dir))
 
 
 @query

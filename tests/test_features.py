@@ -177,3 +177,19 @@ def test_a_sample_sorts_its_border_only(spark, monkeypatch):
         assert sorted(r["id"] for r in ft.sample_authors(ids, size).collect()) == sorted(i for _, i in want[:size])
     copies = ids.where("id < 2").crossJoin(spark.range(6).select(F.col("id").alias("copy"))).select("id")
     assert ft.sample_authors(copies, 8).count() == 8
+
+
+def test_comments_are_stored_without_their_texts(spark, monkeypatch):
+    from palaver import fixtures as fx
+    from palaver.registry import QUERIES
+
+    kept = []
+    monkeypatch.setattr(fx, "stage", lambda df, *a, **o: kept.append(df.columns) or df)
+    monkeypatch.setattr(fx, "_stored", {})
+    sf_dir = "/root/testdata/sf0.001"
+    for name in ("thread_depth", "comment_gaps", "comments_per_day", "hour_entropy", "union_years", "corpus_counts", "comments_by_year",
+                 "load_markers"):
+        QUERIES[name](spark, sf_dir)
+    assert kept == [[c for c in fx.comments(spark, sf_dir).columns if c != "content"]]
+    plan = fx.comments(spark, sf_dir).select("comment_id", "author_id")._jdf.queryExecution().executedPlan().toString()
+    assert "doc_id:" in plan and "text:" not in plan
