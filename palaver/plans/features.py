@@ -10,9 +10,10 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palaver.functions.text import fingerprint, has_link, words
+from palaver.functions.text import fingerprint, has_link
 from palaver.functions.time import entropy_of, per_day
 from palaver.operators.timeline import burstiness
+from palaver.operators.wording import variety, word_totals
 
 _HOUR_BINS = [f"h{hour:02d}" for hour in range(24)]
 
@@ -21,28 +22,15 @@ def _named(comments: DataFrame) -> DataFrame:
     return comments.where("author_id is not null")
 
 
-def _texts_by_author(comments: DataFrame) -> DataFrame:
-    """``author_id`` and ``content`` with an author's texts side by side.
-
-    Moving the texts once lets the map-side combine merge an author's repeated words, and
-    words are several times the volume of their text. It is a rebalance, so adaptive
-    execution splits an author that is too large for one task. It goes by a hash that no
-    later step sees: by ``author_id`` itself, Spark would count on it as a partitioning and
-    keep a hot author in one task.
-    """
-    near = F.xxhash64("author_id").alias("_near")
-    return _named(comments).select("author_id", "content", near).hint(
-        "rebalance", "_near").select("author_id", "content")
+def _variety(comments: DataFrame) -> DataFrame:
+    """Words, distinct words and distinct texts per author from one pass over the texts."""
+    return variety(_named(comments).select("author_id", "content", fingerprint(F.col("content")).alias("mark")))
 
 
 def lexical_diversity(comments: DataFrame) -> DataFrame:
     """Distinct words over all words, 0 for an author without words."""
-    spread = _texts_by_author(comments).select(
-        "author_id", F.explode_outer(words(F.col("content"))).alias("word"))
-    per_word = spread.groupBy("author_id", "word").agg(F.count("word").alias("uses"))
-    ratio = F.try_divide(F.count("word"), F.sum("uses"))
-    return per_word.groupBy("author_id").agg(
-        F.coalesce(ratio, F.lit(0.0)).alias("lexical_diversity"))
+    ratio = F.try_divide(F.col("distinct_words"), F.col("n_words"))
+    return _variety(comments).select("author_id", F.coalesce(ratio, F.lit(0.0)).alias("lexical_diversity"))
 
 
 def repeated_ratio(comments: DataFrame) -> DataFrame:
@@ -60,14 +48,10 @@ def link_ratio(comments: DataFrame) -> DataFrame:
 
 def _polarity_sums(comments: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Sum over an author's comments of the mean polarity of their lexicon words."""
-    scores = lexicon.groupBy("word").agg(F.avg("polarity").alias("polarity"))
-    spread = _named(comments).select(
-        "author_id", "comment_id", F.explode(words(F.lower("content"))).alias("word"))
-    per_comment = (
-        spread.join(scores, "word")
-        .groupBy("author_id", "comment_id")
-        .agg(F.avg("polarity").alias("polarity"))
-    )
+    scores = lexicon.groupBy("word").agg(F.avg("polarity").alias("value")).where("value is not null")
+    texts = _named(comments).select("author_id", "comment_id", F.lower("content").alias("text"))
+    per_comment = word_totals(texts, scores).groupBy("author_id", "comment_id").agg(
+        F.try_divide(F.sum("total"), F.sum("hits")).alias("polarity"))
     return per_comment.groupBy("author_id").agg(F.sum("polarity").alias("polarity_sum"))
 
 
@@ -135,28 +119,10 @@ def _activity(comments: DataFrame) -> DataFrame:
     )
 
 
-def _variety(comments: DataFrame) -> DataFrame:
-    """Words, distinct words and distinct texts per author from one pass over the texts.
-
-    Texts travel as fingerprints behind a space, which no word can start with.
-    """
-    content = F.col("content")
-    facts = F.concat(words(content), F.array(F.concat(F.lit(" "), fingerprint(content))))
-    counted = _texts_by_author(comments).select(
-        "author_id", F.explode(facts).alias("fact")
-    ).groupBy("author_id", "fact").agg(F.count("*").alias("uses"))
-    is_text = F.startswith("fact", F.lit(" "))
-    return counted.groupBy("author_id").agg(
-        F.count_if(is_text).alias("n_texts"),
-        F.count_if(~is_text).alias("distinct_words"),
-        F.sum(F.when(is_text, 0).otherwise(F.col("uses"))).alias("n_words"),
-    )
-
-
 def author_features(comments: DataFrame, lexicon: DataFrame) -> DataFrame:
     """All seven features, one row per author.
 
-    Four aggregates that all end hash-partitioned by author, so the joins move no rows.
+    Four tables of one row per author are joined; only the word tables ever move texts, once each.
     """
     joined = (
         _activity(comments)

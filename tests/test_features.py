@@ -179,6 +179,37 @@ def test_a_sample_sorts_its_border_only(spark, monkeypatch):
     assert ft.sample_authors(copies, 8).count() == 8
 
 
+def test_words_meet_the_word_table_once_per_part(spark, lexicon, request):
+    """Many small parts, an author above a part's size, null and repeated ids, texts without words."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    request.addfinalizer(lambda old=spark.conf.get(key): spark.conf.set(key, old))
+    spark.conf.set(key, "400b")
+    draw = random.Random(5)
+    pool = ["good", "bad", "fair", "Good", "so", "so so", "  ", "x\x1cy", None]
+    rows = [(draw.choice([1, 1, 1, 2, 3, 4]), i % 40 if i % 7 else None, T0, draw.choice(
+        [None, "", " \t"]) if i % 11 == 0 else " ".join(filter(None, draw.choices(pool, k=draw.randint(1, 9))))) for i in range(120)]
+    rows.append((5, 500, T0, None))
+    df = spark.createDataFrame([(c, a, t, x, 2024) for a, c, t, x in rows], SCHEMA).repartition(4)
+    value = {"good": 1.0, "bad": -1.0, "fair": 0.5}
+    words_of, found = {}, {}
+    for a, c, _, x in rows:
+        words_of.setdefault(a, []).extend((x or "").split())
+        found.setdefault((a, c), []).extend(value[w] for w in (x or "").lower().split() if w in value)
+    n = {a: sum(r[0] == a for r in rows) for a in words_of}
+    want = {a: (len(set(ws)) / len(ws) if ws else 0.0, sum(
+        sum(v) / len(v) for (b, _), v in found.items() if b == a and v) / n[a], len({r[3] or "" for r in rows if r[0] == a}))
+        for a, ws in words_of.items()}
+    variety = {r["author_id"]: (r["distinct_words"], r["n_words"], r["n_texts"]) for r in ft._variety(df).collect()}
+    assert variety == {a: (len(set(ws)), len(ws), want[a][2]) for a, ws in words_of.items()}
+    diverse = {r["author_id"]: r["lexical_diversity"] for r in ft.lexical_diversity(df).collect()}
+    polar = ft.sentiment_polarity(df, lexicon)
+    assert diverse == {a: w[0] for a, w in want.items()}
+    assert {r["author_id"]: r["sentiment_polarity"] for r in polar.collect()} == pytest.approx({a: w[1] for a, w in want.items()})
+    # No plan has a row for every occurrence of a word.
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (polar, ft.lexical_diversity(df))]
+    assert not any("Generate" in p for p in plans)
+
+
 def test_comments_are_stored_without_their_texts(spark, monkeypatch):
     from palaver import fixtures as fx
     from palaver.registry import QUERIES
