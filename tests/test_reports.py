@@ -157,3 +157,13 @@ def test_a_fetch_reads_the_years_and_ids_it_asks_for(spark, tmp_path):
     small = suspect_comments(comments, comments.select("author_id").distinct().withColumn("segment", F.lit(1)),
                              spark.createDataFrame([(1,)], "segment int"), size=60)
     assert [tuple(r) for r in big.collect()][:60] == [tuple(r) for r in small.collect()]
+
+
+def test_a_fetch_is_one_scan_whatever_the_number_of_its_filters(spark):
+    comments = spark.range(300).selectExpr("id AS comment_id", "id % 7 AS author_id", "concat('t', id) AS content", "2020 AS year")
+    texts = spark.range(300).selectExpr("id AS comment_id", "concat('x', id) AS text")
+    found = fetch_by_id(comments.join(texts, "comment_id"), spark.createDataFrame([(i, 2020) for i in range(95)], "comment_id long, year int"))
+    assert sorted(r["comment_id"] for r in found.collect()) == list(range(95))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    twice = fetch_by_id(comments, spark.createDataFrame([(i // 2, 2020) for i in range(1, 40)], "comment_id long, year int"))
+    assert sorted(r["comment_id"] for r in twice.collect()) == sorted([*range(20), 5, 10, 15])
