@@ -16,8 +16,14 @@ from palaver.sources.snapshots import Change, Store
 def append_new(
     store: Store, table: str, batch: DataFrame, schema: StructType, key: str, order_by: list[str]
 ) -> DataFrame:
-    """Append rows whose key the table does not hold yet; repeating a batch adds nothing."""
-    fresh = insert_ignore(store.read(table, schema), batch, [key], order_by)
+    """Append rows whose key the table does not hold yet; repeating a batch adds nothing.
+
+    Of the stored keys only those that the batch has, too, are held against it: the side that
+    Spark may broadcast is never larger than the batch, however large the table.
+    """
+    sent = batch.select(key).where(F.col(key).isNotNull()).distinct()
+    held = store.read(table, schema).select(key).join(sent, key, "left_semi")
+    fresh = insert_ignore(held, batch, [key], order_by)
     store.commit(Change(table, fresh.select(*schema.names)))
     return store.read(table, schema)
 

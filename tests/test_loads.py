@@ -156,3 +156,20 @@ def test_missing_reports_are_skipped(spark, tmp_path):
     found = tables.read_reports(spark, [str(tmp_path / "a.csv"), str(tmp_path / "none.csv")])
     assert list(found) == [str(tmp_path / "a.csv")]
     assert [tuple(r) for r in found[str(tmp_path / "a.csv")].collect()] == [(0, 5)]
+
+
+def test_only_keys_that_the_batch_has_are_held_against_it(spark, tmp_path, monkeypatch):
+    """A table may be far larger than a batch: its keys must not travel with every batch."""
+    from palaver.sources import tables
+    from palaver.sources.snapshots import Store
+    from pyspark.sql import types as T
+
+    schema, held = T.StructType().add("id", "string").add("file", "string"), []
+    store, plain = Store(spark, str(tmp_path / "store")), tables.insert_ignore
+    rows = spark.range(1000).selectExpr("CAST(id AS string) AS id", "'a' AS file")
+    assert tables.append_new(store, "posts", rows, schema, "id", ["file"]).count() == 1000
+    monkeypatch.setattr(tables, "insert_ignore", lambda stored, *rest: held.append(stored.count()) or plain(stored, *rest))
+    batch = spark.createDataFrame([("7", "b"), ("7", "c"), ("new", "b"), ("new", "a"), (None, "b")], schema)
+    found = tables.append_new(store, "posts", batch, schema, "id", ["file"])
+    assert held == [1] and found.count() == 1001
+    assert [r["file"] for r in found.where("id IN ('7', 'new')").orderBy("id").collect()] == ["a", "a"]
