@@ -8,11 +8,14 @@ import json
 import numpy as np
 import regex
 
-from palaver.llm.bpe_automaton import TABLE_SIZE, tokenizer_path
+from palaver.llm.bpe_automaton import tokenizer_path
 
 #: Name of the special token that ends a document, as the tokenizer file has it.
 END = "<|endoftext|>"
 
+#: Pieces whose ids a worker keeps, at about 200 bytes each: workers live on beside later stages.
+KEPT_PIECES = 1 << 17
+
 
 class ByteTokens:
     """Pre-splits and looks up the ids of every distinct piece once; the table of pieces is
@@ -33,7 +36,7 @@ class ByteTokens:
         self.pieces: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
-        if len(self.pieces) >= TABLE_SIZE:
+        if len(self.pieces) >= KEPT_PIECES:
             self.pieces.clear()
         ids = self.pieces[piece] = np.array(self.core.encode_single_piece(piece.encode()), "<u4").tobytes()
         return ids

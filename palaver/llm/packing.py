@@ -63,7 +63,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, with_id
             names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     return map_batches(docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text"), run,
-                       "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+                       "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids, release=True)
 
 
 def price(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from palaver.llm.byte_tokens import byte_tokens
-from palaver.llm.common import documents, map_batches, stage
+from palaver.llm.common import documents, map_batches, release_memory, stage
 
 #: Ids in a block.
 BLOCK = 1 << 18
@@ -55,6 +55,7 @@ def write_flat(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFram
         if len(rest):
             n_blocks += 1
             yield rows([rest.tobytes()], empty[:0], ordinal)
+        release_memory()
 
     both = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").mapInArrow(
         run, "file int, number long, data binary, doc_id long")

@@ -379,3 +379,14 @@ def test_words_that_a_polynomial_cannot_tell_apart(spark):
     raw = (thue_morse(2048) + thue_morse(2048, True)).encode()
     keys = suffix_dedup.row_keys(np.frombuffer(raw, np.uint8), np.array([0, 2048, 4096]), np.array([1, 1]), np.array([True, True]))
     assert keys[0] != keys[1]
+
+
+def test_the_table_of_pieces_stays_small(monkeypatch):
+    from palaver.llm import byte_tokens as bt
+
+    assert bt.KEPT_PIECES <= 1 << 17
+    tokens, text = bt.ByteTokens(True), " ".join(f"w{i}x" for i in range(500)) + bt.END + " end"
+    whole = tokens.encode(text)
+    monkeypatch.setattr(bt, "KEPT_PIECES", 50)
+    tokens.pieces.clear()
+    assert tokens.encode(text) == whole and len(tokens.pieces) <= 50
