@@ -1,7 +1,9 @@
-"""Word statistics of many texts, without ever sending a word's every occurrence through a shuffle.
+"""Word statistics of many texts, without ever sending a text or a word's every occurrence through a shuffle.
 
-Words are several times the volume of their text. Texts move once; tasks cut them, count what
-repeats, and only distinct words travel on.
+Texts stay in the tasks that read them. A survey says which words are common: a bounded table of those
+goes to all tasks. Of an author's texts only distinct words travel, common ones as small numbers; of a
+text whose words need values, only the words that the bounded table does not settle. Which words are
+taken for common changes what is sent, never a result.
 """
 
 from __future__ import annotations
@@ -9,14 +11,19 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from palaver.session import stage
 
 #: Texts that are Python strings at a time, and counted facts that a task keeps before it sends them on.
 _TEXTS, _FACTS = 64, 500_000
+#: Words that all tasks get to know at most, texts in which a task looks for them, and words that it names.
+_COMMON, _SURVEYED, _NAMED = 1 << 18, 20_000, 1 << 17
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -26,15 +33,89 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(*(column.to_pylist() for column in batch.slice(start, _TEXTS).columns))
 
 
-def _varied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct texts, distinct words and words of each author, whose rows follow each other."""
-    kind, done, last, texts, words, n_words = None, [], None, set(), set(), 0
+@dataclass
+class Survey:
+    """``sizes`` (author_id, size), bytes of text per author, and ``words`` (word, uses), a guess at the common ones."""
 
-    def batch():
-        rows = pa.RecordBatch.from_arrays(
-            [pa.array(list(column), t) for column, t in zip(zip(*done), (kind, pa.int64(), pa.int64(), pa.int64()))],
-            names=["author_id", "n_texts", "distinct_words", "n_words"])
-        done.clear()
+    sizes: DataFrame
+    words: DataFrame
+
+
+def survey(texts: DataFrame, text: str = "content") -> Survey:
+    """One pass over (author_id, text): all sizes, and the words that the first texts of each task repeat."""
+    kind = texts.schema["author_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses, looked, arrow = Counter(), 0, None
+        for b in batches:
+            arrow = b.schema.field("author_id").type
+            size = pc.cast(pc.binary_length(b.column(text)), pa.int64())
+            sums = pa.table([b.column("author_id"), size], names=["author_id", "size"]).group_by("author_id").aggregate([("size", "sum")])
+            yield from pa.table([sums["author_id"], sums["size_sum"], pa.nulls(len(sums), pa.string())],
+                                names=["author_id", "size", "word"]).to_batches()
+            for (content,) in _rows([b.select([text]).slice(0, max(0, _SURVEYED - looked))]):
+                if len(uses) < _FACTS:
+                    uses.update((content or "").split())
+            looked += b.num_rows
+        named = [(word, n) for word, n in uses.most_common(_NAMED) if n > 1]
+        if named:
+            words, counts = zip(*named)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(words), arrow), pa.array(counts, pa.int64()), pa.array(words, pa.string())], names=["author_id", "size", "word"])
+
+    found = stage(texts.select("author_id", text).mapInArrow(run, f"author_id {kind}, size long, word string"), "survey")
+    sizes = found.where("word is null").groupBy("author_id").agg(F.sum("size").alias("size"))
+    words = found.where("word is not null").groupBy("word").agg(F.sum("size").alias("uses"))
+    return Survey(stage(sizes, "text-sizes"), words)
+
+
+def _common(words: DataFrame) -> DataFrame:
+    return words.orderBy(F.desc("uses"), "word").limit(_COMMON)
+
+
+def _packed(group: np.ndarray, codes: np.ndarray, groups: int) -> pa.Array:
+    """The sorted codes of each group as bytes: steps from one to the next, 7 bits a byte."""
+    keys = np.sort(group << 32 | codes)
+    group, codes = keys >> 32, keys & 0xFFFFFFFF
+    step = np.where(np.diff(group, prepend=-1) != 0, codes, np.diff(codes, prepend=0))
+    size = 1 + (step >= 1 << 7) + (step >= 1 << 14)
+    ends = np.cumsum(size)
+    out = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
+    for k in range(3):
+        has = size > k
+        out[(ends - size)[has] + k] = (step[has] >> 7 * k & 127) | ((size[has] > k + 1) * 128)
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(group, size, groups))]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), groups, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All codes, and where those of each row begin and end."""
+    data = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).astype(np.int64)
+    row_ends = np.cumsum(pc.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64))
+    last = data < 128
+    begins = np.flatnonzero(np.concatenate([[True], last[:-1]])) if len(data) else np.empty(0, np.int64)
+    place = np.arange(len(data)) - np.repeat(begins, np.diff(begins, append=len(data)))
+    step = np.add.reduceat((data & 127) << 7 * place, begins) if len(data) else data
+    bounds = np.concatenate([[0], np.searchsorted(begins, row_ends)])
+    sums = np.concatenate([[0], np.cumsum(step)])
+    return sums[1:] - np.repeat(sums[bounds[:-1]], np.diff(bounds)), bounds
+
+
+def _compacted(batches: Iterator[pa.RecordBatch], codes: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """``author_id``, ``n_words``, ``codes``, ``rest``, ``marks``: what authors used, once per author and run,
+    common words as their codes."""
+    kind, held, seen = None, 0, {}
+
+    def flush():
+        known = [[codes[w] for w in words if w in codes] for words, _, _ in seen.values()]
+        sizes = np.array([len(k) for k in known])
+        rows = pa.RecordBatch.from_arrays([
+            pa.array(list(seen), kind), pa.array([n[0] for _, _, n in seen.values()], pa.int64()),
+            _packed(np.repeat(np.arange(len(known)), sizes), np.array([c for k in known for c in k], np.int64), len(known)),
+            pa.array(["\n".join(sorted(w for w in words if w not in codes)) for words, _, _ in seen.values()], pa.string()),
+            pa.array(["\n".join(marks) for _, marks, _ in seen.values()], pa.string())],
+            names=["author_id", "n_words", "codes", "rest", "marks"])
+        seen.clear()
         return rows
 
     def columns():
@@ -44,80 +125,119 @@ def _varied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.select(["author_id", "content", "mark"])
 
     for author, content, mark in _rows(columns()):
-        if author != last:
-            if last is not None:
-                done.append((last, len(texts), len(words), n_words))
-            last, texts, words, n_words = author, set(), set(), 0
-            if len(done) >= 10_000:
-                yield batch()
+        words, marks, n_words = seen.setdefault(author, (set(), set(), [0]))
+        before = len(words)
         found = (content or "").split()
-        texts.add(mark), words.update(found)
-        n_words += len(found)
+        words.update(found), marks.add(mark)
+        n_words[0] += len(found)
+        held += len(words) - before + 1
+        if held >= _FACTS:
+            held = 0
+            yield flush()
+    if seen:
+        yield flush()
+
+
+def _varied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct texts, distinct words and words of each author, whose compacted rows follow each other."""
+    kind, done, last, texts, rest, codes, n_words = None, [], None, set(), set(), [], 0
+
+    def batch():
+        rows = pa.RecordBatch.from_arrays(
+            [pa.array(list(column), t) for column, t in zip(zip(*done), (kind, pa.int64(), pa.int64(), pa.int64()))],
+            names=["author_id", "n_texts", "distinct_words", "n_words"])
+        done.clear()
+        return rows
+
+    def summed():
+        return last, len(texts), len(rest) + len(np.unique(np.concatenate(codes))), n_words
+
+    for whole in batches:
+        kind = whole.schema.field("author_id").type
+        for start in range(0, whole.num_rows, _TEXTS):
+            b = whole.slice(start, _TEXTS)
+            numbers, bounds = _unpacked(b.column("codes"))
+            rows = zip(*(b.column(c).to_pylist() for c in ("author_id", "n_words", "rest", "marks")))
+            for i, (author, n, words, marks) in enumerate(rows):
+                if author != last:
+                    if last is not None:
+                        done.append(summed())
+                    last, texts, rest, codes, n_words = author, set(), set(), [], 0
+                    if len(done) >= 10_000:
+                        yield batch()
+                texts.update(marks.split("\n")), rest.update(words.split())
+                codes.append(numbers[bounds[i]:bounds[i + 1]])
+                n_words += n
     if last is not None:
-        done.append((last, len(texts), len(words), n_words))
+        done.append(summed())
         yield batch()
 
 
-def _used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``author_id``, ``fact``, ``uses``: what authors used, counted before it is sent on. A text's
-    mark starts with a space, which no word does."""
-    kind, counted, held = None, {}, 0
+def _used(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """``author_id``, ``fact``, ``n_words`` of compacted rows: what authors used, once per run, and a row without
+    a fact for the number of words. A text's mark starts with a space, which no word does."""
+    kind, used, counted, held = None, {}, Counter(), 0
 
     def flush():
         rows = pa.RecordBatch.from_arrays([
-            pa.array([a for a, counts in counted.items() for _ in counts], kind),
-            pa.array([fact for counts in counted.values() for fact in counts], pa.string()),
-            pa.array([n for counts in counted.values() for n in counts.values()], pa.int64())], names=["author_id", "fact", "uses"])
-        counted.clear()
+            pa.array([a for a, facts in used.items() for _ in facts] + list(counted), kind),
+            pa.array([fact for facts in used.values() for fact in facts] + [None] * len(counted), pa.string()),
+            pa.array([0] * sum(map(len, used.values())) + list(counted.values()), pa.int64())], names=["author_id", "fact", "n_words"])
+        used.clear(), counted.clear()
         return rows
 
-    def columns():
-        nonlocal kind
-        for b in batches:
-            kind = b.schema.field("author_id").type
-            yield b.select(["author_id", "content", "mark"])
-
-    for author, content, mark in _rows(columns()):
-        counts = counted.setdefault(author, Counter())
-        before = len(counts)
-        counts.update((content or "").split())
-        counts[" " + mark] += 1
-        held += len(counts) - before
-        if held >= _FACTS:
-            held = 0
-            yield flush()
-    if counted:
+    for whole in batches:
+        kind = whole.schema.field("author_id").type
+        for start in range(0, whole.num_rows, _TEXTS):
+            b = whole.slice(start, _TEXTS)
+            numbers, bounds = _unpacked(b.column("codes"))
+            rows = zip(*(b.column(c).to_pylist() for c in ("author_id", "n_words", "rest", "marks")))
+            for i, (author, n, words, marks) in enumerate(rows):
+                facts = used.setdefault(author, set())
+                before = len(facts)
+                facts.update(words.split(), (" " + mark for mark in marks.split("\n")), (names[c] for c in numbers[bounds[i]:bounds[i + 1]].tolist()))
+                counted[author] += n
+                held += len(facts) - before
+            if held >= _FACTS:
+                held = 0
+                yield flush()
+    if used:
         yield flush()
 
 
-def variety(texts: DataFrame) -> DataFrame:
+def variety(texts: DataFrame, seen: Survey | None = None) -> DataFrame:
     """``author_id``, ``n_texts``, ``distinct_words``, ``n_words`` of (author_id, content, mark), where
     equal texts have equal marks. No author is null.
 
-    An author's texts come together in one task, which sees them one after the other and sends
-    on three numbers. Authors with more text than a part are left out there: theirs is rebalanced,
-    so that adaptive execution splits it, and their distinct words are counted by a shuffle.
-    The rebalance goes by a hash that no later step sees: by ``author_id`` itself, Spark would
+    Tasks send on each author's distinct words and marks, common words as one to three bytes. An author's
+    come together in one task, which sends on three numbers. Authors with more text than a part are left
+    out there: what their tasks send is rebalanced, so that adaptive execution splits it, and counted by a
+    shuffle. The rebalance goes by a hash that no later step sees: by ``author_id`` itself, Spark would
     count on it as a partitioning and keep a hot author in one task.
     """
     kind = texts.schema["author_id"].dataType.simpleString()
-    sizes = texts.groupBy("author_id").agg(F.sum(F.octet_length("content")).alias("size"))
-    sizes = stage(sizes, "text-sizes")
-    parts = _parts(sizes.agg(F.sum("size")).first()[0], texts)
-    large = sizes.where(F.col("size") > _part_bytes(texts)).select("author_id")
+    seen = seen or survey(texts)
+    parts = _parts(seen.sizes.agg(F.sum("size")).first()[0], texts)
+    large = seen.sizes.where(F.col("size") > _part_bytes(texts)).select("author_id")
     light = texts.join(large, "author_id", "left_anti") if not large.isEmpty() else texts
-    done = light.repartition(parts, "author_id").sortWithinPartitions("author_id").mapInArrow(
+    names = [row["word"] for row in _common(seen.words).collect()]
+    codes = texts.sparkSession.sparkContext.broadcast({word: i for i, word in enumerate(names)})
+
+    def compacted(some: DataFrame) -> DataFrame:
+        return some.mapInArrow(
+            lambda batches: _compacted(batches, codes.value), f"author_id {kind}, n_words long, codes binary, rest string, marks string")
+
+    done = compacted(light).repartition(parts, "author_id").sortWithinPartitions("author_id").mapInArrow(
         _varied, f"author_id {kind}, n_texts long, distinct_words long, n_words long")
     if large.isEmpty():
         return done
     is_text = F.startswith("fact", F.lit(" "))
-    spread = texts.join(large, "author_id", "left_semi").withColumn("_near", F.xxhash64("author_id")).hint(
-        "rebalance", "_near").select("author_id", "content", "mark").mapInArrow(
-        _used, f"author_id {kind}, fact string, uses long")
+    spread = compacted(texts.join(large, "author_id", "left_semi")).withColumn("_near", F.xxhash64("author_id")).hint(
+        "rebalance", "_near").drop("_near").mapInArrow(
+        lambda batches: _used(batches, list(codes.value)), f"author_id {kind}, fact string, n_words long")
     return done.unionByName(
-        spread.groupBy("author_id", "fact").agg(F.sum("uses").alias("uses")).groupBy("author_id").agg(
-            F.count_if(is_text).alias("n_texts"), F.count_if(~is_text).alias("distinct_words"),
-            F.coalesce(F.sum(F.when(~is_text, F.col("uses"))), F.lit(0)).alias("n_words")))
+        spread.groupBy("author_id", "fact").agg(F.sum("n_words").alias("n_words")).groupBy("author_id").agg(
+            F.count_if(is_text).alias("n_texts"), F.count_if(~is_text).alias("distinct_words"), F.sum("n_words").alias("n_words")))
 
 
 def _part_bytes(df: DataFrame) -> int:
@@ -166,19 +286,50 @@ def _score(texts: pa.Table, known: pa.Table) -> pa.Table:
                     names=["author_id", "comment_id", "total", "hits"])
 
 
-def word_totals(texts: DataFrame, values: DataFrame) -> DataFrame:
+def _settled(batches: Iterator[pa.RecordBatch], values: dict[str, float | None], all_known: bool) -> Iterator[pa.RecordBatch]:
+    """``author_id``, ``comment_id``, ``total``, ``hits`` of the words that ``values`` names, and the ``rest`` of the words."""
+    for b in batches:
+        totals, hits, rests = [], [], []
+        for (text,) in _rows([b.select(["text"])]):
+            words = (text or "").split()
+            found = [v for v in map(values.get, words) if v is not None]
+            totals.append(sum(found)), hits.append(len(found))
+            rests.append(None if all_known else " ".join(w for w in words if w not in values) or None)
+        yield pa.RecordBatch.from_arrays(
+            [b.column("author_id"), b.column("comment_id"), pa.array(totals, pa.float64()), pa.array(hits, pa.int64()), pa.array(rests, pa.string())],
+            names=["author_id", "comment_id", "total", "hits", "rest"])
+
+
+def word_totals(texts: DataFrame, values: DataFrame, seen: Survey | None = None) -> DataFrame:
     """``author_id``, ``comment_id``, ``total``, ``hits`` of (author_id, comment_id, text): the sum and
-    number of the values of each text's words that ``values`` (word, value; unique words) holds.
+    number of the values of each text's words that ``values`` (word, value; unique words) holds. A text
+    may have two rows, which add up.
 
-    Neither the words nor the table of values need fit anywhere: texts are dealt into parts of about
+    A table of values that is small enough goes to all tasks, and nothing else moves. Of a larger one the
+    common words do, with a value or without. The words that this leaves are dealt into parts of about
     the advisory size, a part's distinct words meet the table in a join, and what they found there comes
-    back to the part as its own small table.
+    back to the part as its own small table: neither the words nor the table need fit anywhere.
     """
-    parts = _parts(texts.agg(F.sum(F.octet_length("text"))).first()[0], texts)
+    spark = texts.sparkSession
+    all_known = values.limit(_COMMON + 1).count() <= _COMMON
+    if all_known:
+        sent = values
+    else:
+        words = (seen or survey(texts, "text")).words.groupBy(F.lower("word").alias("word")).agg(F.sum("uses").alias("uses"))
+        sent = _common(words).join(values, "word", "left")
+    table = spark.sparkContext.broadcast({row["word"]: row["value"] for row in sent.select("word", "value").collect()})
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in ("author_id", "comment_id"))
+    settled = texts.select("author_id", "comment_id", "text").mapInArrow(
+        lambda batches: _settled(batches, table.value, all_known), f"{kinds}, total double, hits long, rest string")
+    if all_known:
+        return settled.drop("rest")
+    settled = stage(settled, "settled")
+    left = settled.where("rest is not null").select("author_id", "comment_id", F.col("rest").alias("text"))
+    parts = _parts(left.agg(F.sum(F.octet_length("text"))).first()[0], texts)
     deal = F.pmod(F.xxhash64("author_id", "comment_id", "text"), F.lit(parts)).cast("long")
-    dealt = texts.select(deal.alias("part"), "author_id", "comment_id", "text").repartition(parts, "part")
+    dealt = left.select(deal.alias("part"), "author_id", "comment_id", "text").repartition(parts, "part")
     # A word that a task names twice finds its value twice, which changes nothing.
     wanted = dealt.mapInArrow(_distinct_words, "part long, word string")
     known = wanted.join(values, "word").select("part", "word", "value")
-    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in ("author_id", "comment_id"))
-    return dealt.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_score, f"{kinds}, total double, hits long")
+    scored = dealt.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_score, f"{kinds}, total double, hits long")
+    return settled.drop("rest").unionByName(scored)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palaver.functions.text import fingerprint, has_link
 from palaver.functions.time import entropy_of, per_day
 from palaver.operators.timeline import burstiness
-from palaver.operators.wording import variety, word_totals
+from palaver.operators.wording import Survey, survey, variety, word_totals
 
 _HOUR_BINS = [f"h{hour:02d}" for hour in range(24)]
 
@@ -22,9 +22,9 @@ def _named(comments: DataFrame) -> DataFrame:
     return comments.where("author_id is not null")
 
 
-def _variety(comments: DataFrame) -> DataFrame:
-    """Words, distinct words and distinct texts per author from one pass over the texts."""
-    return variety(_named(comments).select("author_id", "content", fingerprint(F.col("content")).alias("mark")))
+def _variety(comments: DataFrame, seen: Survey | None = None) -> DataFrame:
+    """Words, distinct words and distinct texts per author; texts stay where they are read."""
+    return variety(_named(comments).select("author_id", "content", fingerprint(F.col("content")).alias("mark")), seen)
 
 
 def lexical_diversity(comments: DataFrame) -> DataFrame:
@@ -46,11 +46,11 @@ def link_ratio(comments: DataFrame) -> DataFrame:
         F.avg(has_link(F.col("content")).cast("double")).alias("link_ratio"))
 
 
-def _polarity_sums(comments: DataFrame, lexicon: DataFrame) -> DataFrame:
+def _polarity_sums(comments: DataFrame, lexicon: DataFrame, seen: Survey | None = None) -> DataFrame:
     """Sum over an author's comments of the mean polarity of their lexicon words."""
     scores = lexicon.groupBy("word").agg(F.avg("polarity").alias("value")).where("value is not null")
     texts = _named(comments).select("author_id", "comment_id", F.lower("content").alias("text"))
-    per_comment = word_totals(texts, scores).groupBy("author_id", "comment_id").agg(
+    per_comment = word_totals(texts, scores, seen).groupBy("author_id", "comment_id").agg(
         F.try_divide(F.sum("total"), F.sum("hits")).alias("polarity"))
     return per_comment.groupBy("author_id").agg(F.sum("polarity").alias("polarity_sum"))
 
@@ -122,12 +122,14 @@ def _activity(comments: DataFrame) -> DataFrame:
 def author_features(comments: DataFrame, lexicon: DataFrame) -> DataFrame:
     """All seven features, one row per author.
 
-    Four tables of one row per author are joined; only the word tables ever move texts, once each.
+    Four tables of one row per author are joined. One survey of the words serves both word tables, and
+    no text is moved.
     """
+    seen = survey(_named(comments).select("author_id", "content"))
     joined = (
         _activity(comments)
-        .join(_variety(comments), "author_id")
-        .join(_polarity_sums(comments, lexicon), "author_id", "left")
+        .join(_variety(comments, seen), "author_id")
+        .join(_polarity_sums(comments, lexicon, seen), "author_id", "left")
         .join(burstiness(comments), "author_id", "left")
     )
     n = F.col("n").cast("double")

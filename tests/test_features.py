@@ -1,6 +1,7 @@
 import datetime as dt
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -224,3 +225,34 @@ def test_comments_are_stored_without_their_texts(spark, monkeypatch):
     assert kept == [[c for c in fx.comments(spark, sf_dir).columns if c != "content"]]
     plan = fx.comments(spark, sf_dir).select("comment_id", "author_id")._jdf.queryExecution().executedPlan().toString()
     assert "doc_id:" in plan and "text:" not in plan
+
+
+def test_no_text_is_shuffled_and_any_guess_of_common_words_will_do(spark, lexicon, request, monkeypatch):
+    """Few common words, small runs, values that don't fit, an author above a part's size."""
+    from palaver.operators import wording
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    request.addfinalizer(lambda old=spark.conf.get(key): spark.conf.set(key, old))
+    draw = random.Random(7)
+    pool = ["good", "bad", "Fair", "bär", "x", "X", *(f"w{i}" for i in range(400))]
+    rows = [(draw.choice([1, 1, 2, 3]), i, T0, " ".join(draw.choices(pool, k=draw.randint(0, 60)))) for i in range(200)]
+    df = spark.createDataFrame([(c, a, t, x, 2024) for a, c, t, x in rows], SCHEMA).repartition(3)
+    value = {"good": 1.0, "bad": -1.0, "fair": 0.5}
+    want, polar = {}, {}
+    for a, _, _, x in rows:
+        want.setdefault(a, []).extend(x.split())
+        hits = [value[w] for w in x.lower().split() if w in value]
+        polar.setdefault(a, []).append(sum(hits) / len(hits) if hits else 0.0)
+    texts = {a: len({r[3] for r in rows if r[0] == a}) for a in want}
+    for common, part in ((1 << 18, "64m"), (2, "64m"), (300, "8k"), (0, "8k")):
+        monkeypatch.setattr(wording, "_COMMON", common)
+        monkeypatch.setattr(wording, "_FACTS", 150)
+        spark.conf.set(key, part)
+        variety = ft._variety(df)
+        assert {r["author_id"]: (r["distinct_words"], r["n_words"], r["n_texts"]) for r in variety.collect()} == {
+            a: (len(set(ws)), len(ws), texts[a]) for a, ws in want.items()}
+        mood = ft.sentiment_polarity(df, lexicon)
+        assert {r["author_id"]: r["sentiment_polarity"] for r in mood.collect()} == pytest.approx({a: sum(p) / len(p) for a, p in polar.items()})
+        plan = variety._jdf.queryExecution().optimizedPlan().toString()
+        dealt = re.findall(r"(?:RepartitionByExpression|RebalancePartitions).*\n[\s:]*\+- (.*)", plan)
+        assert dealt and not any("content" in below for below in dealt if "MapInArrow" not in below), plan
