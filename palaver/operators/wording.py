@@ -23,7 +23,7 @@ from palaver.session import stage
 #: Texts that are Python strings at a time, and counted facts that a task keeps before it sends them on.
 _TEXTS, _FACTS = 64, 500_000
 #: Words that all tasks get to know at most, texts in which a task looks for them, and words that it names.
-_COMMON, _SURVEYED, _NAMED = 1 << 18, 20_000, 1 << 17
+_COMMON, _SURVEYED, _NAMED = 1 << 19, 20_000, 1 << 17
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -220,7 +220,7 @@ def variety(texts: DataFrame, seen: Survey | None = None) -> DataFrame:
     parts = _parts(seen.sizes.agg(F.sum("size")).first()[0], texts)
     large = seen.sizes.where(F.col("size") > _part_bytes(texts)).select("author_id")
     light = texts.join(large, "author_id", "left_anti") if not large.isEmpty() else texts
-    names = [row["word"] for row in _common(seen.words).collect()]
+    names = _common(seen.words).toArrow().column("word").to_pylist()
     codes = texts.sparkSession.sparkContext.broadcast({word: i for i, word in enumerate(names)})
 
     def compacted(some: DataFrame) -> DataFrame:
@@ -307,17 +307,18 @@ def word_totals(texts: DataFrame, values: DataFrame, seen: Survey | None = None)
 
     A table of values that is small enough goes to all tasks, and nothing else moves. Of a larger one the
     common words do, with a value or without. The words that this leaves are dealt into parts of about
-    the advisory size, a part's distinct words meet the table in a join, and what they found there comes
+    an eighth of the advisory size, a part's distinct words meet the table in a join, and what they found there comes
     back to the part as its own small table: neither the words nor the table need fit anywhere.
     """
-    spark = texts.sparkSession
+    spark, values = texts.sparkSession, stage(values, "values")
     all_known = values.limit(_COMMON + 1).count() <= _COMMON
     if all_known:
         sent = values
     else:
         words = (seen or survey(texts, "text")).words.groupBy(F.lower("word").alias("word")).agg(F.sum("uses").alias("uses"))
         sent = _common(words).join(values, "word", "left")
-    table = spark.sparkContext.broadcast({row["word"]: row["value"] for row in sent.select("word", "value").collect()})
+    table = sent.select("word", "value").toArrow()
+    table = spark.sparkContext.broadcast(dict(zip(table.column("word").to_pylist(), table.column("value").to_pylist())))
     kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in ("author_id", "comment_id"))
     settled = texts.select("author_id", "comment_id", "text").mapInArrow(
         lambda batches: _settled(batches, table.value, all_known), f"{kinds}, total double, hits long, rest string")
@@ -325,7 +326,8 @@ def word_totals(texts: DataFrame, values: DataFrame, seen: Survey | None = None)
         return settled.drop("rest")
     settled = stage(settled, "settled")
     left = settled.where("rest is not null").select("author_id", "comment_id", F.col("rest").alias("text"))
-    parts = _parts(left.agg(F.sum(F.octet_length("text"))).first()[0], texts)
+    # A word comes to every part that has it: a few large parts rather than many small ones.
+    parts = max(1, -(-8 * (left.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // _part_bytes(texts)))
     deal = F.pmod(F.xxhash64("author_id", "comment_id", "text"), F.lit(parts)).cast("long")
     dealt = left.select(deal.alias("part"), "author_id", "comment_id", "text").repartition(parts, "part")
     # A word that a task names twice finds its value twice, which changes nothing.
