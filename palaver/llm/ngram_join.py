@@ -13,13 +13,17 @@ the threshold asks for where that is less.
 2. Extended prefixes are indexed. Tokens with one set drop out. In each bucket every set is verified
    against the bucket's smallest: no bucket is expanded to pairs, however large. Verified links give
    components.
-3. Buckets whose sets are all in one component are done. In the others, pairs across components are
-   verified: by single tokens where a bucket is small (``RARE``), by combinations of two frequent
-   tokens of the extended prefix where it isn't. Two sets with a link either share a rare token or two
-   frequent ones, and all of these are in open buckets, so no link between components is lost.
-
-A pair whose extended prefixes have fewer tokens in common is no link. The rest is verified on whole
-sets, which one document of each sends; a fixed-size bitmap says which.
+3. Buckets whose sets are all in one component are done. All tokens that sets of two components share
+   are in the others, the open ones. Every set's open tokens are ordered alike again, small buckets first.
+   A pair across components is met at a token only if both sets have so many open tokens from there on as
+   a link needs in common: at the first token that linked sets share, they have. In a large bucket
+   (``RARE``) only sets of like size meet at all. First they only meet a few centres of each bucket
+   (``CENTRES``): components that these links make one need not meet any more.
+
+What a link needs: of the tokens that two linked sets share, at most those are outside of the extended
+prefixes that lie behind one of them, so all others are in both (``least_common``). For sets of like size
+that is far more than ``COMMON``. A pair whose extended prefixes have fewer tokens in common is no link. The
+rest is verified on whole sets, which one document of each sends; a fixed-size bitmap says which.
 
 Null, empty and wordless texts have empty sets and link with nothing; fewer than five words are one
 shingle. Rows without an id keep their set size and have no component. Repeated rows each get their
@@ -28,10 +32,12 @@ row. Columns other than id and text are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from palaver.llm import hashing
 from palaver.llm.common import documents, map_batches, stage
@@ -41,8 +47,10 @@ WIDTH = 5
 PERCENT = 75
 #: Chunk counts that make a token frequent at least, and tokens that may be.
 FREQUENT, MOST_FREQUENT = 16, 1 << 23
-#: Sets in a bucket that is compared pair by pair across components.
+#: Sets in an open bucket that meet whatever their sizes.
 RARE = 16
+#: Sets in an open bucket, of one size band, that all others meet before all meet each other.
+CENTRES = 8
 #: Tokens that extended prefixes of two linked sets have in common at least, if the sets have so many.
 COMMON = 32
 #: Sets in a block of the verification.
@@ -85,6 +93,13 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def least_common(n: str, m: str, percent: int = PERCENT) -> Column:
+    """Tokens that the extended prefixes of two sets of ``n`` and ``m`` tokens share at least, if they reach
+    the threshold: all that the sets must share but what may lie behind the prefix that ends first."""
+    overlap = F.ceil(percent * (F.col(n) + F.col(m)) / (100 + percent))
+    return overlap - F.greatest(F.lit(0), F.ceil(percent * F.greatest(n, m) / 100) - COMMON)
+
+
 def sets_and_counts(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node) of every row, and (token, n_chunk) of tokens that occur twice in a chunk."""
 
@@ -173,11 +188,10 @@ def verified(docs: DataFrame, pairs: DataFrame, indexed: DataFrame, width: int,
     document and indexed tokens: first the sizes, then the tokens in common of the extended prefixes
     must allow it, and only then whole sets are fetched, each from one document."""
     side = lambda end: indexed.select(*[F.col(c).alias(f"{c}_{end}") if c != "node" else F.col(c).alias(end) for c in ("node", "n", "first_doc", "tokens")])
-    least_common = F.least(F.lit(COMMON), F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent)))
     sized = stage(
         pairs.join(side("a"), "a").join(side("b"), "b")
         .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        .filter(F.size(F.array_intersect("tokens_a", "tokens_b")) >= least_common)
+        .filter(F.size(F.array_intersect("tokens_a", "tokens_b")) >= least_common("n_a", "n_b", percent))
         .select("a", "b", "n_a", "n_b", "first_doc_a", "first_doc_b"), "pairs")
     senders = sized.select(F.col("first_doc_a").alias("doc_id")).union(sized.select("first_doc_b")).distinct()
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(senders, "doc_id"))
@@ -209,6 +223,40 @@ def common_tokens(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         count, "a long, b long, n_a long, n_b long, common long")
 
 
+def open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """token, node, n, root and bucket's size of (token, node, n), where a bucket has sets of several components."""
+    placed = members.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
+    several = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low <> high")
+    return stage(placed.join(several.select("token", "size"), "token"), "open")
+
+
+def open_index(opened: DataFrame, percent: int) -> DataFrame:
+    """(token, band, node, root, n, open) by which sets of different components meet; ``open`` is the number of a set's
+    open tokens from that one on."""
+    # A set with a link across has this many open tokens in common with another, whatever that one's size:
+    # fewer rule it out, and of more the last ones can't be the first in common.
+    least = F.least(F.lit(COMMON), F.ceil(percent * F.col("n") / 100)).cast("int")
+    ranked = (opened.groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("size", "token"))).alias("open"))
+              .filter(F.size("open") >= least))
+    # Sizes that a link allows are in the same band or in the next; the sum is for rounding.
+    band = F.when(F.col("x.size") > RARE, F.floor(F.log("n") / (math.log(100 / percent) + 1e-9))).otherwise(-9)
+    first = F.slice("open", F.lit(1), F.size("open") - least + 1)
+    return stage(ranked.select("node", "root", "n", F.size("open").alias("n_open"), F.posexplode(first).alias("at", "x"))
+                 .select("x.token", band.alias("band"), "node", "root", "n", (F.col("n_open") - F.col("at")).alias("open")), "index")
+
+
+def across(index: DataFrame, some: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a > b, of a set of ``index`` and one of ``some`` of its rows in different components that may be linked."""
+    near = F.when(F.col("band") < 0, F.array("band")).otherwise(F.array(F.col("band") - 1, "band", F.col("band") + 1))
+    other = some.select("token", F.explode(near).alias("band"), F.col("node").alias("b"), F.col("root").alias("root_b"),
+                        F.col("n").alias("m"), F.col("open").alias("open_b"))
+    ordered = F.lit(True) if some is not index else F.col("node") > F.col("b")
+    return (index.join(other, ["token", "band"])
+            .filter((F.col("root") != F.col("root_b")) & ordered & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+                    & (F.least("open", "open_b") >= least_common("n", "m", percent)))
+            .select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct())
+
+
 def link_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     return set_classes(docs, width, percent).select("doc_id", "n_shingles", "component_id")
@@ -234,33 +282,19 @@ def set_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     first_links = verified(identified, star, indexed, width, percent)
 
     roots = components(first_links)
-    placed = buckets.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
-    open_buckets = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low <> high")
-    opened = stage(placed.join(open_buckets.select("token", "size"), "token")
-                   .join(nodes.select("node", "n"), "node"), "open")
-    # A set with a link across has this many open tokens in common with another: fewer rule it out,
-    # and of more only the rarest are indexed again, one longer than a common one needs.
-    least_common = F.least(F.lit(COMMON), F.ceil(percent * F.col("n") / 100)).cast("int")
-    ranked = (opened.groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("size", "token"))).alias("open"))
-              .filter(F.size("open") >= least_common)
-              .select("node", "root", "n", F.slice("open", F.lit(1), F.least(F.size("open"), F.size("open") - least_common + 2)).alias("open")))
-    ranked = stage(ranked, "ranked")
-    small = ranked.select("node", "root", "n", F.explode("open").alias("x")).filter(F.col("x.size") <= RARE).select("node", "root", "n", "x.token")
-    per_node = ranked.select("node", "root", "n", F.sort_array(F.transform(
-        F.filter("open", lambda x: x["size"] > RARE), lambda x: x["token"])).alias("tokens"))
-    combined = (per_node.select("node", "root", "n", "tokens", F.posexplode("tokens").alias("at", "first"))
-                .select("node", "root", "n", "first", F.explode(F.slice("tokens", F.col("at") + 2, F.size("tokens"))).alias("second")))
-
-    def across(index: DataFrame, key: list[str]) -> DataFrame:
-        other = index.select(*key, F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("m"))
-        return (index.join(other, key).filter((F.col("root") != F.col("root_b")) & (F.col("node") > F.col("b"))
-                                              & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-                .select(F.col("node").alias("a"), "b"))
-
-    more = across(small, ["token"]).union(across(combined, ["first", "second"])).distinct().join(star, ["a", "b"], "left_anti")
+    opened = open_buckets(buckets.join(nodes.select("node", "n"), "node"), roots)
+    index = open_index(opened, percent)
+    chosen = Window.partitionBy("token", "band").orderBy(F.xxhash64("node", "token"))
+    centres = index.withColumn("number", F.row_number().over(chosen)).filter(F.col("number") <= CENTRES)
+    among = stage(across(index, centres, percent).join(star, ["a", "b"], "left_anti"), "among")
+    centre_links = verified(identified, among, indexed, width, percent)
+    if not centre_links.isEmpty():
+        roots = components(first_links.union(centre_links))
+        index = open_index(open_buckets(opened.select("token", "node", "n"), roots), percent)
+    more = across(index, index, percent).join(star, ["a", "b"], "left_anti").join(among, ["a", "b"], "left_anti")
     second_links = verified(identified, more, indexed, width, percent)
     if not second_links.isEmpty():
-        roots = components(first_links.union(second_links))
+        roots = components(first_links.union(centre_links).union(second_links))
     labels = nodes.join(roots, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
     least = labels.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     classes = labels.join(least, "root").select("node", "root", "component_id")

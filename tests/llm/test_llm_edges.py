@@ -166,6 +166,52 @@ def test_join_of_chains(spark, monkeypatch, rare):
     assert values(ngram_join.link_classes(df)) == ordered(brute.link_classes(rows))
 
 
+def edited(r, text, edits):
+    text = list(text)
+    for _ in range(edits):
+        text[r.randrange(len(text))] = r.choice(VOCABULARY)
+    return text[r.randrange(12):len(text) - r.randrange(12)]
+
+
+@pytest.mark.parametrize("rare", [ngram_join.RARE, 0])
+def test_join_near_the_threshold(spark, monkeypatch, rare):
+    """Copies with so many edits that about as many pairs miss the threshold as reach it: hardly a pair that misses
+    it is looked at, none that reaches it is lost."""
+    monkeypatch.setattr(ngram_join, "RARE", rare)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 2)
+    looked, whole = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda docs, pairs, *more: looked.append(pairs.count()) or whole(docs, pairs, *more))
+    r, rows = random.Random(4), []
+    for group in range(3):
+        text = prose(300, 200 + group).split()
+        rows += [(len(rows) + i, " ".join(edited(r, text, r.randrange(5, 22)))) for i in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = ordered(brute.link_classes(rows))
+    assert values(ngram_join.link_classes(df)) == want and len({c for _, _, c in want}) > 6
+    assert sum(looked[1:]) < 200  # of about 900 pairs
+
+
+def test_least_common(spark):
+    """Sets that just reach the threshold share as much as is asked of their extended prefixes, whatever the order."""
+    r, cases = random.Random(6), []
+    for n in (1, 5, 30, 43, 60, 200, 400):
+        for m in sorted({n, n + n // 10, n + n // 4, n + n // 3}):
+            shared = -(-75 * (n + m) // 175)
+            for low in range(3):  # those that only one set has come first, last or anywhere
+                if shared <= n:
+                    order = r.sample(range(n + m - shared), n + m - shared)
+                    if low < 2:
+                        order.sort(reverse=low == 1)
+                    common = set(order[:shared] if low else order[-shared:])
+                    alone = [x for x in order if x not in common]
+                    sets = [sorted(common | set(alone[:n - shared])), sorted(common | set(alone[n - shared:]))]
+                    ends = [x[:ngram_join.prefix_size(len(x)) + ngram_join.COMMON - 1] for x in sets]
+                    cases.append((n, m, len(set(ends[0]) & set(ends[1]))))
+    asked = spark.createDataFrame(cases, "n long, m long, both long").withColumn("least", ngram_join.least_common("n", "m")).collect()
+    assert len(asked) > 60 and all(x["both"] >= x["least"] for x in asked)
+    assert [x["least"] for x in asked if x["n"] == x["m"] == 400] == [75] * 3
+
+
 def test_one_of_each(spark, docs):
     kept = values(ngram_join.one_of_each(spark, docs, ""), "doc_id", "text")
     want = {}
