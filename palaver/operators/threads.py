@@ -89,14 +89,15 @@ def walk(doc: Column, frontier: Column, steps: int, levels: int = STEP_LEVELS) -
     One expression goes down a whole document, ``levels`` levels a step, in a plan that does
     not grow with the depth. What lies below is named by its path and read in place, so no part of
     a document is copied and no depth costs stack. At any depth a field of the wrong type is null,
-    and a node that is no object has no fields.
+    and a node that is no object has no fields. The document is bound before the first step: as a mere column
+    it may be put in place of its name by the optimizer, and be parsed at every step.
     """
-    return F.aggregate(
+    return _let(doc, lambda whole: F.aggregate(
         F.sequence(F.lit(1), F.lit(steps)),
         F.struct(frontier.alias("frontier"), F.array().cast(_FOUND).alias("found")),
         lambda state, _: F.when(F.size(state["frontier"]) == 0, state).otherwise(_let(
-            _step(doc, state["frontier"], levels), lambda done: F.struct(
-                done["frontier"].alias("frontier"), F.concat(state["found"], done["found"]).alias("found")))))
+            _step(whole, state["frontier"], levels), lambda done: F.struct(
+                done["frontier"].alias("frontier"), F.concat(state["found"], done["found"]).alias("found"))))))
 
 
 def flatten_documents(opened: DataFrame, parse: Callable[[str], Column]) -> DataFrame:

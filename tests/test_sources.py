@@ -3,6 +3,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from palaver.operators import crawl, threads
 from palaver.plans import loads
@@ -168,6 +169,18 @@ def test_flatten_undoes_nesting_at_any_depth(spark, tmp_path, monkeypatch):
     assert depths.join(rows, "comment_id").where("depth <> counted").count() == 0
 
 
+def test_a_deep_document_is_parsed_once_a_round(spark):
+    """The parse stands outside of the loop over the steps, however the optimizer puts expressions together."""
+    text = F.concat(F.lit('{"comments": [{"id": 1, "child_comments": [{"id": '), F.col("id"), F.lit("}]}]}"))
+    top = F.struct(F.lit(0).alias("depth"), F.lit(None).alias("parent_comment_id"), F.lit("$.comments[0]").alias("at"))
+    opened = spark.range(7, 8).repartition(1).select(text.alias("text"), F.array(top).cast(threads._FRONTIER).alias("frontier"))
+    walked = opened.withColumn("doc", comments.parsed("text")).select(
+        threads.walk(F.col("doc"), F.col("frontier"), 4, 1).alias("walked")).select("walked.found", "walked.frontier")
+    plan = walked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("from_json(") < plan.index("aggregate(")
+    assert [x["comment_id"] for x in walked.first()["found"]] == [1, 7]
+
+
 def test_thread_depth_by_hand(spark):
     kind = "comment_id bigint, parent_comment_id bigint"
     links = [(1, None), (2, 1), (3, 2), (4, 1), (5, 999), (6, 5)] + [(i, 1) for i in range(100, 140)]
