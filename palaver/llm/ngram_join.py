@@ -17,7 +17,7 @@ the threshold asks for where that is less.
    are in the others, the open ones. Every set's open tokens are ordered alike again, small buckets first.
    A pair across components is met at a token only if both sets have so many open tokens from there on as
    a link needs in common: at the first token that linked sets share, they have. In a large bucket
-   (``RARE``) only sets of like size meet at all. First they only meet a few centres of each bucket
+   (``RARE``) only sets of like size meet at all. Where buckets are crowded, they first meet a few centres of each
    (``CENTRES``): components that these links make one need not meet any more.
 
 What a link needs: of the tokens that two linked sets share, at most those are outside of the extended
@@ -51,6 +51,8 @@ FREQUENT, MOST_FREQUENT = 16, 1 << 23
 RARE = 16
 #: Sets in an open bucket, of one size band, that all others meet before all meet each other.
 CENTRES = 8
+#: Pairs in open buckets for each of their sets, from which on centres come first.
+CROWDED = 32
 #: Tokens that extended prefixes of two linked sets have in common at least, if the sets have so many.
 COMMON = 32
 #: Sets in a block of the verification.
@@ -245,6 +247,12 @@ def open_index(opened: DataFrame, percent: int) -> DataFrame:
                  .select("x.token", band.alias("band"), "node", "root", "n", (F.col("n_open") - F.col("at")).alias("open")), "index")
 
 
+def crowded(index: DataFrame) -> bool:
+    """Whether buckets hold many pairs for each of their sets."""
+    buckets = index.groupBy("token", "band").count().agg(F.sum("count").alias("sets"), F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs"))
+    return buckets.filter(F.col("pairs") > CROWDED * F.col("sets")).count() > 0
+
+
 def across(index: DataFrame, some: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), a > b, of a set of ``index`` and one of ``some`` of its rows in different components that may be linked."""
     near = F.when(F.col("band") < 0, F.array("band")).otherwise(F.array(F.col("band") - 1, "band", F.col("band") + 1))
@@ -284,17 +292,18 @@ def set_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     roots = components(first_links)
     opened = open_buckets(buckets.join(nodes.select("node", "n"), "node"), roots)
     index = open_index(opened, percent)
-    chosen = Window.partitionBy("token", "band").orderBy(F.xxhash64("node", "token"))
-    centres = index.withColumn("number", F.row_number().over(chosen)).filter(F.col("number") <= CENTRES)
-    among = stage(across(index, centres, percent).join(star, ["a", "b"], "left_anti"), "among")
-    centre_links = verified(identified, among, indexed, width, percent)
-    if not centre_links.isEmpty():
-        roots = components(first_links.union(centre_links))
+    links, looked_at = first_links, star
+    if crowded(index):
+        chosen = Window.partitionBy("token", "band").orderBy(F.xxhash64("node", "token"))
+        centres = index.withColumn("number", F.row_number().over(chosen)).filter(F.col("number") <= CENTRES)
+        among = stage(across(index, centres, percent).join(star, ["a", "b"], "left_anti"), "among")
+        links, looked_at = links.union(verified(identified, among, indexed, width, percent)), star.union(among)
+        roots = components(links)
         index = open_index(open_buckets(opened.select("token", "node", "n"), roots), percent)
-    more = across(index, index, percent).join(star, ["a", "b"], "left_anti").join(among, ["a", "b"], "left_anti")
+    more = across(index, index, percent).join(looked_at, ["a", "b"], "left_anti")
     second_links = verified(identified, more, indexed, width, percent)
     if not second_links.isEmpty():
-        roots = components(first_links.union(centre_links).union(second_links))
+        roots = components(links.union(second_links))
     labels = nodes.join(roots, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
     least = labels.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     classes = labels.join(least, "root").select("node", "root", "component_id")

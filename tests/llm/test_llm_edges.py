@@ -173,11 +173,12 @@ def edited(r, text, edits):
     return text[r.randrange(12):len(text) - r.randrange(12)]
 
 
-@pytest.mark.parametrize("rare", [ngram_join.RARE, 0])
-def test_join_near_the_threshold(spark, monkeypatch, rare):
+@pytest.mark.parametrize("rare, crowd", [(ngram_join.RARE, ngram_join.CROWDED), (0, 0)])
+def test_join_near_the_threshold(spark, monkeypatch, rare, crowd):
     """Copies with so many edits that about as many pairs miss the threshold as reach it: hardly a pair that misses
     it is looked at, none that reaches it is lost."""
     monkeypatch.setattr(ngram_join, "RARE", rare)
+    monkeypatch.setattr(ngram_join, "CROWDED", crowd)
     monkeypatch.setattr(ngram_join, "FREQUENT", 2)
     looked, whole = [], ngram_join.verified
     monkeypatch.setattr(ngram_join, "verified", lambda docs, pairs, *more: looked.append(pairs.count()) or whole(docs, pairs, *more))
@@ -188,7 +189,7 @@ def test_join_near_the_threshold(spark, monkeypatch, rare):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = ordered(brute.link_classes(rows))
     assert values(ngram_join.link_classes(df)) == want and len({c for _, _, c in want}) > 6
-    assert sum(looked[1:]) < 200  # of about 900 pairs
+    assert len(looked) == (3 if crowd == 0 else 2) and sum(looked[1:]) < 200  # of about 900 pairs
 
 
 def test_least_common(spark):
