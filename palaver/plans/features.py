@@ -14,6 +14,7 @@ from palaver.functions.text import fingerprint, has_link
 from palaver.functions.time import entropy_of, per_day
 from palaver.operators.timeline import burstiness
 from palaver.operators.wording import Survey, survey, variety, word_totals
+from palaver.session import stage
 
 _HOUR_BINS = [f"h{hour:02d}" for hour in range(24)]
 
@@ -122,15 +123,15 @@ def _activity(comments: DataFrame) -> DataFrame:
 def author_features(comments: DataFrame, lexicon: DataFrame) -> DataFrame:
     """All seven features, one row per author.
 
-    Four tables of one row per author are joined. One survey of the words serves both word tables, and
-    no text is moved.
+    Four tables of one row per author are stored and joined, so that what one of them shuffles has left the
+    disk before the next begins. One survey of the words serves both word tables, and no text is moved.
     """
     seen = survey(_named(comments).select("author_id", "content"))
     joined = (
-        _activity(comments)
-        .join(_variety(comments, seen), "author_id")
-        .join(_polarity_sums(comments, lexicon, seen), "author_id", "left")
-        .join(burstiness(comments), "author_id", "left")
+        stage(_activity(comments), "activity")
+        .join(stage(_variety(comments, seen), "variety"), "author_id")
+        .join(stage(_polarity_sums(comments, lexicon, seen), "polarity"), "author_id", "left")
+        .join(stage(burstiness(comments), "burstiness"), "author_id", "left")
     )
     n = F.col("n").cast("double")
     return joined.select(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -41,14 +43,29 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/palaver/{spark.sparkContext.applicationId}"
 
 
+#: Shuffle files go when the query that wrote them ends, not when the driver next collects its garbage.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_DROP_SHUFFLES)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+
+
 def stage(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = (), **options: str) -> DataFrame:
     """Write ``df`` to the work folder and read it back.
 
     Cuts the lineage, survives lost executors, and keeps column pruning and filter
-    pushdown for whatever reads the result.
+    pushdown for whatever reads the result. What was shuffled on the way is dropped: nothing reads it again.
     """
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).partitionBy(*partition_by).parquet(path)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.options(**options).partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

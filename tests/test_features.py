@@ -1,7 +1,9 @@
 import datetime as dt
 import hashlib
+import os
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from palaver.functions.text import words
 from palaver.plans import features as ft
 from palaver.schemas import FEATURES
+from palaver.session import stage, work_dir
 from palaver.operators import timeline
 
 SCHEMA = "comment_id bigint, author_id bigint, creation_datetime timestamp_ntz, content string, year int"
@@ -256,3 +259,27 @@ def test_no_text_is_shuffled_and_any_guess_of_common_words_will_do(spark, lexico
         plan = variety._jdf.queryExecution().optimizedPlan().toString()
         dealt = re.findall(r"(?:RepartitionByExpression|RebalancePartitions).*\n[\s:]*\+- (.*)", plan)
         assert dealt and not any("content" in below for below in dealt if "MapInArrow" not in below), plan
+
+
+def shuffle_files(spark):
+    folders = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    return {name for folder in folders for _, _, names in os.walk(folder) for name in names if name.startswith("shuffle_")}
+
+
+def test_stage_leaves_no_shuffle(spark):
+    before = shuffle_files(spark)
+    stored = stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    until = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert sorted(r["count"] for r in stored.collect()) == [142] * 1 + [143] * 6
+
+
+def test_feature_tables_are_stored_one_by_one(spark, lexicon):
+    folder = work_dir(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    ft.author_features(frame(spark, [(1, at(0), "good"), (2, at(1), "bad")]), lexicon)
+    new = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert {"activity", "variety", "polarity", "burstiness"} <= new
