@@ -13,6 +13,8 @@ from palaver.llm.hashing import mix, set_bit
 #: Bits of a bitmap: 16 MB, at any input size.
 BITS = 1 << 27
 SLICES = 64
+#: Tasks that fill slices, and jobs that bring these to the driver, one task's at a time.
+FILLERS = 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -52,7 +54,7 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
         return pd.DataFrame({"slice": [int(at[0] // span)], "bits": [np.packbits(part, bitorder="little").tobytes()]})
 
     found = (keys.select(F.col(column).cast("long").alias("key")).mapInPandas(places, "bit long").distinct()
-             .groupBy(F.floor(F.col("bit") / span).alias("slice_no")).applyInPandas(fill, "slice long, bits binary"))
+             .groupBy(F.floor(F.col("bit") / span).alias("slice_no")).applyInPandas(fill, "slice long, bits binary").coalesce(FILLERS))
     bits = np.zeros(BITS // 8, np.uint8)
     for row in found.toLocalIterator():
         bits[row["slice"] * (span // 8):(row["slice"] + 1) * (span // 8)] = np.frombuffer(row["bits"], np.uint8)

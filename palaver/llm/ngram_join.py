@@ -198,6 +198,7 @@ def verified(docs: DataFrame, pairs: DataFrame, indexed: DataFrame, width: int,
     senders = sized.select(F.col("first_doc_a").alias("doc_id")).union(sized.select("first_doc_b")).distinct()
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(senders, "doc_id"))
     sets = stage(candidate_sets(docs, wanted, width), "candidates")
+    wanted.destroy()  # else every executor keeps it on its disk
     return stage(common_tokens(sized, sets).filter(
         100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b").distinct(), "edges")
 
@@ -282,6 +283,7 @@ def set_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     index = prefixes(identified, frequent, width, percent)
     shared = index.groupBy("token").agg(F.count("*").alias("rows")).filter("rows > 1")
     buckets = stage(index.join(shared.select("token"), "token").distinct(), "buckets")
+    frequent.destroy()
 
     lists = buckets.groupBy("node").agg(F.collect_list("token").alias("tokens"))
     indexed = stage(nodes.join(lists, "node"), "indexed")

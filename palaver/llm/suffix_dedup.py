@@ -302,7 +302,9 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Data
     copied = tuples.filter("n > 1").select("tuple", F.lit(None).cast("binary").alias("flags"))
     lost = stage(copied.union(flags.join(copied.select("tuple"), "tuple", "left_anti")), "flags")
     found = places_of(docs, shared, length).join(lost, "tuple")
-    return stage(found.groupBy("row_key").agg(F.collect_list(F.struct("first", "reach", "times", "flags")).alias("spans")), "spans")
+    spans = stage(found.groupBy("row_key").agg(F.collect_list(F.struct("first", "reach", "times", "flags")).alias("spans")), "spans")
+    shared.destroy()  # else every executor keeps it on its disk
+    return spans
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

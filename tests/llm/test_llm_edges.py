@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from palaver.llm import (  # noqa: E402
-    bpe_automaton, cross_polytope, hashing, html_extract, license_scan, ngram_join, packing, quality_rules, recompression, suffix_dedup, token_counts)
+    bpe_automaton, cross_polytope, graph, hashing, html_extract, license_scan, ngram_join, packing, quality_rules, recompression, suffix_dedup, token_counts)
 
 COLUMNS = "doc_id long, text string, words string, node long, token long, spans string, row_key long, n long, file int, kept string"
 rng = random.Random(3)
@@ -437,3 +437,31 @@ def test_the_table_of_pieces_stays_small(monkeypatch):
     monkeypatch.setattr(bt, "KEPT_PIECES", 50)
     tokens.pieces.clear()
     assert tokens.encode(text) == whole and len(tokens.pieces) <= 50
+
+
+def test_bitmaps_leave_the_disk(spark):
+    """What tasks got to know is dropped as soon as what they made with it is stored."""
+    docs = spark.createDataFrame([(i, prose(90, i % 4) + f" {i % 3}") for i in range(12)], "doc_id long, text string")
+    folder = spark.sparkContext._temp_dir
+    before = set(os.listdir(folder))
+    classes = ngram_join.set_classes(docs)
+    spans = suffix_dedup.removed_spans(docs)
+    assert set(os.listdir(folder)) <= before
+    assert classes.count() == 12 and spans.count()
+
+
+def test_bitmap_comes_in_few_jobs(spark):
+    keys = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in keys}
+    context = spark.sparkContext
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("bits", "bits")
+        bits = graph.bitmap(spark.range(5000), "id")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(context.statusTracker().getJobIdsForGroup("bits")) < 40
+    assert hashing.set_bit(bits, np.arange(5000, dtype=np.uint64)).all()
