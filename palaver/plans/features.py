@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palaver.functions.text import fingerprint, has_link
 from palaver.functions.time import entropy_of, per_day
 from palaver.operators.timeline import burstiness
-from palaver.operators.wording import Survey, survey, variety, word_totals
+from palaver.operators.wording import survey, variety, variety_and_totals, word_totals
 from palaver.session import stage
 
 _HOUR_BINS = [f"h{hour:02d}" for hour in range(24)]
@@ -23,9 +23,13 @@ def _named(comments: DataFrame) -> DataFrame:
     return comments.where("author_id is not null")
 
 
-def _variety(comments: DataFrame, seen: Survey | None = None) -> DataFrame:
+def _marked(comments: DataFrame) -> DataFrame:
+    return _named(comments).withColumn("mark", fingerprint(F.col("content")))
+
+
+def _variety(comments: DataFrame) -> DataFrame:
     """Words, distinct words and distinct texts per author; texts stay where they are read."""
-    return variety(_named(comments).select("author_id", "content", fingerprint(F.col("content")).alias("mark")), seen)
+    return variety(_marked(comments).select("author_id", "content", "mark"))
 
 
 def lexical_diversity(comments: DataFrame) -> DataFrame:
@@ -47,11 +51,13 @@ def link_ratio(comments: DataFrame) -> DataFrame:
         F.avg(has_link(F.col("content")).cast("double")).alias("link_ratio"))
 
 
-def _polarity_sums(comments: DataFrame, lexicon: DataFrame, seen: Survey | None = None) -> DataFrame:
+def _word_values(lexicon: DataFrame) -> DataFrame:
+    return lexicon.groupBy("word").agg(F.avg("polarity").alias("value")).where("value is not null")
+
+
+def _polarity_sums(totals: DataFrame) -> DataFrame:
     """Sum over an author's comments of the mean polarity of their lexicon words."""
-    scores = lexicon.groupBy("word").agg(F.avg("polarity").alias("value")).where("value is not null")
-    texts = _named(comments).select("author_id", "comment_id", F.lower("content").alias("text"))
-    per_comment = word_totals(texts, scores, seen).groupBy("author_id", "comment_id").agg(
+    per_comment = totals.groupBy("author_id", "comment_id").agg(
         F.try_divide(F.sum("total"), F.sum("hits")).alias("polarity"))
     return per_comment.groupBy("author_id").agg(F.sum("polarity").alias("polarity_sum"))
 
@@ -63,7 +69,8 @@ def sentiment_polarity(comments: DataFrame, lexicon: DataFrame) -> DataFrame:
     none. Negation and intensifiers are not modelled.
     """
     sizes = _named(comments).groupBy("author_id").agg(F.count("*").alias("n"))
-    return sizes.join(_polarity_sums(comments, lexicon), "author_id", "left").select(
+    totals = word_totals(_named(comments).select("author_id", "comment_id", "content"), _word_values(lexicon))
+    return sizes.join(_polarity_sums(totals), "author_id", "left").select(
         "author_id",
         (F.coalesce("polarity_sum", F.lit(0.0)) / F.col("n")).alias("sentiment_polarity"))
 
@@ -108,29 +115,30 @@ def hour_entropy(comments: DataFrame) -> DataFrame:
 
 
 def _activity(comments: DataFrame) -> DataFrame:
-    """Everything that is a plain sum, minimum or maximum, in one pass over the comments."""
+    """Everything that needs no text, in one pass over the comments."""
     ts = F.col("creation_datetime")
     return _named(comments).groupBy("author_id").agg(
         F.count("*").alias("n"),
         F.count(ts).alias("n_dated"),
-        F.count_if(has_link(F.col("content"))).alias("n_links"),
         F.min(ts).alias("first_at"),
         F.max(ts).alias("last_at"),
         *_hour_counts(),
-    )
+    ).select("author_id", "n", "n_dated", "first_at", "last_at", _hour_entropy())
 
 
 def author_features(comments: DataFrame, lexicon: DataFrame) -> DataFrame:
     """All seven features, one row per author.
 
     Four tables of one row per author are stored and joined, so that what one of them shuffles has left the
-    disk before the next begins. One survey of the words serves both word tables, and no text is moved.
+    disk before the next begins. Texts are surveyed, then cut into words once for all that is asked of them, and
+    none is moved.
     """
-    seen = survey(_named(comments).select("author_id", "content"))
+    texts = _marked(comments).select("author_id", "comment_id", "content", "mark")
+    words, totals = variety_and_totals(texts, _word_values(lexicon), survey(texts))
     joined = (
         stage(_activity(comments), "activity")
-        .join(stage(_variety(comments, seen), "variety"), "author_id")
-        .join(stage(_polarity_sums(comments, lexicon, seen), "polarity"), "author_id", "left")
+        .join(stage(words, "variety"), "author_id")
+        .join(stage(_polarity_sums(totals), "polarity"), "author_id", "left")
         .join(stage(burstiness(comments), "burstiness"), "author_id", "left")
     )
     n = F.col("n").cast("double")
@@ -145,7 +153,7 @@ def author_features(comments: DataFrame, lexicon: DataFrame) -> DataFrame:
             "comments_per_day"),
         F.when(F.col("n_dated") < 2, 0.0).otherwise(F.col("burstiness_hours")).alias(
             "burstiness_hours"),
-        _hour_entropy(),
+        "hour_entropy",
     )
 
 

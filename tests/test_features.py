@@ -283,3 +283,75 @@ def test_feature_tables_are_stored_one_by_one(spark, lexicon):
     ft.author_features(frame(spark, [(1, at(0), "good"), (2, at(1), "bad")]), lexicon)
     new = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
     assert {"activity", "variety", "polarity", "burstiness"} <= new
+
+
+def test_texts_are_read_once_for_all_features(spark, lexicon, monkeypatch):
+    """A survey and one cut into words: no other stored table looks at a text."""
+    from palaver.operators import wording
+
+    plans = {}
+
+    def watched(df, name="stage", *a, **o):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stage(df, name, *a, **o)
+
+    rows = [(i % 4, at(i), t) for i, t in enumerate(["good HTTP://x", None, "so bad", " hTTp", "http", "ht tp", "", "Good a\u00a0b"])]
+    df = frame(spark, rows)
+    for module in (wording, ft, timeline):
+        monkeypatch.setattr(module, "stage", watched)
+    got = {r["author_id"]: r["link_ratio"] for r in ft.author_features(df, lexicon).collect()}
+    assert got == {r["author_id"]: r["link_ratio"] for r in ft.link_ratio(df).collect()} == {0: 1.0, 1: 0.0, 2: 0.0, 3: 0.5}
+    sent = {name for name, plan in plans.items() if re.search(r"MapInArrow [^(]*\([^)]*\b(content|text)#", plan)}
+    assert sent == {"survey", "words"} and "lower(content" not in plans["activity"]
+
+
+def test_words_are_cut_coded_and_packed_exactly():
+    import numpy as np
+    import pyarrow as pa
+    from palaver.operators import wording
+
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    texts = [None, "", " ", "a", *(f"{s}x{s}{s}yz{s}" for s in spaces), "a\u200bb \u0000 \u0000b", "\ufeffq q q"]
+    words, word, row = wording._cut(pa.array(texts, pa.string()))
+    cut = [[] for _ in texts]
+    for w, r in zip(word, row):
+        cut[r].append(words[int(w)].as_py())
+    assert cut == [(t or "").split() for t in texts]
+    # Long words that differ in the middle only share a place: one is common there, none is taken for another.
+    common = ["", "b", "\u0000", "b\u0000", *("12345678" + m + "abcdefgh" for m in "xyz"), *(f"w{i}" for i in range(3000))]
+    known = wording.Known.of(pa.array(common), np.zeros(len(common), bool), np.zeros(len(common)))
+    for some in (common, ["nothing", "12345678qabcdefgh", "\u0000\u0000", *common[::-1]]):
+        found = known.codes(pa.array(some))
+        assert all(c == -1 or common[c] == w for c, w in zip(found, some))
+        assert np.mean(found >= 0) > 0.9 and (found[[some.index(w) for w in common[4:7]]] >= 0).sum() == 1
+    groups = [[], [0], [5, 127, 128, 300, 1 << 14, (1 << 21) - 1], [], [7, 8], [0, 1 << 19]]
+    flat = [(g, c) for g, codes in enumerate(groups) for c in codes]
+    packed = wording._packed(*(np.array(column) for column in zip(*flat)), len(groups))
+    for begin, end in ((0, 6), (2, 5), (3, 4)):
+        codes, bounds = wording._unpacked(packed[begin:end])
+        assert [codes[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == groups[begin:end]
+
+
+def test_an_author_spans_tables_of_compacted_rows(spark, lexicon, monkeypatch):
+    """Rows of an author that fill several tables meet once; tables of one row, and of all rows."""
+    import pyarrow as pa
+    from palaver.operators import wording
+
+    rows = [{"author_id": a, "n_words": 2, "n_links": 1, "codes": bytes([c]), "rest": rest, "marks": mark}
+            for a, c, rest, mark in [(1, 3, "x", "m"), (1, 3, "x\ny", "m"), (1, 4, "", "n"), (2, 9, "", "m"), (3, 1, "z", "m\nn"), (3, 1, "z", "m"), (3, 2, "", "o")]]
+    batch = pa.RecordBatch.from_pylist(rows)
+    for size in (1, 60, 1 << 20):
+        monkeypatch.setattr(wording, "_CUT", size)
+        got = [r for b in wording._varied(iter(batch.slice(i, 3) for i in range(0, 7, 3))) for r in b.to_pylist()]
+        assert [tuple(r.values()) for r in got] == [(1, 2, 4, 6, 3), (2, 1, 1, 2, 1), (3, 3, 3, 6, 3)]
+
+
+def test_the_lexicon_has_every_word_of_the_documents(spark, tmp_path):
+    from palaver import fixtures as fx
+
+    texts = [None, "", "  ", "One one\tTWO\u00a0x\u000bthree\u001cfour\r\n", "\u039f\u03a3 \u039f\u03a3. \u0130", "one ONE"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = spark.read.parquet(str(tmp_path / "documents.parquet")).select(
+        F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''").distinct()
+    got = [tuple(r) for r in fx.lexicon(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((r["word"], (len(r["word"]) % 5 - 2) / 2) for r in want.collect())
