@@ -16,16 +16,22 @@ from palaver.sources.snapshots import Change, Store
 def append_new(
     store: Store, table: str, batch: DataFrame, schema: StructType, key: str, order_by: list[str]
 ) -> DataFrame:
+    """``add_new``, and the table as it is then."""
+    add_new(store, table, batch, schema, key, order_by)
+    return store.read(table, schema)
+
+
+def add_new(store: Store, table: str, batch: DataFrame, schema: StructType, key: str, order_by: list[str]) -> None:
     """Append rows whose key the table does not hold yet; repeating a batch adds nothing.
 
     Of the stored keys only those that the batch has, too, are held against it: the side that
-    Spark may broadcast is never larger than the batch, however large the table.
+    Spark may broadcast is never larger than the batch, however large the table. From time to time the
+    keys of all folders are stored together, so that a batch after many others opens few folders.
     """
     sent = batch.select(key).where(F.col(key).isNotNull()).distinct()
-    held = store.read(table, schema).select(key).join(sent, key, "left_semi")
-    fresh = insert_ignore(held, batch, [key], order_by)
-    store.commit(Change(table, fresh.select(*schema.names)))
-    return store.read(table, schema)
+    stored = store.keys(table, schema, key)
+    fresh = insert_ignore(stored.rows.join(sent, key, "left_semi"), batch, [key], order_by)
+    store.commit(Change(table, fresh.select(*schema.names)), *stored.gathered())
 
 
 #: Writer options of the comment table: a filter per row group says whether an id can be in it.

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from palaver.schemas import POSTS, RAW_POST_DAY
 from palaver.sources.posts import FILE_PATTERN, flatten_posts, with_file_name
 from palaver.sources.snapshots import Store
-from palaver.sources.tables import append_new
+from palaver.sources.tables import add_new
 
 
 def ingest_posts(
@@ -20,7 +20,7 @@ def ingest_posts(
     """
 
     def load(batch: DataFrame, _: int) -> None:
-        append_new(store, table, flatten_posts(batch), POSTS, "id", ["file", "pos"])
+        add_new(store, table, flatten_posts(batch), POSTS, "id", ["file", "pos"])
 
     days = with_file_name(
         spark.readStream.schema(RAW_POST_DAY)

@@ -241,6 +241,33 @@ def test_stream_resumes_and_ignores_known_posts(spark, tmp_path):
     assert sorted((r["id"], r["title"]) for r in rows) == [("p1", "a"), ("p2", "a"), ("p3", "b")]
 
 
+def test_a_late_batch_opens_few_folders(spark, tmp_path, monkeypatch):
+    """Many small batches: keys are read from a bounded number of folders, and each manifest without a job."""
+    from palaver.sources import snapshots
+    from palaver.sources.snapshots import Change, Store
+
+    monkeypatch.setattr(snapshots, "LOOSE_FOLDERS", 3)
+    root, store, opened = tmp_path / "in", Store(spark, str(tmp_path / "store")), []
+    read = Store._read
+    monkeypatch.setattr(Store, "_read", lambda self, table, schema, folders: opened.append(len(folders or [])) or read(self, table, schema, folders))
+    for day in range(1, 13):  # every file has one new post and two that are known
+        write(root, f"api_date_2024-01-{day:02d}.json", {"items": [post(i, title=f"d{day}") for i in (day, day + 1, day + 2)]})
+    ingest_posts(spark, str(root), store, str(tmp_path / "cp"), files_per_batch=1)
+    assert store.version() == 12 and max(opened) <= 4
+    rows = [(int(r["id"][1:]), int(r["title"][1:])) for r in store.read("posts", POSTS).collect()]
+    assert sorted(i for i, _ in rows) == list(range(1, 15)) and all(day <= i <= day + 2 for i, day in rows)
+    # Keys that were stored together don't outlive the folders they stand for.
+    late = Store(spark, store.root)
+    late.commit(Change("posts", late.read("posts", POSTS).where("id in ('p1', 'p7')"), replace=True))
+    assert sorted(r["id"] for r in store.keys("posts", POSTS, "id").rows.collect()) == ["p1", "p7"]
+    again = posts.flatten_posts(posts.read_post_days(spark, str(root)))
+    assert tables.append_new(store, "posts", again, POSTS, "id", ["file", "pos"]).count() == 14
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("states", "no job")
+    assert store.version() == 14 and len(store.folders()["posts"]) == 2 and len(jobs.getJobIdsForGroup("states")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_first_file_wins_within_a_batch(spark, tmp_path):
     root, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
     for day in ("02", "01"):
