@@ -68,6 +68,24 @@ def test_silhouettes_match_brute_force(spark, panel_rows):
     assert silhouette_squared(df, XY) == pytest.approx(brute_silhouette(rows, labels, 2))
 
 
+def test_distances_come_in_small_tiles(spark):
+    """Sides that are no multiple of a tile's, equal rows, and a silhouette over several tiles of a panel."""
+    from palaver.operators import segmentation
+
+    x, y = np.random.default_rng(4).normal(size=(2, 600, 7))
+    y = np.concatenate([y, x[:5]])[:563]
+    whole = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
+    got = np.full(whole.shape, np.nan)
+    for s, t, tile in segmentation._distances(x, y):
+        assert tile.nbytes <= 8 * segmentation.SIDE**2 <= 1 << 20
+        got[s:s + len(tile), t:t + tile.shape[1]] = tile
+    assert got == pytest.approx(whole, abs=1e-6)
+    rows = blobs(3, [(0, 0), (1, 1), (3, 0)], 200)
+    df = points(spark, rows).withColumn("segment", F.floor(F.col("author_id") / 200).cast("int"))
+    want = pytest.approx(brute_silhouette(rows, [i // 200 for i in range(600)], 1))
+    assert silhouette_exact(df, XY).first()["score"] == want == silhouette_exact(df, XY, panel_rows=600).first()["score"]
+
+
 @pytest.mark.parametrize("metric", ["squared", "euclidean"])
 def test_segments_find_separate_blobs(spark, metric):
     centres = [(0, 0), (5, 5), (0, 5)]
