@@ -26,7 +26,7 @@ _TEXTS, _FACTS = 64, 500_000
 #: Bytes of text that are cut into words at a time: tables of their words fit a processor's cache.
 _CUT = 4 << 20
 #: Words that all tasks get to know at most, texts in which a task looks for them, and words that it names.
-_COMMON, _SURVEYED, _NAMED = 1 << 19, 4_000, 1 << 17
+_COMMON, _SURVEYED, _NAMED = 1 << 20, 4_000, 1 << 18
 #: Row numbers of a partition begin at a multiple of this (monotonically_increasing_id).
 _ROWS_OF_PARTITION = 1 << 33
 #: Words of a run that travel as one row.
@@ -210,7 +210,7 @@ class Known:
 
     @staticmethod
     def of(words: pa.Array, has: np.ndarray, value: np.ndarray) -> Known:
-        code_at = np.full(1 << max(8, (8 * len(words)).bit_length()), -1, np.int32)
+        code_at = np.full(1 << max(8, (8 * len(words) - 1).bit_length()), -1, np.int32)
         places = _places(words, len(code_at).bit_length() - 1)
         code_at[places[::-1]] = np.arange(len(words), dtype=np.int32)[::-1]
         return Known(words, has, value, code_at)
