@@ -363,7 +363,7 @@ def _varied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _met(pa.concat_tables(kept))
 
 
-def _used(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _used(batches: Iterator[pa.RecordBatch], names: pa.Array) -> Iterator[pa.RecordBatch]:
     """``author_id``, ``fact``, ``n_words``, ``n_links`` of compacted rows: what authors used, once per run, and a row without
     a fact for the numbers of words and links. A text's mark starts with a space, which no word does."""
     kind, used, counted, linked, held = None, {}, Counter(), Counter(), 0
@@ -383,11 +383,12 @@ def _used(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Re
         for start in range(0, whole.num_rows, _TEXTS):
             b = whole.slice(start, _TEXTS)
             numbers, bounds = _unpacked(b.column("codes"))
+            named = names.take(pa.array(numbers)).to_pylist()
             rows = zip(*(b.column(c).to_pylist() for c in ("author_id", "n_words", "n_links", "rest", "marks")))
             for i, (author, n, links, words, marks) in enumerate(rows):
                 facts = used.setdefault(author, set())
                 before = len(facts)
-                facts.update(words.split(), (" " + mark for mark in marks.split("\n")), (names[c] for c in numbers[bounds[i]:bounds[i + 1]].tolist()))
+                facts.update(words.split(), (" " + mark for mark in marks.split("\n")), named[bounds[i]:bounds[i + 1]])
                 counted[author] += n
                 linked[author] += links
                 held += len(facts) - before
@@ -426,7 +427,7 @@ def _varieties(rows: DataFrame, seen: Survey, compacted: Callable[[DataFrame], D
     is_text = F.startswith("fact", F.lit(" "))
     spread = compacted(rows.join(large, "author_id", "left_semi")).withColumn("_near", F.xxhash64("author_id")).hint(
         "rebalance", "_near").drop("_near").mapInArrow(
-        lambda batches: _used(batches, known.value.words.to_pylist()), f"author_id {kind}, fact string, n_words long, n_links long")
+        lambda batches: _used(batches, known.value.words), f"author_id {kind}, fact string, n_words long, n_links long")
     sums = [F.sum(c).alias(c) for c in ("n_words", "n_links")]
     return done.unionByName(
         spread.groupBy("author_id", "fact").agg(*sums).groupBy("author_id").agg(
