@@ -441,8 +441,8 @@ def _part_bytes(df: DataFrame) -> int:
 
 
 def _parts(size: int | None, df: DataFrame) -> int:
-    """As many parts as so much text makes, the session's shuffle partitions at least."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // _part_bytes(df)))
+    """As many parts as so much text makes, of which about a quarter is sent, the session's shuffle partitions at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // (4 * _part_bytes(df))))
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
